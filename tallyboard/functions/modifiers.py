@@ -67,19 +67,15 @@ def modifier_list(modifiers: Column) -> Column:
     return F.when(F.length(modifiers) > 0, F.split(modifiers, ","))
 
 
-def first_rated_code(modifiers: Column, ratings: Column) -> Column:
-    """The first whole token, ignoring case, that ``ratings`` has a family for.
+def delimited(modifiers: Column) -> Column:
+    """The text upper-cased, with a comma at both ends, to look for whole tokens."""
+    return F.concat(F.lit(","), F.upper(modifiers), F.lit(","))
 
-    Works on token positions in the delimited text instead of an array with
-    lambdas, which would drop out of whole-stage code generation.
+
+def token_spot(text: Column, code: str) -> Column:
+    """Where ``code`` stands as a whole token in a delimited text; null if nowhere.
+
+    A position instead of an array with lambdas, which would drop out of
+    whole-stage code generation.
     """
-    text = F.concat(F.lit(","), F.upper(modifiers), F.lit(","))
-    spots = {
-        code: F.when(ratings[code].isNotNull(), F.nullif(F.instr(text, f",{code},"), F.lit(0)))
-        for code in SPEED_CODES
-    }
-    first = F.least(*spots.values())
-    chosen = F.lit(None).cast("string")
-    for code, spot in spots.items():
-        chosen = F.when(spot == first, F.lit(code)).otherwise(chosen)
-    return chosen
+    return F.nullif(F.instr(text, f",{code},"), F.lit(0))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.config import DEFAULT_RATING, NO_FAIL_CODE, SPEED_CODES, RatingConfig
-from tallyboard.functions.curves import piecewise_linear
-from tallyboard.functions.modifiers import first_rated_code, total_multiplier
+from tallyboard.functions.curves import piecewise_linear, segment_of, value_on
+from tallyboard.functions.modifiers import delimited, token_spot, total_multiplier
 from tallyboard.functions.numbers import finite_or_zero
 
 
@@ -17,11 +17,18 @@ def inflate(points: Column, config: RatingConfig = DEFAULT_RATING) -> Column:
     return F.pow(points, F.lit(config.inflate_power)) * scale
 
 
+def _pass_raw(pass_rating: Column, config: RatingConfig) -> Column:
+    root = F.pow(pass_rating, F.lit(1.0 / config.pass_root))
+    return F.exp(root) * config.pass_scale - config.pass_shift
+
+
+def _not_below_zero(points: Column) -> Column:
+    return F.greatest(finite_or_zero(points), F.lit(0.0))
+
+
 def pass_points(pass_rating: Column, config: RatingConfig = DEFAULT_RATING) -> Column:
     """Points for finishing; 0 where the formula is negative or not finite."""
-    root = F.pow(pass_rating, F.lit(1.0 / config.pass_root))
-    points = finite_or_zero(F.exp(root) * config.pass_scale - config.pass_shift)
-    return F.greatest(points, F.lit(0.0))
+    return _not_below_zero(_pass_raw(pass_rating, config))
 
 
 def acc_points(
@@ -88,77 +95,103 @@ def derived_acc_rating(
     return finite_or_zero(rating)
 
 
+_RATING_FIELDS = ("acc_rating", "pass_rating", "tech_rating")
+
+
 def with_points(df: DataFrame, config: RatingConfig = DEFAULT_RATING) -> DataFrame:
     """Add pp, bonus_pp, pass_pp, acc_pp and tech_pp to score rows.
 
     ``df`` needs accuracy, modifiers, modifiers_rating (nullable struct with one
     family per speed code), acc_rating, pass_rating and tech_rating.
 
-    The steps are separate projections, so that what both halves of the formula
-    share (curve value, technique growth, multiplier, chosen ratings) is computed
-    once per row; Catalyst keeps them in one generated stage.
+    The formula is laid out in steps, each a projection that names what the next
+    one uses more than once. So nothing is computed twice in a row, and all steps
+    fit one generated method small enough for the JVM to compile.
     """
-    accuracy, modifiers, ratings = F.col("accuracy"), F.col("modifiers"), F.col("modifiers_rating")
-    scores = ~(F.isnan(accuracy) | (accuracy <= 0) | (accuracy > 1))
-    scores = scores & ~modifiers.contains(NO_FAIL_CODE)
-    keep = df.columns
-
-    staged = df.select(
-        *keep,
-        scores.alias("_scores"),
-        first_rated_code(modifiers, ratings).alias("_code"),
-        total_multiplier(modifiers, dict(config.multipliers), ratings.isNull()).alias("_mp"),
-        piecewise_linear(accuracy, config.score_curve).alias("_curve"),
-        tech_points(accuracy, F.lit(1.0), config).alias("_tech_unit"),
+    ratings, keep = F.col("modifiers_rating"), df.columns
+
+    def step(frame: DataFrame, carried: list[str], **new: Column) -> DataFrame:
+        return frame.select(*keep, *carried, *[c.alias(n) for n, c in new.items()])
+
+    # inputs without nulls: the generated arithmetic needs no checks after this
+    inputs = {f"_{c}": F.coalesce(c, F.lit(0.0)) for c in ("accuracy", *_RATING_FIELDS)}
+    staged = step(df, [], _modifiers=F.coalesce("modifiers", F.lit("")), **inputs)
+    accuracy, modifiers = F.col("_accuracy"), F.col("_modifiers")
+    base = [f"_{c}" for c in _RATING_FIELDS]
+
+    # which segment of the curve, and where the speed codes stand in the text
+    counts = ~F.isnan(accuracy) & (accuracy > 0) & (accuracy <= 1)
+    multipliers = {c: v for c, v in config.multipliers if c != NO_FAIL_CODE}
+    staged = step(
+        staged,
+        [*base, "_accuracy"],
+        _counts=counts & ~modifiers.contains(NO_FAIL_CODE),
+        _segment=segment_of(accuracy, config.score_curve),
+        _text=delimited(modifiers),
+        _mp=total_multiplier(modifiers, multipliers, ratings.isNull()),
+    )
+    carried = [*base, "_counts", "_mp"]
+    staged = step(
+        staged,
+        carried,
+        _curve=value_on(F.col("_segment"), accuracy, config.score_curve),
+        _tech_unit=tech_points(accuracy, F.lit(1.0), config),
+        **{f"_{code}": token_spot(F.col("_text"), code) for code in SPEED_CODES},
     )
 
-    def chosen(field: str) -> Column:
-        value = F.col(field)
-        for code in SPEED_CODES:
-            value = F.when(F.col("_code") == code, ratings[code][field]).otherwise(value)
-        return value * F.col("_mp")
+    # the board's own ratings for the first speed code it has them for
+    carried += ["_curve", "_tech_unit"]
+    spots = [f"_{code}" for code in SPEED_CODES]
+    first = F.least(*[F.when(ratings[c].isNotNull(), F.col(f"_{c}")) for c in SPEED_CODES])
+    staged = step(staged, [*carried, *spots], _first=first)
+    family = None
+    for code in SPEED_CODES:
+        stands_first = F.col(f"_{code}") == F.col("_first")
+        if family is None:
+            family = F.when(stands_first, ratings[code])
+        else:
+            family = family.when(stands_first, ratings[code])
+    staged = step(staged, carried, _family=family)
 
-    staged = staged.select(
-        *keep,
-        "_scores",
-        "_curve",
-        "_tech_unit",
-        chosen("pass_rating").alias("_pass_rating"),
-        chosen("acc_rating").alias("_acc_rating"),
-        chosen("tech_rating").alias("_tech_rating"),
+    def chosen(field: str) -> Column:
+        return F.coalesce(F.col("_family")[field], F.col(f"_{field}")) * F.col("_mp")
+
+    staged = step(
+        staged,
+        ["_counts", "_tech_unit", "_curve", "_acc_rating", "_tech_rating"],
+        _raw_pass=_pass_raw(F.col("_pass_rating"), config),
+        _own_pass=_pass_raw(chosen("pass_rating"), config),
+        _acc=acc_points(F.col("_curve"), chosen("acc_rating"), config),
+        _tech=F.col("_tech_unit") * chosen("tech_rating"),
     )
-    staged = staged.select(
-        *keep,
-        "_scores",
-        (
-            pass_points(F.col("pass_rating"), config)
-            + acc_points(F.col("_curve"), F.col("acc_rating"), config)
-            + F.col("_tech_unit") * F.col("tech_rating")
-        ).alias("_raw_sum"),
-        pass_points(F.col("_pass_rating"), config).alias("_pass"),
-        acc_points(F.col("_curve"), F.col("_acc_rating"), config).alias("_acc"),
-        (F.col("_tech_unit") * F.col("_tech_rating")).alias("_tech"),
+    raw_sum = (
+        _not_below_zero(F.col("_raw_pass"))
+        + acc_points(F.col("_curve"), F.col("_acc_rating"), config)
+        + F.col("_tech_unit") * F.col("_tech_rating")
     )
-    staged = staged.withColumn("_sum", F.col("_pass") + F.col("_acc") + F.col("_tech"))
-    staged = staged.select(
-        *keep,
-        "_scores",
-        "_pass",
-        "_acc",
-        "_tech",
-        finite_or_zero(inflate(F.col("_raw_sum"), config)).alias("_raw"),
-        inflate(F.col("_sum"), config).alias("_inflated"),
-        "_sum",
+    own_pass = _not_below_zero(F.col("_own_pass"))
+    carried = ["_counts", "_acc", "_tech"]
+    staged = step(staged, carried, _raw_sum=raw_sum, _pass=own_pass)
+
+    carried.append("_pass")
+    total = F.col("_pass") + F.col("_acc") + F.col("_tech")
+    staged = step(staged, carried, _raw=inflate(F.col("_raw_sum"), config), _sum=total)
+    staged = step(staged, [*carried, "_raw", "_sum"], _full=inflate(F.col("_sum"), config))
+    grows = F.col("_counts") & (F.col("_sum") > 0)
+    staged = step(
+        staged,
+        carried,
+        _increase=F.when(grows, F.col("_full") / F.col("_sum")),
+        _full=F.when(F.col("_counts"), finite_or_zero(F.col("_full"))),
+        _raw=F.when(F.col("_counts"), finite_or_zero(F.col("_raw"))),
     )
-    staged = staged.withColumn("_full", finite_or_zero(F.col("_inflated")))
-    increase = F.col("_inflated") / F.nullif(F.col("_sum"), F.lit(0.0))
-    counts = F.col("_scores")
-    grows = counts & (F.col("_sum") > 0)
+    zero = F.lit(0.0)
     return staged.select(
         *keep,
-        F.when(counts, F.col("_full")).otherwise(0.0).alias("pp"),
-        F.when(counts, F.col("_full") - F.col("_raw")).otherwise(0.0).alias("bonus_pp"),
-        F.when(grows, F.col("_pass") * increase).otherwise(0.0).alias("pass_pp"),
-        F.when(grows, F.col("_acc") * increase).otherwise(0.0).alias("acc_pp"),
-        F.when(grows, F.col("_tech") * increase).otherwise(0.0).alias("tech_pp"),
+        F.coalesce("_full", zero).alias("pp"),
+        F.coalesce(F.col("_full") - F.col("_raw"), zero).alias("bonus_pp"),
+        *[
+            F.coalesce(F.col(f"_{part}") * F.col("_increase"), zero).alias(f"{part}_pp")
+            for part in ("pass", "acc", "tech")
+        ],
     )
