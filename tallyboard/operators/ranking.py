@@ -82,14 +82,23 @@ def with_position(
         return _in_one_window(df, by, order, position, running, totals)
     if not by:
         return _in_ranges(df, by, order, position, running, totals, hot, policy)
-    keys = F.broadcast(hot.keys) if hot.groups <= policy.broadcast_rows else hot.keys
-    usual = df.join(keys, list(by), "left_anti")
-    large = df.join(keys, list(by), "left_semi")
+    keys = hot.keys.select(*[F.col(c).alias(f"_key_{c}") for c in by])
+    if hot.groups <= policy.broadcast_rows:
+        keys = F.broadcast(keys)
+    usual = df.join(keys, _same(by), "left_anti")
+    large = df.join(keys, _same(by), "left_semi")
     return _in_one_window(usual, by, order, position, running, totals).unionByName(
         _in_ranges(large, by, order, position, running, totals, hot, policy)
     )
 
 
+def _same(columns: Sequence[str]) -> Column:
+    """Join condition on the copies of ``columns`` named ``_key_``; null equals null."""
+    return reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in columns]
+    )
+
+
 def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
@@ -133,8 +142,7 @@ def _in_ranges(df, by, order, position, running, totals, hot, policy) -> DataFra
     )
     if ranges + hot.groups <= policy.broadcast_rows:
         offsets = F.broadcast(offsets)
-    same = [F.col(c) == F.col(f"_key_{c}") for c in [*by, RANGE]]
-    joined = local.join(offsets, reduce(lambda a, b: a & b, same))
+    joined = local.join(offsets, _same([*by, RANGE]))
     return joined.select(
         *df.columns,
         (F.col(position) + F.col("_rows")).alias(position),
