@@ -106,92 +106,90 @@ def with_points(df: DataFrame, config: RatingConfig = DEFAULT_RATING) -> DataFra
 
     The formula is laid out in steps, each a projection that names what the next
     one uses more than once. So nothing is computed twice in a row, and all steps
-    fit one generated method small enough for the JVM to compile.
+    fit one generated method small enough for the JVM to compile. The helper
+    columns are dropped at the end and pruned in between.
     """
     ratings, keep = F.col("modifiers_rating"), df.columns
-
-    def step(frame: DataFrame, carried: list[str], **new: Column) -> DataFrame:
-        return frame.select(*keep, *carried, *[c.alias(n) for n, c in new.items()])
+    zero = F.lit(0.0)
 
     # inputs without nulls: the generated arithmetic needs no checks after this
-    inputs = {f"_{c}": F.coalesce(c, F.lit(0.0)) for c in ("accuracy", *_RATING_FIELDS)}
-    staged = step(df, [], _modifiers=F.coalesce("modifiers", F.lit("")), **inputs)
+    staged = df.withColumns(
+        {f"_{c}": F.coalesce(c, zero) for c in ("accuracy", *_RATING_FIELDS)}
+        | {"_modifiers": F.coalesce("modifiers", F.lit(""))}
+    )
     accuracy, modifiers = F.col("_accuracy"), F.col("_modifiers")
-    base = [f"_{c}" for c in _RATING_FIELDS]
+    acc_rating, tech_rating = F.col("_acc_rating"), F.col("_tech_rating")
 
     # which segment of the curve, and where the speed codes stand in the text
     counts = ~F.isnan(accuracy) & (accuracy > 0) & (accuracy <= 1)
     multipliers = {c: v for c, v in config.multipliers if c != NO_FAIL_CODE}
-    staged = step(
-        staged,
-        [*base, "_accuracy"],
-        _counts=counts & ~modifiers.contains(NO_FAIL_CODE),
-        _segment=segment_of(accuracy, config.score_curve),
-        _text=delimited(modifiers),
-        _mp=total_multiplier(modifiers, multipliers, ratings.isNull()),
+    staged = staged.withColumns(
+        {
+            "_counts": counts & ~modifiers.contains(NO_FAIL_CODE),
+            "_segment": segment_of(accuracy, config.score_curve),
+            "_text": delimited(modifiers),
+            "_mp": total_multiplier(modifiers, multipliers, ratings.isNull()),
+        }
     )
-    carried = [*base, "_counts", "_mp"]
-    staged = step(
-        staged,
-        carried,
-        _curve=value_on(F.col("_segment"), accuracy, config.score_curve),
-        _tech_unit=tech_points(accuracy, F.lit(1.0), config),
-        **{f"_{code}": token_spot(F.col("_text"), code) for code in SPEED_CODES},
+    text, mp = F.col("_text"), F.col("_mp")
+    staged = staged.withColumns(
+        {
+            "_curve": value_on(F.col("_segment"), accuracy, config.score_curve),
+            "_tech_unit": tech_points(accuracy, F.lit(1.0), config),
+        }
+        | {f"_{code}": token_spot(text, code) for code in SPEED_CODES}
     )
+    curve, tech_unit = F.col("_curve"), F.col("_tech_unit")
 
     # the board's own ratings for the first speed code it has them for
-    carried += ["_curve", "_tech_unit"]
-    spots = [f"_{code}" for code in SPEED_CODES]
-    first = F.least(*[F.when(ratings[c].isNotNull(), F.col(f"_{c}")) for c in SPEED_CODES])
-    staged = step(staged, [*carried, *spots], _first=first)
-    family = None
-    for code in SPEED_CODES:
-        stands_first = F.col(f"_{code}") == F.col("_first")
-        if family is None:
-            family = F.when(stands_first, ratings[code])
-        else:
-            family = family.when(stands_first, ratings[code])
-    staged = step(staged, carried, _family=family)
+    spots = {code: F.col(f"_{code}") for code in SPEED_CODES}
+    rated = [F.when(ratings[code].isNotNull(), spot) for code, spot in spots.items()]
+    staged = staged.withColumn("_first", F.least(*rated))
+    first, family = F.col("_first"), F
+    for code, spot in spots.items():
+        family = family.when(spot == first, ratings[code])
+    staged = staged.withColumn("_family", family)
+    family = F.col("_family")
 
     def chosen(field: str) -> Column:
-        return F.coalesce(F.col("_family")[field], F.col(f"_{field}")) * F.col("_mp")
-
-    staged = step(
-        staged,
-        ["_counts", "_tech_unit", "_curve", "_acc_rating", "_tech_rating"],
-        _raw_pass=_pass_raw(F.col("_pass_rating"), config),
-        _own_pass=_pass_raw(chosen("pass_rating"), config),
-        _acc=acc_points(F.col("_curve"), chosen("acc_rating"), config),
-        _tech=F.col("_tech_unit") * chosen("tech_rating"),
+        return F.coalesce(family[field], F.col(f"_{field}")) * mp
+
+    staged = staged.withColumns(
+        {
+            "_raw_pass": _pass_raw(F.col("_pass_rating"), config),
+            "_own_pass": _pass_raw(chosen("pass_rating"), config),
+            "_acc": acc_points(curve, chosen("acc_rating"), config),
+            "_tech": tech_unit * chosen("tech_rating"),
+        }
     )
     raw_sum = (
         _not_below_zero(F.col("_raw_pass"))
-        + acc_points(F.col("_curve"), F.col("_acc_rating"), config)
-        + F.col("_tech_unit") * F.col("_tech_rating")
+        + acc_points(curve, acc_rating, config)
+        + tech_unit * tech_rating
     )
-    own_pass = _not_below_zero(F.col("_own_pass"))
-    carried = ["_counts", "_acc", "_tech"]
-    staged = step(staged, carried, _raw_sum=raw_sum, _pass=own_pass)
-
-    carried.append("_pass")
-    total = F.col("_pass") + F.col("_acc") + F.col("_tech")
-    staged = step(staged, carried, _raw=inflate(F.col("_raw_sum"), config), _sum=total)
-    staged = step(staged, [*carried, "_raw", "_sum"], _full=inflate(F.col("_sum"), config))
-    grows = F.col("_counts") & (F.col("_sum") > 0)
-    staged = step(
-        staged,
-        carried,
-        _increase=F.when(grows, F.col("_full") / F.col("_sum")),
-        _full=F.when(F.col("_counts"), finite_or_zero(F.col("_full"))),
-        _raw=F.when(F.col("_counts"), finite_or_zero(F.col("_raw"))),
+    staged = staged.withColumns(
+        {"_raw_sum": raw_sum, "_pass": _not_below_zero(F.col("_own_pass"))}
     )
-    zero = F.lit(0.0)
+    parts = {name: F.col(f"_{name}") for name in ("pass", "acc", "tech")}
+    staged = staged.withColumns(
+        {
+            "_raw": inflate(F.col("_raw_sum"), config),
+            "_sum": parts["pass"] + parts["acc"] + parts["tech"],
+        }
+    )
+    counts, total, full, raw = (F.col(c) for c in ("_counts", "_sum", "_full", "_raw"))
+    staged = staged.withColumn("_full", inflate(total, config))
+    staged = staged.withColumns(
+        {
+            "_increase": F.when(counts & (total > 0), full / total),
+            "_full": F.when(counts, finite_or_zero(full)),
+            "_raw": F.when(counts, finite_or_zero(raw)),
+        }
+    )
+    increase = F.col("_increase")
     return staged.select(
         *keep,
-        F.coalesce("_full", zero).alias("pp"),
-        F.coalesce(F.col("_full") - F.col("_raw"), zero).alias("bonus_pp"),
-        *[
-            F.coalesce(F.col(f"_{part}") * F.col("_increase"), zero).alias(f"{part}_pp")
-            for part in ("pass", "acc", "tech")
-        ],
+        F.coalesce(full, zero).alias("pp"),
+        F.coalesce(full - raw, zero).alias("bonus_pp"),
+        *[F.coalesce(c * increase, zero).alias(f"{name}_pp") for name, c in parts.items()],
     )

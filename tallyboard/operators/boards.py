@@ -11,18 +11,38 @@ from tallyboard.functions.points import decay_weight
 from tallyboard.operators.ranking import HotGroups, with_position
 
 
-def _scores_with_players(scores: DataFrame, players: DataFrame) -> DataFrame:
-    """The six columns the statistics need; ``rank`` is the player's rank."""
+def held_scores(
+    scores: DataFrame, players: DataFrame, config: RatingConfig = DEFAULT_RATING
+) -> DataFrame:
+    """The columns the statistics need of scores and their players."""
     holders = players.select(
         F.col("id").alias("player_id"),
         "top_pp",
         "ranked_play_count",
-        F.col("rank").alias("player_rank"),
+        (F.col("rank") < config.top_rank).alias("top_player"),
     )
     plays = scores.select("id", "leaderboard_id", "player_id", "pp", "weight")
     return plays.join(holders, "player_id").drop("player_id")
 
 
+def flag_top_players(
+    scores: DataFrame, players: DataFrame, config: RatingConfig = DEFAULT_RATING
+) -> DataFrame:
+    """The same for scores that carry ``top_pp`` and ``ranked_play_count`` already.
+
+    Only the best players are joined. Ranks are unique, so they are fewer than
+    ``top_rank`` rows however many players there are, and safe to broadcast.
+    """
+    best = players.where(F.col("rank").between(1, config.top_rank - 1)).select(
+        F.col("id").alias("player_id"), F.lit(True).alias("top_player")
+    )
+    plays = scores.select(
+        "id", "leaderboard_id", "player_id", "pp", "weight", "top_pp", "ranked_play_count"
+    )
+    flagged = plays.join(F.broadcast(best), "player_id", "left").drop("player_id")
+    return flagged.withColumn("top_player", F.coalesce("top_player", F.lit(False)))
+
+
 def _basic(config: RatingConfig, literal: bool) -> list[Column]:
     weight, plays = F.col("weight"), F.col("ranked_play_count")
     share = share_of(F.col("pp"), F.col("top_pp"))
@@ -33,7 +53,7 @@ def _basic(config: RatingConfig, literal: bool) -> list[Column]:
         F.count_if(weight > config.high_weight).alias("count80"),
         F.count_if(weight > config.top_weight).alias("count95"),
         F.avg(weight).alias("average"),
-        F.count_if((F.col("player_rank") < config.top_rank) & heavy).alias("top250"),
+        F.count_if(F.col("top_player") & heavy).alias("top250"),
         F.sum(F.col("pp") * weight).alias("total_pp"),
         F.coalesce(F.avg(counted), F.lit(0.0)).alias("pp_ratio_filtered"),
         F.coalesce(F.avg(counted if literal else share), F.lit(0.0)).alias("pp_ratio_unfiltered"),
@@ -95,7 +115,7 @@ def board_stats(
 
     ``literal`` repeats the filtered point ratio in the unfiltered column.
     """
-    joined = _scores_with_players(scores, players)
+    joined = held_scores(scores, players, config)
     return joined.groupBy("leaderboard_id").agg(*_basic(config, literal))
 
 
@@ -107,20 +127,22 @@ def board_megametrics(
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """The five means over the heaviest third of each board's scores."""
-    placed = _placed(_scores_with_players(scores, players), config, hot, policy)
+    placed = _placed(held_scores(scores, players, config), config, hot, policy)
     return placed.groupBy("leaderboard_id").agg(*_top_means(config))
 
 
 def board_statistics(
-    scores: DataFrame,
-    players: DataFrame,
+    held: DataFrame,
     config: RatingConfig = DEFAULT_RATING,
     hot: HotGroups | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
     literal: bool = False,
 ) -> DataFrame:
-    """All thirteen statistics from one join, one shuffle and one sort."""
-    placed = _placed(_scores_with_players(scores, players), config, hot, policy)
+    """All thirteen statistics from one shuffle and one sort.
+
+    ``held`` comes from ``held_scores`` or ``flag_top_players``.
+    """
+    placed = _placed(held, config, hot, policy)
     return placed.groupBy("leaderboard_id").agg(*_basic(config, literal), *_top_means(config))
 
 

@@ -63,7 +63,9 @@ def player_ranks(
 
 def _hot_countries(players: DataFrame, policy: SkewPolicy) -> HotGroups:
     """Looked for among all players, of whom the ranked ones are a part."""
-    hot = find_hot_groups(players.where("country is not null"), ["country"], policy)
+    hot = find_hot_groups(
+        players.where("country is not null"), ["country"], policy, rows=players.count()
+    )
     if hot.groups == 0:
         return hot
     keys = hot.keys.withColumn("_spread", F.lit(0).cast("bigint"))

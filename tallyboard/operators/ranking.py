@@ -42,16 +42,23 @@ class HotGroups:
 
 
 def find_hot_groups(
-    df: DataFrame, by: Sequence[str], policy: SkewPolicy = DEFAULT_SKEW
+    df: DataFrame,
+    by: Sequence[str],
+    policy: SkewPolicy = DEFAULT_SKEW,
+    rows: int | None = None,
 ) -> HotGroups:
     """Groups of ``df`` with more than ``policy.hot_rows`` rows.
 
     Reads the key columns only, and brings back one row. The result also serves
-    any subset of ``df``, whose groups can only be smaller.
+    any subset of ``df``, whose groups can only be smaller. ``rows`` is the size
+    of ``df`` where the caller knows it: a table that small has no hot group.
     """
-    if not by:
+    if rows is None and not by:
         rows = df.count()
-        return HotGroups(rows, 1) if rows > policy.hot_rows else HotGroups()
+    if rows is not None and rows <= policy.hot_rows:
+        return HotGroups()
+    if not by:
+        return HotGroups(rows, 1)
     sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
     hot = sizes.where(F.col("_rows") > policy.hot_rows)
     found = hot.agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).first()
@@ -67,28 +74,30 @@ def with_position(
     position: str,
     running: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
+    highest: Mapping[str, str] | None = None,
     hot: HotGroups | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Number the rows of each group from 1 in a total ``order``.
 
     ``running`` names conditions counted up to and including the row, ``totals``
-    names conditions counted over the whole group. An empty ``by`` is one group.
+    names conditions counted over the whole group, ``highest`` names columns whose
+    maximum in the group is added. An empty ``by`` is one group.
     """
-    running, totals = dict(running or {}), dict(totals or {})
+    extra = (dict(running or {}), dict(totals or {}), dict(highest or {}))
     if hot is None:
         hot = find_hot_groups(df, by, policy)
     if hot.groups == 0:
-        return _in_one_window(df, by, order, position, running, totals)
+        return _in_one_window(df, by, order, position, *extra)
     if not by:
-        return _in_ranges(df, by, order, position, running, totals, hot, policy)
+        return _in_ranges(df, by, order, position, *extra, hot, policy)
     keys = hot.keys.select(*[F.col(c).alias(f"_key_{c}") for c in by])
     if hot.groups <= policy.broadcast_rows:
         keys = F.broadcast(keys)
     usual = df.join(keys, _same(by), "left_anti")
     large = df.join(keys, _same(by), "left_semi")
-    return _in_one_window(usual, by, order, position, running, totals).unionByName(
-        _in_ranges(large, by, order, position, running, totals, hot, policy)
+    return _in_one_window(usual, by, order, position, *extra).unionByName(
+        _in_ranges(large, by, order, position, *extra, hot, policy)
     )
 
 
@@ -103,7 +112,7 @@ def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def _in_one_window(df, by, order, position, running, totals) -> DataFrame:
+def _in_one_window(df, by, order, position, running, totals, highest) -> DataFrame:
     group = Window.partitionBy(*by)
     ordered = group.orderBy(*order)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,21 +121,23 @@ def _in_one_window(df, by, order, position, running, totals) -> DataFrame:
         F.row_number().over(ordered).cast("bigint").alias(position),
         *[_count(c).over(so_far).alias(n) for n, c in running.items()],
         *[_count(c).over(group).alias(n) for n, c in totals.items()],
+        *[F.max(c).over(group).alias(n) for n, c in highest.items()],
     )
 
 
-def _in_ranges(df, by, order, position, running, totals, hot, policy) -> DataFrame:
+def _in_ranges(df, by, order, position, running, totals, highest, hot, policy) -> DataFrame:
     ranges = max(2, math.ceil(hot.rows / policy.chunk_rows))
     spread = df.repartitionByRange(ranges, *by, *order).withColumn(RANGE, F.spark_partition_id())
     spread = materialise(spread, "ranges")
 
-    local = _in_one_window(spread, [*by, RANGE], order, position, running, {})
+    local = _in_one_window(spread, [*by, RANGE], order, position, running, {}, {})
 
     # at most one row per range and one more per group
     sizes = spread.groupBy(*by, RANGE).agg(
         F.count("*").alias("_rows"),
         *[_count(c).alias(f"_run_{n}") for n, c in running.items()],
         *[_count(c).alias(f"_all_{n}") for n, c in totals.items()],
+        *[F.max(c).alias(f"_max_{n}") for n, c in highest.items()],
     )
     group = Window.partitionBy(*by)
     earlier = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -139,6 +150,7 @@ def _in_ranges(df, by, order, position, running, totals, hot, policy) -> DataFra
         before("_rows"),
         *[before(f"_run_{n}") for n in running],
         *[F.sum(f"_all_{n}").over(group).alias(f"_all_{n}") for n in totals],
+        *[F.max(f"_max_{n}").over(group).alias(f"_max_{n}") for n in highest],
     )
     if ranges + hot.groups <= policy.broadcast_rows:
         offsets = F.broadcast(offsets)
@@ -148,4 +160,5 @@ def _in_ranges(df, by, order, position, running, totals, hot, policy) -> DataFra
         (F.col(position) + F.col("_rows")).alias(position),
         *[(F.col(n) + F.col(f"_run_{n}")).alias(n) for n in running],
         *[F.col(f"_all_{n}").alias(n) for n in totals],
+        *[F.col(f"_max_{n}").alias(n) for n in highest],
     )

@@ -14,19 +14,25 @@ from tallyboard.functions.rating import with_points
 from tallyboard.operators.ranking import HotGroups, with_position
 
 POINT_COLUMNS = ("pp", "bonus_pp", "pass_pp", "acc_pp", "tech_pp")
+HOLDER_COLUMNS = ("top_pp", "ranked_play_count")
 _RATING_COLUMNS = ("acc_rating", "pass_rating", "tech_rating", "modifiers_rating")
 
 
 def score_pp(
-    scores: DataFrame, boards: DataFrame, config: RatingConfig = DEFAULT_RATING
+    scores: DataFrame,
+    boards: DataFrame,
+    config: RatingConfig = DEFAULT_RATING,
+    few_boards: bool = False,
 ) -> DataFrame:
     """Scores with freshly computed points, from the ratings of their board.
 
-    Only the rating columns of the boards take part in the join. No hint: while
-    they are small Catalyst broadcasts them, and beyond that AQE splits the boards
-    that hold many scores.
+    Only the rating columns of the boards take part in the join. ``few_boards``
+    says that their number was checked, and broadcasts them; otherwise Catalyst
+    and AQE choose, and split boards that hold many scores.
     """
     ratings = boards.select(F.col("id").alias("leaderboard_id"), *_RATING_COLUMNS)
+    if few_boards:
+        ratings = F.broadcast(ratings)
     joined = scores.drop(*POINT_COLUMNS).join(ratings, "leaderboard_id")
     return with_points(joined, config).drop(*_RATING_COLUMNS)
 
@@ -55,9 +61,30 @@ def score_weights(
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Weight by place among the player's own scores: the best one counts fully."""
+    return score_weights_and_holders(scored, config, hot, policy).drop(*HOLDER_COLUMNS)
+
+
+def score_weights_and_holders(
+    scored: DataFrame,
+    config: RatingConfig = DEFAULT_RATING,
+    hot: HotGroups | None = None,
+    policy: SkewPolicy = DEFAULT_SKEW,
+) -> DataFrame:
+    """``score_weights`` plus the player's best points and number of plays.
+
+    Both come from the window that places the scores, so board statistics need no
+    join of all scores with all players for them.
+    """
     order = [tie_key(F.col("pp"), config.tie_decimals).desc(), F.col("id").asc()]
     placed = with_position(
-        scored.drop("weight"), ["player_id"], order, "_place", hot=hot, policy=policy
+        scored.drop("weight"),
+        ["player_id"],
+        order,
+        "_place",
+        totals={"ranked_play_count": F.lit(True)},
+        highest={"top_pp": "pp"},
+        hot=hot,
+        policy=policy,
     )
     weight = decay_weight(F.col("_place") - 1, config.decay)
     return placed.withColumn("weight", weight).drop("_place")

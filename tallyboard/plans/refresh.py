@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.config import DEFAULT_RATING, DEFAULT_SKEW, RatingConfig, SkewPolicy
-from tallyboard.operators.boards import board_statistics
+from tallyboard.operators.boards import board_statistics, flag_top_players
 from tallyboard.operators.players import player_ranks, player_totals
 from tallyboard.operators.ranking import find_hot_groups
-from tallyboard.operators.scores import score_pp, score_ranks, score_weights
+from tallyboard.operators.scores import (
+    HOLDER_COLUMNS,
+    score_pp,
+    score_ranks,
+    score_weights_and_holders,
+)
 from tallyboard.operators.updates import apply_updates
 from tallyboard.schema import BOARD_COMPUTED, PLAYER_COMPUTED, SCORE_COMPUTED
 from tallyboard.session import materialise
@@ -26,14 +31,18 @@ def refresh_scores(
     """Scores with points, rank in their board and weight.
 
     One shuffle by board and one by player. Group sizes are taken from the stored
-    table, before the join, where they cost a scan of one column.
+    table, before the join, where they cost a scan of one column. The player's
+    best points and play count come along, for the board statistics.
     """
-    hot_boards = find_hot_groups(scores, ["leaderboard_id"], policy)
-    hot_players = find_hot_groups(scores, ["player_id"], policy)
-    scored = score_pp(scores, boards, config)
+    rows = scores.count()
+    hot_boards = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
+    hot_players = find_hot_groups(scores, ["player_id"], policy, rows)
+    few_boards = boards.count() <= policy.broadcast_rows
+    scored = score_pp(scores, boards, config, few_boards)
     ranked = score_ranks(scored, config, hot_boards, policy)
-    weighted = score_weights(ranked, config, hot_players, policy)
-    return weighted.select(*[c for c in scores.columns if c not in SCORE_COMPUTED], *SCORE_COMPUTED)
+    weighted = score_weights_and_holders(ranked, config, hot_players, policy)
+    imported = [c for c in scores.columns if c not in SCORE_COMPUTED]
+    return weighted.select(*imported, *SCORE_COMPUTED, *HOLDER_COLUMNS)
 
 
 def refresh_players(
@@ -57,9 +66,13 @@ def refresh_boards(
     config: RatingConfig = DEFAULT_RATING,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Leaderboards with statistics; those without scores keep what they have."""
-    hot = find_hot_groups(scores, ["leaderboard_id"], policy)
-    stats = board_statistics(scores, players, config, hot, policy)
+    """Leaderboards with statistics; those without scores keep what they have.
+
+    ``scores`` are those of ``refresh_scores``. What is shuffled are seven narrow
+    columns of them, once, by board.
+    """
+    hot = find_hot_groups(scores, ["leaderboard_id"], policy, scores.count())
+    stats = board_statistics(flag_top_players(scores, players, config), config, hot, policy)
     return apply_updates(
         boards, stats.withColumnRenamed("leaderboard_id", "id"), list(BOARD_COMPUTED)
     )
@@ -80,7 +93,7 @@ def refresh_all(
     scores = materialise(refresh_scores(tables["scores"], boards, config, policy), "scores")
     players = materialise(refresh_players(tables["players"], scores, config, policy), "players")
     return {
-        "scores": scores,
+        "scores": scores.drop(*HOLDER_COLUMNS),
         "players": players,
         "leaderboards": refresh_boards(boards, scores, players, config, policy),
     }

@@ -12,6 +12,8 @@ from tallyboard.operators.boards import (
     board_ratios,
     board_statistics,
     board_stats,
+    flag_top_players,
+    held_scores,
 )
 
 SCORES = "id long, leaderboard_id string, player_id string, pp double, weight double"
@@ -75,7 +77,7 @@ def test_all_statistics(spark, policy):
     s, p = spark.createDataFrame(scores, SCORES), spark.createDataFrame(players, PLAYERS)
     expected = brute(scores, players)
     found = {
-        r.leaderboard_id: r.asDict() for r in board_statistics(s, p, policy=policy).collect()
+        r.leaderboard_id: r.asDict() for r in board_statistics(held_scores(s, p), policy=policy).collect()
     }
     assert found.keys() == expected.keys()
     for board, values in expected.items():
@@ -88,13 +90,27 @@ def test_all_statistics(spark, policy):
 def test_parts_equal_the_whole(spark):
     scores, players = fixture(5)
     s, p = spark.createDataFrame(scores, SCORES), spark.createDataFrame(players, PLAYERS)
-    whole = {r.leaderboard_id: r.asDict() for r in board_statistics(s, p).collect()}
+    whole = {r.leaderboard_id: r.asDict() for r in board_statistics(held_scores(s, p)).collect()}
     for part in (board_stats(s, p), board_megametrics(s, p)):
         for r in part.collect():
             for column, value in r.asDict().items():
                 assert value == pytest.approx(whole[r.leaderboard_id][column])
 
 
+def test_both_ways_to_join_players(spark):
+    """Scores that carry their player's values give the same statistics."""
+    scores, players = fixture()
+    s, p = spark.createDataFrame(scores, SCORES), spark.createDataFrame(players, PLAYERS)
+    carried = s.join(
+        p.select(F.col("id").alias("player_id"), "top_pp", "ranked_play_count"), "player_id"
+    )
+    joined = board_statistics(held_scores(s, p)).collect()
+    flagged = board_statistics(flag_top_players(carried, p)).collect()
+    assert {r.leaderboard_id: r.top250 for r in flagged} == {
+        r.leaderboard_id: r.top250 for r in joined
+    }
+
+
 def test_literal_repeats_the_filtered_ratio(spark):
     scores, players = fixture()
     s, p = spark.createDataFrame(scores, SCORES), spark.createDataFrame(players, PLAYERS)

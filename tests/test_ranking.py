@@ -32,9 +32,10 @@ def expected(rows, by):
     for members in groups.values():
         members.sort(key=lambda r: (-r[2], r[0]))
         total, some = len([r for r in members if r[3] != 0]), 0
+        top = max(r[3] for r in members)
         for place, r in enumerate(members, 1):
             some += r[3] > 2
-            found[r[0]] = (place, some, total)
+            found[r[0]] = (place, some, total, top)
     return found
 
 
@@ -50,10 +51,11 @@ def test_positions(spark, by, policy):
         "place",
         running={"some": F.col("k") > 2},
         totals={"total": F.col("k") != 0},
+        highest={"top": "k"},
         policy=policy,
     )
-    assert set(placed.columns) == {"id", "g", "v", "k", "place", "some", "total"}
-    found = {r.id: (r.place, r.some, r.total) for r in placed.collect()}
+    assert set(placed.columns) == {"id", "g", "v", "k", "place", "some", "total", "top"}
+    found = {r.id: (r.place, r.some, r.total, r.top) for r in placed.collect()}
     assert found == expected(rows, by)
 
 
