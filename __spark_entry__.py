@@ -83,8 +83,9 @@ def _rounded(df: DataFrame, decimals: int = 4) -> DataFrame:
 
 
 def ingest_dump(spark, folder):
-    tables = retail.dump(spark, folder)
-    read = dump.parse_dump(dump.pack_dump(tables, parts=16))
+    path = new_path(spark, "dump")
+    dump.write_dump(retail.dump(spark, folder), path)
+    read = dump.read_dump(spark, path)
     rows = [
         read["players"].select(
             F.lit("players").alias("table_name"),

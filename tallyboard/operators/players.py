@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyboard.config import DEFAULT_RATING, DEFAULT_SKEW, RatingConfig, SkewPolicy
 from tallyboard.functions.numbers import tie_key
 from tallyboard.operators.ranking import HotGroups, find_hot_groups, with_position
+from tallyboard.session import materialise
 
 # Rows without a country are not ranked; they are spread over this many groups so
 # that they do not all meet in one.
@@ -49,12 +50,15 @@ def player_ranks(
         F.col("country").isNull(), F.pmod(F.xxhash64("player_id"), F.lit(_UNRANKED_GROUPS))
     ).otherwise(F.lit(0))
     located = located.withColumn("_spread", spread)
+    hot = _hot_countries(players, policy)
+    if hot.groups:
+        located = materialise(located, "located-players")
     placed = with_position(
         located,
         ["country", "_spread"],
         [F.col("rank").asc()],
         "country_rank",
-        hot=_hot_countries(players, policy),
+        hot=hot,
         policy=policy,
     )
     unranked = F.when(F.col("country").isNull(), F.lit(0)).otherwise(F.col("country_rank"))

@@ -61,10 +61,15 @@ def find_hot_groups(
         return HotGroups(rows, 1)
     sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
     hot = sizes.where(F.col("_rows") > policy.hot_rows)
+    if rows is not None:
+        # known to be large: store the finding, so the table is read only once
+        hot = materialise(hot, "hot-groups")
     found = hot.agg(F.count("*").alias("groups"), F.sum("_rows").alias("rows")).first()
     if found["groups"] == 0:
         return HotGroups()
-    return HotGroups(found["rows"], found["groups"], materialise(hot.select(*by), "hot-groups"))
+    if rows is None:
+        hot = materialise(hot, "hot-groups")
+    return HotGroups(found["rows"], found["groups"], hot.select(*by))
 
 
 def with_position(
@@ -83,6 +88,9 @@ def with_position(
     ``running`` names conditions counted up to and including the row, ``totals``
     names conditions counted over the whole group, ``highest`` names columns whose
     maximum in the group is added. An empty ``by`` is one group.
+
+    With hot groups ``df`` is read once for them and once for the others; store it
+    first where computing it takes more than a scan.
     """
     extra = (dict(running or {}), dict(totals or {}), dict(highest or {}))
     if hot is None:

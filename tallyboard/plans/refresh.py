@@ -40,6 +40,9 @@ def refresh_scores(
     few_boards = boards.count() <= policy.broadcast_rows
     scored = score_pp(scores, boards, config, few_boards)
     ranked = score_ranks(scored, config, hot_boards, policy)
+    if hot_players.groups:
+        # usual and hot players are placed separately: do not rank twice for that
+        ranked = materialise(ranked, "ranked-scores")
     weighted = score_weights_and_holders(ranked, config, hot_players, policy)
     imported = [c for c in scores.columns if c not in SCORE_COMPUTED]
     return weighted.select(*imported, *SCORE_COMPUTED, *HOLDER_COLUMNS)

@@ -2,11 +2,14 @@
 
 A dump may be one document or many. One huge JSON document cannot be split among
 tasks, so anything large should come as JSON lines with bounded documents
-(``pack_dump`` makes such), or as one Parquet table per list.
+(``write_dump`` makes such), or as one Parquet table per list.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +35,16 @@ def unpack_dump(documents: DataFrame) -> dict[str, DataFrame]:
     return {t: documents.select(F.inline(t)) for t in TABLES}
 
 
-def pack_dump(tables: dict[str, DataFrame], parts: int) -> DataFrame:
-    """Dump documents as texts in ``value``: ``parts`` per table.
+def pack_dump(tables: Mapping[str, DataFrame], rows_per_document: int = 10_000) -> DataFrame:
+    """Dump documents as texts in ``value``, each with rows of one table.
 
-    Rows are spread by a hash of their unique id, so no document grows with one
-    board or player. Choose ``parts`` so that a document stays within a few MB.
+    Rows are spread by a hash of their id, which is unique, so a document does not
+    grow with one board or player; their number grows with the table.
     """
     documents = None
     for name in TABLES:
         df = tables[name]
+        parts = max(1, math.ceil(df.count() / rows_per_document))
         part = F.pmod(F.xxhash64("id"), F.lit(parts))
         packed = df.groupBy(part.alias("part")).agg(
             F.collect_list(F.struct(*df.columns)).alias(name)
@@ -48,3 +52,10 @@ def pack_dump(tables: dict[str, DataFrame], parts: int) -> DataFrame:
         texts = packed.select(F.to_json(F.struct(name)).alias("value"))
         documents = texts if documents is None else documents.unionByName(texts)
     return documents
+
+
+def write_dump(
+    tables: Mapping[str, DataFrame], path: str, rows_per_document: int = 10_000
+) -> None:
+    """Write a dump as JSON lines that ``read_dump`` reads back."""
+    pack_dump(tables, rows_per_document).write.text(path)

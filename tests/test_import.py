@@ -85,7 +85,9 @@ def test_a_broken_document_is_an_error(spark):
 
 def test_packed_dump_reads_back(spark):
     tables = retail.dump(spark, SF)
-    read = dump.parse_dump(dump.pack_dump(tables, parts=5))
+    documents = dump.pack_dump(tables, rows_per_document=900)
+    assert documents.count() == 6 + 1 + 1
+    read = dump.parse_dump(documents)
     for name, df in tables.items():
         assert read[name].schema.simpleString() == df.schema.simpleString()
         assert read[name].exceptAll(df).count() == 0
