@@ -22,6 +22,7 @@ from tallyboard.config import (
     CURVE_A,
     DEFAULT_MULTIPLIERS,
     DEFAULT_RATING,
+    DEFAULT_SKEW,
     RANKED_MULTIPLIERS,
 )
 from tallyboard.functions import curves, modifiers, numbers, points, rating
@@ -457,7 +458,10 @@ def _plain_axes(df: DataFrame) -> DataFrame:
 
 def _series_axes(x_axis: str, y_axis: str):
     def query(spark, folder):
-        return _plain_axes(series.series_axes(_series(spark, folder), x_axis, y_axis))
+        boards = _current(spark, folder)["leaderboards"].count()
+        few = boards <= DEFAULT_SKEW.broadcast_rows
+        points = series.series_axes(_series(spark, folder), x_axis, y_axis, few_boards=few)
+        return _plain_axes(points)
 
     return query
 

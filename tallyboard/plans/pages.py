@@ -52,7 +52,7 @@ def ranking_slice(players: DataFrame, number: int, size: int = RANKING_PAGE) ->
     Costs the same for every page: the bounds go down to the Parquet scan.
     """
     first = (max(number, 1) - 1) * size + 1
-    return players.where(F.col("rank").between(first, first + size - 1)).orderBy("rank")
+    return players.where(F.col("rank").between(first, first + size - 1)).orderBy("rank").limit(size)
 
 
 def player_page(
@@ -77,7 +77,7 @@ def player_page(
         "stars",
         "cover",
     )
-    return own.join(about, "leaderboard_id").orderBy(F.desc("pp"), F.asc("id"))
+    return page(own.join(about, "leaderboard_id"), [F.desc("pp"), F.asc("id")], 1, size)
 
 
 # ---- leaderboards ------------------------------------------------------------
@@ -104,7 +104,7 @@ def leaderboard_page(
         F.col("rank").alias("player_rank"),
         F.col("avatar").alias("player_avatar"),
     )
-    return own.join(about, "player_id").orderBy(F.desc("pp"), F.asc("id"))
+    return page(own.join(about, "player_id"), [F.desc("pp"), F.asc("id")], 1, size)
 
 
 def search_like(boards: DataFrame, text: str | None) -> DataFrame:

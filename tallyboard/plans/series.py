@@ -81,26 +81,34 @@ def _present(column: str, axis: str) -> Column:
     return F.coalesce(F.col(column) != 0, F.lit(False))
 
 
-def with_board_total(series: DataFrame) -> DataFrame:
+def with_board_total(series: DataFrame, few_boards: bool = False) -> DataFrame:
     """Add the number of scores of each board.
 
     An aggregate joined back, not a window: it is combined before its shuffle and
-    its result is one row per board.
+    its result is one row per board. ``few_boards`` says that the number of boards
+    was checked, and broadcasts it; then the scores are not shuffled at all.
     """
     totals = series.groupBy("leaderboard_id").agg(F.count("*").alias("board_total"))
+    if few_boards:
+        totals = F.broadcast(totals)
     return series.join(totals, "leaderboard_id")
 
 
 def series_axes(
-    series: DataFrame, x_axis: str = "playerRank", y_axis: str = "weight", literal: bool = False
+    series: DataFrame,
+    x_axis: str = "playerRank",
+    y_axis: str = "weight",
+    literal: bool = False,
+    few_boards: bool = False,
 ) -> DataFrame:
     """Points (x, y) of each score on two named axes, with its modifiers as a list.
 
     Scores of unranked players, and scores without a value on an axis that needs
-    one, are left out.
+    one, are left out. Board totals are only counted for the rank axis.
     """
-    points = with_board_total(series).where(F.coalesce("player_rank", F.lit(0)) != 0)
-    points = points.select(
+    if "rank" in (x_axis, y_axis):
+        series = with_board_total(series, few_boards)
+    points = series.where(F.coalesce("player_rank", F.lit(0)) != 0).select(
         "*",
         axis_value(x_axis, literal).alias("x"),
         axis_value(y_axis, literal).alias("y"),
@@ -121,7 +129,9 @@ def compare_series(
 
     def points(board: str, flag: bool) -> DataFrame:
         own = series.where(F.col("leaderboard_id") == board)
-        return series_axes(own, x_axis, y_axis, literal).withColumn("is_compare", F.lit(flag))
+        # one board, so one total
+        axes = series_axes(own, x_axis, y_axis, literal, few_boards=True)
+        return axes.withColumn("is_compare", F.lit(flag))
 
     return points(leaderboard_id, False).unionByName(points(compare_id, True))
 
