@@ -27,14 +27,16 @@ def refresh_scores(
     boards: DataFrame,
     config: RatingConfig = DEFAULT_RATING,
     policy: SkewPolicy = DEFAULT_SKEW,
+    rows: int | None = None,
 ) -> DataFrame:
     """Scores with points, rank in their board and weight.
 
     One shuffle by board and one by player. Group sizes are taken from the stored
     table, before the join, where they cost a scan of one column. The player's
-    best points and play count come along, for the board statistics.
+    best points and play count come along, for the board statistics. ``rows`` is
+    the number of scores where it is known.
     """
-    rows = scores.count()
+    rows = scores.count() if rows is None else rows
     hot_boards = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
     hot_players = find_hot_groups(scores, ["player_id"], policy, rows)
     few_boards = boards.count() <= policy.broadcast_rows
@@ -68,13 +70,15 @@ def refresh_boards(
     players: DataFrame,
     config: RatingConfig = DEFAULT_RATING,
     policy: SkewPolicy = DEFAULT_SKEW,
+    rows: int | None = None,
 ) -> DataFrame:
     """Leaderboards with statistics; those without scores keep what they have.
 
     ``scores`` are those of ``refresh_scores``. What is shuffled are seven narrow
     columns of them, once, by board.
     """
-    hot = find_hot_groups(scores, ["leaderboard_id"], policy, scores.count())
+    rows = scores.count() if rows is None else rows
+    hot = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
     stats = board_statistics(flag_top_players(scores, players, config), config, hot, policy)
     return apply_updates(
         boards, stats.withColumnRenamed("leaderboard_id", "id"), list(BOARD_COMPUTED)
@@ -92,13 +96,14 @@ def refresh_all(
     later stage reads several times what the one before computed, and none has to
     start over when an executor is lost. The boards are returned unwritten.
     """
-    boards = tables["leaderboards"]
-    scores = materialise(refresh_scores(tables["scores"], boards, config, policy), "scores")
+    boards, rows = tables["leaderboards"], tables["scores"].count()
+    scores = refresh_scores(tables["scores"], boards, config, policy, rows)
+    scores = materialise(scores, "scores")
     players = materialise(refresh_players(tables["players"], scores, config, policy), "players")
     return {
         "scores": scores.drop(*HOLDER_COLUMNS),
         "players": players,
-        "leaderboards": refresh_boards(boards, scores, players, config, policy),
+        "leaderboards": refresh_boards(boards, scores, players, config, policy, rows),
     }
 
 

@@ -19,6 +19,25 @@ RECOMMENDED = {
 }
 
 
+# A score takes about this many bytes in a shuffle, and this much is a good size
+# for one shuffle partition. Beyond the maximum the partitions grow instead: the
+# number of shuffle blocks is mappers times partitions.
+_SCORE_BYTES = 160
+_PARTITION_BYTES = 256 * 1024 * 1024
+_MAX_PARTITIONS = 100_000
+
+
+def shuffle_partitions(scores: int, cores: int) -> int:
+    """A value for ``spark.sql.shuffle.partitions`` by the number of scores.
+
+    Adaptive execution merges partitions that turn out small but does not split
+    ordinary ones that are too large, so the number has to be high enough. The
+    default of 200 holds up to about 300 million scores.
+    """
+    wanted = -(-scores * _SCORE_BYTES // _PARTITION_BYTES)
+    return max(cores, min(wanted, _MAX_PARTITIONS))
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -19,9 +19,12 @@ TABLES = ("players", "scores", "maps")
 
 
 def read_dump(spark: SparkSession, path: str, multi_line: bool = False) -> dict[str, DataFrame]:
-    """Read JSON dump documents: one per line, or one per file."""
-    documents = spark.read.schema(DUMP_DOCUMENT).json(path, multiLine=multi_line)
-    return unpack_dump(documents)
+    """Read JSON dump documents: one per line, or one per file.
+
+    A document that is not valid stops the read instead of being skipped.
+    """
+    reader = spark.read.schema(DUMP_DOCUMENT).option("mode", "FAILFAST")
+    return unpack_dump(reader.json(path, multiLine=multi_line))
 
 
 def parse_dump(lines: DataFrame) -> dict[str, DataFrame]:

@@ -83,6 +83,13 @@ def test_a_broken_document_is_an_error(spark):
         dump.parse_dump(lines)["players"].collect()
 
 
+def test_a_broken_file_is_an_error(spark, tmp_path):
+    path = tmp_path / "dump.json"
+    path.write_text(json.dumps(DOCUMENT) + "\n{cut off")
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING"):
+        dump.read_dump(spark, str(path))["players"].collect()
+
+
 def test_packed_dump_reads_back(spark):
     tables = retail.dump(spark, SF)
     documents = dump.pack_dump(tables, rows_per_document=900)

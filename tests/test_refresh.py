@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.config import SkewPolicy
 from tallyboard.operators.updates import changed_values, changed_weights
-from tallyboard.plans.refresh import refresh_all, refresh_summary
+from tallyboard.plans.refresh import refresh_all, refresh_scores, refresh_summary
 from tallyboard.plans.rescore import what_if_rescore
 from __spark_entry__ import TRIAL_RATING
 
@@ -163,6 +163,17 @@ def test_hot_groups_change_nothing(refreshed):
             assert changed.count() == 0, (table, column)
 
 
+def test_orphans_stay(spark, refreshed):
+    """Scores without a board keep their row and get no points."""
+    imported, once = refreshed
+    fewer = imported | {"leaderboards": imported["leaderboards"].where("id <> '7'")}
+    scores = refresh_scores(fewer["scores"], fewer["leaderboards"])
+    assert scores.count() == 45832
+    lost = scores.where("leaderboard_id = '7'").agg(F.count("*"), F.max("pp"), F.max("weight"))
+    found = lost.first()
+    assert found[0] > 100 and found[1] == 0
+
+
 def test_summary(refreshed):
     rows = {(r.table_name, r.column_name): r for r in refresh_summary(refreshed[1]).collect()}
     assert rows["scores", "pp"].rows == 45832
