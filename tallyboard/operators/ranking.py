@@ -6,11 +6,10 @@ scores. So the group sizes are looked at first (one aggregate over the key
 columns, combined before the shuffle), and only the groups above
 ``SkewPolicy.hot_rows`` take a second way:
 
-1. their rows are range-partitioned by (group, order) and written to the scratch
-   folder together with the number of the range;
-2. positions are counted inside each (group, range);
-3. the rows of earlier ranges of the same group are added, from a table with one
-   row per (group, range).
+1. their rows are range-partitioned and sorted by (group, order), and written to
+   the scratch folder together with their range and their place in it;
+2. the rows of earlier ranges of the same group are added to the place, from a
+   table with one row per (group, range). The rows are not shuffled again.
 
 Both ways give the same numbers. The order must be total (end it with an id):
 then ties cannot pile up in one range either.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyboard.config import DEFAULT_SKEW, SkewPolicy
 from tallyboard.session import materialise
 
-RANGE = "_range"
+RANGE, PLACE = "_range", "_place_in_range"
 
 
 @dataclass(frozen=True)
@@ -135,14 +134,20 @@ def _in_one_window(df, by, order, position, running, totals, highest) -> DataFra
 
 def _in_ranges(df, by, order, position, running, totals, highest, hot, policy) -> DataFrame:
     ranges = max(2, math.ceil(hot.rows / policy.chunk_rows))
-    spread = df.repartitionByRange(ranges, *by, *order).withColumn(RANGE, F.spark_partition_id())
+    spread = (
+        df.repartitionByRange(ranges, *by, *order)
+        .sortWithinPartitions(*by, *order)
+        .withColumn(RANGE, F.spark_partition_id())
+        # rows of a partition are numbered in the lower 33 bits
+        .withColumn(PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)))
+    )
+    # once written, range and place are plain values that no retry can change
     spread = materialise(spread, "ranges")
 
-    local = _in_one_window(spread, [*by, RANGE], order, position, running, {}, {})
-
     # at most one row per range and one more per group
     sizes = spread.groupBy(*by, RANGE).agg(
         F.count("*").alias("_rows"),
+        F.min(PLACE).alias("_first"),
         *[_count(c).alias(f"_run_{n}") for n, c in running.items()],
         *[_count(c).alias(f"_all_{n}") for n, c in totals.items()],
         *[F.max(c).alias(f"_max_{n}") for n, c in highest.items()],
@@ -151,21 +156,27 @@ def _in_ranges(df, by, order, position, running, totals, highest, hot, policy) -
     earlier = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
     def before(column: str) -> Column:
-        return F.coalesce(F.sum(column).over(earlier), F.lit(0)).alias(column)
+        return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
     offsets = sizes.select(
         *[F.col(c).alias(f"_key_{c}") for c in [*by, RANGE]],
-        before("_rows"),
-        *[before(f"_run_{n}") for n in running],
+        (before("_rows") - F.col("_first") + 1).alias("_shift"),
+        *[before(f"_run_{n}").alias(f"_run_{n}") for n in running],
         *[F.sum(f"_all_{n}").over(group).alias(f"_all_{n}") for n in totals],
         *[F.max(f"_max_{n}").over(group).alias(f"_max_{n}") for n in highest],
     )
     if ranges + hot.groups <= policy.broadcast_rows:
         offsets = F.broadcast(offsets)
-    joined = local.join(offsets, _same([*by, RANGE]))
+
+    if running:
+        # the place needs no further work, a running count does: a window per range
+        so_far = Window.partitionBy(*by, RANGE).orderBy(PLACE)
+        so_far = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        spread = spread.select("*", *[_count(c).over(so_far).alias(n) for n, c in running.items()])
+    joined = spread.join(offsets, _same([*by, RANGE]))
     return joined.select(
         *df.columns,
-        (F.col(position) + F.col("_rows")).alias(position),
+        (F.col(PLACE) + F.col("_shift")).alias(position),
         *[(F.col(n) + F.col(f"_run_{n}")).alias(n) for n in running],
         *[F.col(f"_all_{n}").alias(n) for n in totals],
         *[F.col(f"_max_{n}").alias(n) for n in highest],

@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyboard.config import SkewPolicy
 from tallyboard.operators import boards, players, scores
+from tallyboard.operators.ranking import with_position
 from tallyboard.plans import pages, refresh, series
 from tallyboard.session import materialise
 
@@ -34,6 +36,17 @@ def test_score_refresh_shuffles_once_per_key(stored):
     assert plan(df).count("Sort [") == 2
 
 
+def test_hot_groups_are_not_shuffled_again(stored):
+    """After the range partitioning only one row per range moves."""
+    policy = SkewPolicy(hot_rows=100, chunk_rows=5000)
+    order = [F.desc("pp"), F.asc("id")]
+    df = with_position(stored["scores"], ["leaderboard_id"], order, "place", policy=policy)
+    # the usual groups, and for the hot ones the counts per range and their sums
+    assert shuffles(df) == ["leaderboard_id"] * 3
+    assert "rangepartitioning" not in plan(df)
+    assert "partial_count" in plan(df)
+
+
 def test_totals_reuse_the_grouping_of_the_weights(stored):
     scored = scores.score_pp(stored["scores"], stored["leaderboards"])
     assert shuffles(players.player_totals(scores.score_weights(scored))) == ["player_id"]
