@@ -31,7 +31,7 @@ from tallyboard.operators import integrity, podium, updates
 from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
 from tallyboard.plans import pages, refresh, rescore, series
-from tallyboard.schema import PLAYER_COMPUTED, RATING_FIELDS, SCORE_COMPUTED, STORED_FAMILIES
+from tallyboard.schema import RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import new_path
 from tallyboard.sources import dump, importer, retail, snapshots
 
@@ -442,7 +442,8 @@ def score_series(spark, folder):
 def series_json(spark, folder):
     rows = series.series_json(_series(spark, folder))
     read = F.from_json("json", "player_id string, rank bigint, pp double, fc boolean")
-    return _rounded(rows.select("id", "leaderboard_id", read.alias("s")).select("id", "leaderboard_id", "s.*"))
+    parsed = rows.select("id", "leaderboard_id", read.alias("entry"))
+    return _rounded(parsed.select("id", "leaderboard_id", "entry.*"))
 
 
 def _plain_axes(df: DataFrame) -> DataFrame:

@@ -471,7 +471,10 @@ def oracle_queries() -> dict[str, str]:
     q["duplicate_keys"] = """
       SELECT l_orderkey * 8 + l_linenumber AS id, count(*) AS n FROM lineitem
       GROUP BY 1 HAVING count(*) > 1"""
-    listing = "SELECT '{}' AS listing, {} AS key, count(*) AS total, CAST(ceil(count(*) / {}.0) AS BIGINT) AS pages FROM {}"
+    listing = (
+        "SELECT '{}' AS listing, {} AS key, count(*) AS total,"
+        " CAST(ceil(count(*) / {}.0) AS BIGINT) AS pages FROM {}"
+    )
     q["page_counts"] = _base(
         " UNION ALL ".join(
             [

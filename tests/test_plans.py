@@ -74,6 +74,17 @@ def test_formula_stays_in_generated_code(stored):
     assert "PythonUDF" not in text and "ArrowEvalPython" not in text
 
 
+def test_generated_methods_can_be_compiled(spark, stored, capsys):
+    """The JVM leaves methods above 8000 bytes to the interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        refresh.refresh_scores(stored["scores"], stored["leaderboards"]).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 @pytest.mark.parametrize("number", [1, 7])
 def test_pages_are_top_k(stored, number):
     for df in (
