@@ -38,39 +38,40 @@ def player_ranks(
     config: RatingConfig = DEFAULT_RATING,
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Add the global rank and the rank inside the country (0 without one).
+    """Add the country, the global rank and the rank inside the country (0 without one).
 
-    ``totals`` is read several times; pass a stored table where it is costly.
+    Totals of unknown players are left out, so the number of players bounds the
+    rows of the global window. Above ``policy.hot_rows`` the rows are stored first:
+    then they are read several times.
     """
-    order = [tie_key(F.col("pp"), config.tie_decimals).desc(), F.col("player_id").asc()]
+    known = players.count()
     countries = players.select(F.col("id").alias("player_id"), "country")
-    ranked = with_position(totals, [], order, "rank", policy=policy)
-    located = ranked.join(countries, "player_id", "left")
+    located = totals.join(countries, "player_id")
+    hot_countries = HotGroups()
+    if known > policy.hot_rows:
+        located = materialise(located, "located-players")
+        # among all players, of whom the ranked ones are a part
+        named = players.where("country is not null")
+        hot_countries = find_hot_groups(named, ["country"], policy, known)
+
+    order = [tie_key(F.col("pp"), config.tie_decimals).desc(), F.col("player_id").asc()]
+    everyone = find_hot_groups(located, [], policy, known)
+    ranked = with_position(located, [], order, "rank", hot=everyone, policy=policy)
     spread = F.when(
         F.col("country").isNull(), F.pmod(F.xxhash64("player_id"), F.lit(_UNRANKED_GROUPS))
     ).otherwise(F.lit(0))
-    located = located.withColumn("_spread", spread)
-    hot = _hot_countries(players, policy)
-    if hot.groups:
-        located = materialise(located, "located-players")
+    ranked = ranked.withColumn("_spread", spread)
+    if hot_countries.groups:
+        ranked = materialise(ranked, "ranked-players")
+        keys = hot_countries.keys.withColumn("_spread", F.lit(0).cast("bigint"))
+        hot_countries = HotGroups(hot_countries.rows, hot_countries.groups, keys)
     placed = with_position(
-        located,
+        ranked,
         ["country", "_spread"],
         [F.col("rank").asc()],
         "country_rank",
-        hot=hot,
+        hot=hot_countries,
         policy=policy,
     )
     unranked = F.when(F.col("country").isNull(), F.lit(0)).otherwise(F.col("country_rank"))
     return placed.withColumn("country_rank", unranked.cast("bigint")).drop("_spread")
-
-
-def _hot_countries(players: DataFrame, policy: SkewPolicy) -> HotGroups:
-    """Looked for among all players, of whom the ranked ones are a part."""
-    hot = find_hot_groups(
-        players.where("country is not null"), ["country"], policy, rows=players.count()
-    )
-    if hot.groups == 0:
-        return hot
-    keys = hot.keys.withColumn("_spread", F.lit(0).cast("bigint"))
-    return HotGroups(hot.rows, hot.groups, keys)

@@ -57,8 +57,7 @@ def refresh_players(
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Players with totals and ranks; those without scores keep what they have."""
-    totals = materialise(player_totals(scores), "player-totals")
-    ranked = player_ranks(totals, players, config, policy)
+    ranked = player_ranks(player_totals(scores), players, config, policy)
     return apply_updates(
         players, ranked.withColumnRenamed("player_id", "id"), list(PLAYER_COMPUTED)
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.config import SkewPolicy
+from tallyboard.operators.players import player_ranks, player_totals
 from tallyboard.operators.updates import changed_values, changed_weights
 from tallyboard.plans.refresh import refresh_all, refresh_scores, refresh_summary
 from tallyboard.plans.rescore import what_if_rescore
@@ -163,6 +164,14 @@ def test_hot_groups_change_nothing(refreshed):
             assert changed.count() == 0, (table, column)
 
 
+def test_unknown_players_take_no_rank(spark, refreshed):
+    totals = player_totals(refreshed[1]["scores"])
+    fewer = refreshed[0]["players"].where("id <> '18'")
+    ranks = player_ranks(totals, fewer)
+    ends = ranks.agg(F.count("*"), F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
+    assert tuple(ends) == (609, 1, 609, 609)
+
+
 def test_orphans_stay(spark, refreshed):
     """Scores without a board keep their row and get no points."""
     imported, once = refreshed
