@@ -561,7 +561,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         registry[f"stats_by_{column}_asc"] = _stats_by(name, False)
     for label, axes in SERIES_AXES.items():
         registry[f"series_axes_{label}"] = _series_axes(*axes)
-    return registry
+    return registry | _llm("queries")
 
 
 # every axis at least once
@@ -575,4 +575,20 @@ SERIES_AXES = {
 
 def oracle_sql() -> dict[str, str]:
     """The DuckDB query each entry of ``queries()`` must agree with."""
-    return oracle_queries()
+    return oracle_queries() | _llm("oracle_sql")
+
+
+def _llm(part: str) -> dict:
+    """What the subpackage ``llm`` registers, if it is there."""
+    try:
+        from tallyboard.llm import registry
+    except ModuleNotFoundError as missing:
+        if (missing.name or "").startswith("tallyboard.llm") or "tallyboard.llm" in str(missing):
+            return {}
+        raise
+    except ImportError as missing:
+        # an emptied folder still imports, but holds no registry
+        if "tallyboard.llm" in str(missing):
+            return {}
+        raise
+    return getattr(registry, part)()
