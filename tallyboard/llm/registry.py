@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import exact_dedup, mixing, packing, token_files, url_lists, warc
+from tallyboard.llm import exact_dedup, fingerprints, mixing, packing, token_files, url_lists, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_fingerprints": fingerprints.query,
         "op4_packing": packing.query,
         "op5_url_lists": url_lists.query,
         "op6_mixing": mixing.query,
