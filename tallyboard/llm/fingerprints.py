@@ -5,8 +5,10 @@ bases modulo 2**31 - 1. The hash of any span follows from two of its entries, so
 equality of spans costs a few operations and the longest common extension of two
 places is found by binary search. A fingerprint holds the number of code points, the
 hash of the whole text, and for each of 128 slots the least of the mixed hashes of
-all spans of 8 code points that fall in the slot. Equal texts have equal
-fingerprints; the share of equal slots estimates how many spans two texts share.
+all spans of 6 code points that fall in the slot (in texts below 48 code points, of
+all shorter spans too). A span's second occurrence is a span of its own, and so on.
+Equal texts have equal fingerprints; the share of equal slots estimates the share of
+spans that two texts have in common.
 
 Each document meets the next one, by ascending id, in ranges of ids: a range is one
 sorted partition, and the first document of a range is also sent to the range before
@@ -34,6 +36,7 @@ from tallyboard.llm import ranges
 MODULUS = (1 << 31) - 1
 BASES = (1_000_003_133, 748_391_207)
 SPAN = 6
+SHORT = 48
 SLOTS = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = 0xFFFF
@@ -121,12 +124,16 @@ def sketch(prefixes: Prefixes) -> np.ndarray:
     slots = np.full(SLOTS, _EMPTY, np.uint16)
     if not prefixes.size:
         return slots
-    hashes = np.sort(prefixes.spans(min(SPAN, prefixes.size)))
+    longest = min(SPAN, prefixes.size)
+    lengths = range(1 if prefixes.size < SHORT else longest, longest + 1)
+    hashes = np.sort(
+        np.concatenate([prefixes.spans(n) + np.uint64((n % SPAN) << 31) for n in lengths])
+    )
     # the k-th time a span occurs counts as a span of its own
     places = np.arange(len(hashes), dtype=np.uint64)
     begins = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     times = places - np.maximum.accumulate(np.where(begins, places, np.uint64(0)))
-    mixed = (hashes + np.uint64(1) + (times << np.uint64(31))) * _MIX
+    mixed = (hashes + np.uint64(1) + (times << np.uint64(34))) * _MIX
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
     keys = np.sort((mixed >> np.uint64(41)).astype(np.uint32))  # 7 bits of slot, 16 of value
     firsts = np.searchsorted(keys, np.arange(SLOTS, dtype=np.uint32) << np.uint32(16))
