@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import exact_dedup, fingerprints, language, mixing, packing, token_files, url_lists, warc
+from tallyboard.llm import exact_dedup, fingerprints, language, mixing, packing, quality, token_files, url_lists, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language": language.query,
+        "op2_quality": quality.query,
         "op3_fingerprints": fingerprints.query,
         "op4_packing": packing.query,
         "op5_url_lists": url_lists.query,
