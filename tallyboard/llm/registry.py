@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import exact_dedup, fingerprints, language, mixing, packing, quality, token_files, url_lists, warc
+import corpus_pipeline
+from tallyboard.llm import exact_dedup, fingerprints, language, mixing, near_dedup, packing, quality, token_files, url_lists, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,10 @@ def queries() -> dict[str, Query]:
         "op5_url_lists": url_lists.query,
         "op6_mixing": mixing.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op8_near_dedup": near_dedup.query,
         "op9_warc_derivatives": warc.query,
         "op10_token_files": token_files.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
