@@ -579,16 +579,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _llm(part: str) -> dict:
-    """What the subpackage ``llm`` registers, if it is there."""
+    """What the subpackage ``llm`` registers, if it and its pipeline are there."""
     try:
         from tallyboard.llm import registry
-    except ModuleNotFoundError as missing:
-        if (missing.name or "").startswith("tallyboard.llm") or "tallyboard.llm" in str(missing):
-            return {}
-        raise
     except ImportError as missing:
         # an emptied folder still imports, but holds no registry
-        if "tallyboard.llm" in str(missing):
+        if any(name in str(missing) for name in ("tallyboard.llm", "corpus_pipeline")):
             return {}
         raise
     return getattr(registry, part)()
