@@ -209,7 +209,7 @@ def token_lists(docs: DataFrame, frequent, percent: int = PERCENT) -> DataFrame:
     Postings travel as packed arrays, one per task and target.
     """
     spark = docs.sparkSession
-    targets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    targets = _targets(docs)
     shared = spark.sparkContext.broadcast(frequent)
     record = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("hot", "u1")])
 
@@ -433,8 +433,9 @@ def likeliest(lists: DataFrame) -> DataFrame:
     """pivot, node: each node with the node it shares most leading tokens with, of those
     that come first in a token's list."""
     first = lists.groupBy("token").agg(F.min("node").alias("pivot"), F.count("*").alias("held"))
+    first = materialise(first.filter("held > 1").select("token", "pivot"), "firsts")
     shared = (
-        lists.join(first.filter("held > 1"), "token")
+        lists.join(first, "token")
         .filter("node <> pivot")
         .groupBy("node", "pivot")
         .agg(F.count("*").alias("times"))
@@ -461,6 +462,7 @@ def across(lists: DataFrame, groups: DataFrame) -> DataFrame:
         .filter("low < high")
         .select("token", "held")
     )
+    several = materialise(several, "several")
     return materialise(placed.join(several, "token"), "across")
 
 
@@ -504,6 +506,11 @@ def _pair_rows(pairs: set) -> pa.RecordBatch:
     )
 
 
+def _targets(df: DataFrame) -> int:
+    """Shuffle partitions; a number given keeps small but costly rows apart."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def candidates(matrix: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pivot, node: nodes of different groups that share a leading token of no more than
     ``WIDE`` nodes, and that the bounds allow to link."""
@@ -523,7 +530,7 @@ def candidates(matrix: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> D
     few = (
         matrix.filter(F.col("held") <= WIDE)
         .select("token", "node", "n", "component")
-        .repartition("token")
+        .repartition(_targets(matrix), "token")
         .sortWithinPartitions("token")
         .mapInArrow(narrow, "pivot long, node long")
         .distinct()
@@ -735,8 +742,12 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = nodes.drop("buckets").join(groups, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    least = placed.filter("node IS NOT NULL").groupBy("component").agg(
-        F.min("doc_id").alias("component_id")
+    # written, so that a join with a large component can be split
+    least = materialise(
+        placed.filter("node IS NOT NULL")
+        .groupBy("component")
+        .agg(F.min("doc_id").alias("component_id")),
+        "least",
     )
     return placed.join(least, "component", "left").select(
         "doc_id",
