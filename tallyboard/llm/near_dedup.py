@@ -50,13 +50,13 @@ SALTS = 16
 #: Postings a task holds before it hands them on.
 LOT_POSTINGS = 500_000
 #: Members compared with one node in one task.
-MEMBERS = 2000
+MEMBERS = 256
 #: Nodes of a token beyond which candidates stay in packed arrays.
 WIDE = 50
 #: Nodes of a token that one task holds against as many others.
 BLOCK = 1024
-#: Buckets of a set's token counts.
-BUCKETS = 256
+#: Buckets of a set's token counts, and of the brief counts that lists carry.
+BUCKETS, BRIEF = 256, 64
 
 _SHIFT = np.random.default_rng(8).integers(1, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -99,9 +99,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def bucket_counts(tokens: np.ndarray) -> np.ndarray:
+def bucket_counts(tokens: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Tokens in each bucket of the hash, up to 255, which stands for any more."""
-    held = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+    shift = np.uint64(65 - buckets.bit_length())
+    held = np.bincount((tokens >> shift).astype(np.int64), minlength=buckets)
     return np.minimum(held, 255).astype(np.uint8)
 
 
@@ -154,15 +155,16 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([bucket_counts(s).tobytes() for s in sets], pa.binary()),
+                pa.array([bucket_counts(s, BRIEF).tobytes() for s in sets], pa.binary()),
             ],
-            ["doc_id", "text_key", "n", "node", "buckets"],
+            ["doc_id", "text_key", "n", "node", "buckets", "brief"],
         )
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n, node (null for an empty set), buckets of every row, written
-    once."""
-    ddl = "doc_id long, text_key long, n long, node long, buckets binary"
+    """doc_id, text_key, n, node (null for an empty set), buckets and brief of every row,
+    written once."""
+    ddl = "doc_id long, text_key long, n long, node long, buckets binary, brief binary"
     return materialise(_texts(docs).mapInArrow(_nodes, ddl), "nodes")
 
 
@@ -290,13 +292,14 @@ def token_lists(docs: DataFrame, frequent, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def representatives(nodes: DataFrame) -> DataFrame:
-    """node, buckets and the document (doc_id, text_key) that stands for it."""
+def representatives(nodes: DataFrame, *columns: str) -> DataFrame:
+    """node and columns of the document (text_key, doc_id, buckets, brief) that stands
+    for it."""
     return (
         nodes.filter("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min(F.struct("text_key", "doc_id", "buckets")).alias("of"))
-        .select("node", "of.text_key", "of.doc_id", "of.buckets")
+        .agg(F.min(F.struct("text_key", "doc_id", *columns)).alias("of"))
+        .select("node", *[f"of.{c}" for c in columns or ("text_key", "doc_id")])
     )
 
 
@@ -466,18 +469,6 @@ def across(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return materialise(placed.join(several, "token"), "across")
 
 
-def _pairs_of(nodes: np.ndarray, n: np.ndarray, groups: np.ndarray, percent: int):
-    """Nodes of other groups whose sizes allow a link, the lesser one first."""
-    order = np.argsort(n, kind="stable")
-    nodes, n, groups = nodes[order], n[order], groups[order]
-    until = np.searchsorted(n * percent, n * 100, "right")
-    for k, end in enumerate(until.tolist()):
-        far = np.flatnonzero(groups[k + 1 : end] != groups[k]) + k + 1
-        for other in nodes[far].tolist():
-            own = int(nodes[k])
-            yield (own, other) if own < other else (other, own)
-
-
 def _runs(batches: Iterator[pa.RecordBatch], keys: int):
     """Columns of all rows with the same first ``keys`` columns, which arrive sorted."""
     at, held = None, []
@@ -500,10 +491,40 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _pair_rows(pairs: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int64()) for c in zip(*pairs)], ["pivot", "node"]
+def _short_lists(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of other groups within each token, as far as sizes and brief counts
+    allow a link; the lesser node first."""
+    if not len(table):
+        return
+    token, node, n, component = (
+        table.column(c).to_numpy() for c in ("token", "node", "n", "component")
     )
+    brief = _grid(table.column("brief"), BRIEF)
+    found: list[np.ndarray] = []
+    for apart in range(1, min(WIDE, len(token))):
+        one = np.flatnonzero(token[:-apart] == token[apart:])
+        if not len(one):
+            break
+        two = one + apart
+        fits = (
+            (component[one] != component[two])
+            & (100 * n[one] >= percent * n[two])
+            & (100 * n[two] >= percent * n[one])
+        )
+        one, two = one[fits], two[fits]
+        for at in range(0, len(one), 100_000):
+            i, j = one[at : at + 100_000], two[at : at + 100_000]
+            both = np.minimum(brief[i], brief[j]).astype(np.int32)
+            both[both == 255] = 1 << 24
+            keep = _may_link(both.sum(axis=1, dtype=np.int64), n[i].astype(np.int64), n[j], percent)
+            pairs = np.column_stack([node[i][keep], node[j][keep]])
+            found.append(np.column_stack([pairs.min(axis=1), pairs.max(axis=1)]))
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["pivot", "node"]
+            )
 
 
 def _targets(df: DataFrame) -> int:
@@ -514,22 +535,28 @@ def _targets(df: DataFrame) -> int:
 def candidates(matrix: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pivot, node: nodes of different groups that share a leading token of no more than
     ``WIDE`` nodes, and that the bounds allow to link."""
-    buckets = representatives(nodes).select("node", "buckets")
+    buckets = representatives(nodes, "buckets")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set = set()
-        for run in _runs(batches, 1):
-            columns = (run.column(c).to_numpy() for c in ("node", "n", "component"))
-            found.update(_pairs_of(*columns, percent))
-            if len(found) >= 200_000:
-                yield _pair_rows(found)
-                found = set()
-        if found:
-            yield _pair_rows(found)
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 200_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                tokens = table.column("token").to_numpy()
+                # the last token may have more rows to come
+                cut = int(np.searchsorted(tokens, tokens[-1]))
+                yield from _short_lists(table.slice(0, cut), percent)
+                held, rows = table.slice(cut).to_batches(), len(tokens) - cut
+        if rows:
+            yield from _short_lists(pa.Table.from_batches(held).combine_chunks(), percent)
 
     few = (
         matrix.filter(F.col("held") <= WIDE)
-        .select("token", "node", "n", "component")
+        .join(representatives(nodes, "brief"), "node")
+        .select("token", "node", "n", "component", "brief")
         .repartition(_targets(matrix), "token")
         .sortWithinPartitions("token")
         .mapInArrow(narrow, "pivot long, node long")
@@ -572,7 +599,7 @@ def wide_links(
     tokens = many.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     dealt = (
-        many.join(representatives(nodes).select("node", "buckets"), "node")
+        many.join(representatives(nodes, "buckets"), "node")
         .join(tokens, "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -669,8 +696,8 @@ def _sizes(nodes: DataFrame, name: str, size: str) -> DataFrame:
     )
 
 
-def _grid(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+def _grid(column, buckets: int = BUCKETS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, buckets)
 
 
 def _open_groups(run: pa.Table, percent: int) -> np.ndarray:
@@ -739,7 +766,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for more_edges in found:
         edges = edges.unionByName(more_edges)
     groups = materialise(components(edges), "groups")
-    placed = nodes.drop("buckets").join(groups, "node", "left").withColumn(
+    placed = nodes.drop("buckets", "brief").join(groups, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     # written, so that a join with a large component can be split
