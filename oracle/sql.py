@@ -17,14 +17,17 @@ from tallyboard.config import (
 # ---- data mapping ------------------------------------------------------------
 
 BASE = """
-merged AS (
-  SELECT l_orderkey, l_linenumber, min(l_partkey) AS partkey, min(l_quantity) AS qty,
-         min(l_discount) AS discount, min(l_tax) AS tax, min(l_returnflag) AS flag,
-         min(l_linestatus) AS status, min(l_shipdate) AS shipped
-  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+numbered AS (
+  SELECT l_orderkey, l_linenumber, l_partkey AS partkey, l_quantity AS qty, l_discount AS discount,
+         l_tax AS tax, l_returnflag AS flag, l_linestatus AS status, l_shipdate AS shipped,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+           ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+                    l_returnflag, l_linestatus, l_shipdate) - 1 AS repeat
+  FROM lineitem),
 scores AS MATERIALIZED (
-  SELECT l_orderkey * 8 + l_linenumber AS id,
-         CAST(partkey % 250 AS VARCHAR) AS leaderboard_id,
+  SELECT l_orderkey * 8 + l_linenumber + repeat * 1099511627776 AS id,
+         CAST(CASE WHEN l_orderkey % 4 = 0 THEN partkey % 20 ELSE partkey END AS VARCHAR)
+           AS leaderboard_id,
          CAST(CASE o_custkey % 3 WHEN 0 THEN o_custkey % 30 WHEN 1 THEN o_custkey % 300
               ELSE o_custkey END AS VARCHAR) AS player_id,
          CAST(epoch(shipped) AS BIGINT) AS timepost,
@@ -36,7 +39,7 @@ scores AS MATERIALIZED (
               ELSE CASE WHEN status = 'O' THEN 'NF' ELSE 'BFS' END END AS modifiers,
          flag = 'R' AS fc,
          least(1.0::DOUBLE, accuracy + 0.005::DOUBLE) AS fc_acc
-  FROM merged JOIN orders ON o_orderkey = l_orderkey),
+  FROM numbered JOIN orders ON o_orderkey = l_orderkey),
 players AS MATERIALIZED (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name,
          CASE WHEN c_custkey % 20 <> 7 THEN 'N' || c_nationkey END AS country, '' AS avatar

@@ -1,18 +1,21 @@
 """A score database read from retail tables (customer, part, orders, lineitem).
 
 Order lines stand for scores, customers for players, parts for maps. Every row of
-every table takes part. Lines meet on 250 boards, and order customers are folded
-so that a few players hold many scores.
+every table takes part, and lines that repeat a key stay scores of their own. Boards
+follow the parts, except that the lines of every fourth order meet on a few hot
+boards; order customers are folded so that a few players hold many scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS
 
-BOARDS = 250
+HOT_BOARDS = 20
+# the n-th line of a key has its id this much above the first one's
+_REPEAT = 1 << 40
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,26 +27,27 @@ def line_id(order: str = "l_orderkey", line: str = "l_linenumber") -> Column:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as they come, with the id they will have as scores."""
+    """Order lines as they come, with the id the first of each key has as a score."""
     return _table(spark, folder, "lineitem").withColumn("id", line_id())
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as dump scores. Repeated lines are merged first."""
-    # The flags are single letters. Their codes, unlike texts, can be updated in
-    # place, which lets Spark merge by hash instead of sorting all lines.
-    merged = (
-        _table(spark, folder, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            *[
-                F.min(c).alias(c)
-                for c in ("l_partkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
-            ],
-            F.min(F.ascii("l_returnflag")).alias("l_returnflag"),
-            F.min(F.ascii("l_linestatus")).alias("l_linestatus"),
-        )
-    )
+    """Order lines as dump scores. Lines of one key are numbered by all their columns."""
+    lineitem = _table(spark, folder, "lineitem")
+    key = ["l_orderkey", "l_linenumber"]
+    values = [
+        "l_partkey",
+        "l_suppkey",
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
+        "l_returnflag",
+        "l_linestatus",
+        "l_shipdate",
+    ]
+    same = Window.partitionBy(*key).orderBy(*values)
+    numbered = lineitem.withColumn("repeat", F.row_number().over(same) - 1)
     orders = _table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey"
     )
@@ -66,21 +70,24 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
         .when(line == 4, "SF,GN")
         .when(line == 5, "NA,NB")
         .when(line == 6, "fs")
-        .otherwise(F.when(F.col("l_linestatus") == ord("O"), "NF").otherwise("BFS"))
+        .otherwise(F.when(F.col("l_linestatus") == "O", "NF").otherwise("BFS"))
     )
     epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     seconds = F.timestamp_diff("SECOND", epoch, F.col("l_shipdate").cast("timestamp_ntz"))
     return (
-        merged.join(orders, "l_orderkey")
+        numbered.join(orders, "l_orderkey")
         .withColumn("accuracy", accuracy)
         .select(
-            line_id().alias("id"),
-            (F.col("l_partkey") % BOARDS).cast("string").alias("leaderboard_id"),
+            (line_id() + F.col("repeat") * _REPEAT).alias("id"),
+            F.when(F.col("l_orderkey") % 4 == 0, F.col("l_partkey") % HOT_BOARDS)
+            .otherwise(F.col("l_partkey"))
+            .cast("string")
+            .alias("leaderboard_id"),
             "accuracy",
             modifiers.alias("modifiers"),
             player.cast("string").alias("player_id"),
             seconds.alias("timepost"),
-            (F.col("l_returnflag") == ord("R")).alias("fc"),
+            (F.col("l_returnflag") == "R").alias("fc"),
             F.least(F.lit(1.0), F.col("accuracy") + 0.005).alias("fc_acc"),
         )
     )

@@ -93,7 +93,7 @@ def test_a_broken_file_is_an_error(spark, tmp_path):
 def test_packed_dump_reads_back(spark):
     tables = retail.dump(spark, SF)
     documents = dump.pack_dump(tables, rows_per_document=900)
-    assert documents.count() == 6 + 1 + 1
+    assert documents.count() == 7 + 1 + 1
     read = dump.parse_dump(documents)
     for name, df in tables.items():
         assert read[name].schema.simpleString() == df.schema.simpleString()

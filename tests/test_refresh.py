@@ -10,27 +10,30 @@ from tallyboard.plans.refresh import refresh_all, refresh_scores, refresh_summar
 from tallyboard.plans.rescore import what_if_rescore
 from __spark_entry__ import TRIAL_RATING
 
+# totals of the DuckDB queries, whose rows are rounded to four digits
 BOARD_SUMS = {
-    "count": 45832,
-    "count80": 4264,
+    "count": 60000,
+    "count80": 4265,
     "count95": 1220,
-    "average": 66.9796,
-    "top250": 9555,
-    "percentile": 162.4361,
-    "megametric": 38.7081,
-    "megametric125": 18.1128,
-    "megametric75": 19.7837,
-    "megametric40": 30.3622,
-    "pp_ratio_filtered": 33.9532,
-    "pp_ratio_unfiltered": 46.6274,
-    "total_pp": 5473171.4183,
+    "average": 451.2692,
+    "top250": 9894,
+    "percentile": 29.9029,
+    "megametric": 4.5324,
+    "megametric125": 3.7089,
+    "megametric75": 3.8120,
+    "megametric40": 9.2735,
+    "pp_ratio_filtered": 316.2337,
+    "pp_ratio_unfiltered": 378.1088,
+    "total_pp": 5547215.1989,
 }
 
+# hot boards, and one of the many small ones
 BOARDS = {
-    "0": (208, 0, 0, 0.1036, 7, 90.9821, 0.3092, 0, 0.0, 0.0, 0.0002, 0.0019, 0.0026),
-    "1": (202, 6, 2, 0.1819, 25, 11391.2515, 0.5141, 0, 0.0230, 0.0235, 0.0456, 0.0924, 0.1336),
-    "2": (188, 3, 1, 0.1445, 13, 4361.9099, 0.4275, 0, 0.0103, 0.0104, 0.0133, 0.0509, 0.0737),
-    "3": (189, 11, 4, 0.2338, 41, 16465.2176, 0.5973, 0, 0.0342, 0.0393, 0.0742, 0.1206, 0.1648),
+    "0": (816, 0, 0, 0.0900, 10, 282.5122, 0.2704, 0, 0.0, 0.0, 0.0005, 0.0025, 0.0029),
+    "1": (785, 14, 6, 0.1609, 78, 34115.9133, 0.4542, 0.1468, 0.0203, 0.0208, 0.0784, 0.1134, 0.1357),
+    "2": (762, 3, 2, 0.1211, 41, 12677.4573, 0.3552, 0, 0.0056, 0.0056, 0.0317, 0.0637, 0.0759),
+    "3": (805, 45, 9, 0.2133, 108, 59108.1685, 0.5795, 0.2047, 0.0342, 0.0386, 0.1295, 0.1484, 0.1799),
+    "500": (23, 2, 0, 0.3385, 9, 5894.6871, 0, 0, 0, 0, 0, 0.2482, 0.2738),
 }
 BOARD_ORDER = (
     "count",
@@ -60,11 +63,11 @@ def test_score_totals(refreshed):
         F.count_if(F.col("bonus_pp") < -1e-6).alias("slower"),
         F.max(F.abs(F.col("pass_pp") + F.col("acc_pp") + F.col("tech_pp") - F.col("pp"))).alias("gap"),
     ).first()
-    assert row.n == 45832
-    assert row.pp == pytest.approx(13403583.7751, abs=1e-3)
-    assert row.bonus == pytest.approx(1397231.8888, abs=1e-3)
-    assert row.top == pytest.approx(7685.2193, abs=1e-4)
-    assert (row.none, row.slower) == (2952, 13058)
+    assert row.n == 60000
+    assert row.pp == pytest.approx(15509176.3317, abs=0.02)
+    assert row.bonus == pytest.approx(1579832.0262, abs=0.02)
+    assert row.top == pytest.approx(7529.96, abs=1e-4)
+    assert (row.none, row.slower) == (4454, 17076)
     assert row.gap < 1e-8
 
 
@@ -75,32 +78,32 @@ def test_points_by_modifiers(refreshed):
     }
     assert sums == pytest.approx(
         {
-            "": 1819469.50,
-            "BFS": 1207432.15,
-            "FS": 2538427.95,
-            "NA,NB": 739995.88,
+            "": 2147610.61,
+            "BFS": 1206758.26,
+            "FS": 2946061.83,
+            "NA,NB": 865736.43,
             "NF": 0,
-            "SF,GN": 3557283.37,
-            "SS": 1266850.89,
-            "fs": 2274124.04,
+            "SF,GN": 4161983.49,
+            "SS": 1488629.13,
+            "fs": 2692396.58,
         },
-        abs=0.01,
+        abs=0.02,
     )
 
 
 def test_players(refreshed):
     players = refreshed[1]["players"]
-    known = {1: ("18", 44724.2426), 2: ("21", 44087.8703), 3: ("3", 43474.9636), 610: ("719", 857.9154)}
+    known = {1: ("12", 38366.9390), 2: ("15", 36751.1740), 3: ("6", 34626.7127), 610: ("719", 728.5365)}
     found = {r["rank"]: (r["id"], r["pp"]) for r in players.where("rank > 0").collect()}
     assert sorted(found) == list(range(1, 611))
     for rank, (player, pp) in known.items():
         assert found[rank][0] == player
         assert found[rank][1] == pytest.approx(pp, abs=1e-4)
     first = players.where("rank = 1").first()
-    assert first.top_pp == pytest.approx(5265.8743, abs=1e-4)
-    assert first.ranked_play_count == 1546
+    assert first.top_pp == pytest.approx(3707.9475, abs=1e-4)
+    assert first.ranked_play_count == 2086
     total = players.agg(F.sum("pp")).first()[0]
-    assert total == pytest.approx(5473171.4183, abs=1e-3)
+    assert total == pytest.approx(5547215.1991, abs=0.02)
     # players without scores keep their zeros
     assert players.where("rank = 0").agg(F.sum("pp"), F.max("ranked_play_count")).first() == (0.0, 0)
 
@@ -108,10 +111,10 @@ def test_players(refreshed):
 def test_boards(refreshed):
     boards = refreshed[1]["leaderboards"]
     sums = boards.agg(*[F.sum(c).alias(c) for c in BOARD_SUMS]).first().asDict()
-    assert sums == pytest.approx(BOARD_SUMS, abs=1e-3)
+    assert sums == pytest.approx(BOARD_SUMS, abs=0.02)
     scored = boards.where("count > 0")
-    assert scored.count() == 250
-    assert scored.where("megametric = 0").count() == 148
+    assert scored.count() == 2000
+    assert scored.where("megametric = 0").count() == 1984
     for row in boards.where(F.col("id").isin(*BOARDS)).collect():
         assert [row[c] for c in BOARD_ORDER] == pytest.approx(BOARDS[row["id"]], abs=6e-5)
 
@@ -177,7 +180,7 @@ def test_orphans_stay(spark, refreshed):
     imported, once = refreshed
     fewer = imported | {"leaderboards": imported["leaderboards"].where("id <> '7'")}
     scores = refresh_scores(fewer["scores"], fewer["leaderboards"])
-    assert scores.count() == 45832
+    assert scores.count() == 60000
     lost = scores.where("leaderboard_id = '7'").agg(F.count("*"), F.max("pp"), F.max("weight"))
     found = lost.first()
     assert found[0] > 100 and found[1] == 0
@@ -185,8 +188,8 @@ def test_orphans_stay(spark, refreshed):
 
 def test_summary(refreshed):
     rows = {(r.table_name, r.column_name): r for r in refresh_summary(refreshed[1]).collect()}
-    assert rows["scores", "pp"].rows == 45832
-    assert rows["leaderboards", "count"].total == 45832
+    assert rows["scores", "pp"].rows == 60000
+    assert rows["leaderboards", "count"].total == 60000
 
 
 def test_what_if(refreshed):
@@ -196,4 +199,4 @@ def test_what_if(refreshed):
     assert players.count() == 1500
     assert players.where("rank_delta <> 0").count() > 0
     assert players.where("abs(new_pp - old_pp - pp_delta) > 1e-9").count() == 0
-    assert trial["scores"].agg(F.sum("old_pp")).first()[0] == pytest.approx(13403583.7751, abs=1e-3)
+    assert trial["scores"].agg(F.sum("old_pp")).first()[0] == pytest.approx(15509176.3317, abs=0.02)

@@ -44,7 +44,7 @@ def test_series(rows):
 
 def test_series_of_one_board(refreshed):
     scores, players = refreshed[1]["scores"], refreshed[1]["players"]
-    assert series.score_series(scores, players, "0").count() == 208
+    assert series.score_series(scores, players, "0").count() == 816
 
 
 def test_json(rows):
