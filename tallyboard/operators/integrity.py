@@ -45,15 +45,26 @@ def schema_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def orphan_scores(scores: DataFrame, players: DataFrame, boards: DataFrame) -> DataFrame:
-    """(id, missing) for scores whose player or leaderboard does not exist."""
+    """(id, missing) for scores whose player or leaderboard does not exist.
 
-    def without(parents: DataFrame, key: str, missing: str) -> DataFrame:
-        ids = parents.select(F.col("id").alias(key))
-        return scores.join(ids, key, "left_anti").select("id", F.lit(missing).alias("missing"))
+    One pass: a score that lacks both gives two rows.
+    """
+
+    def known(parents: DataFrame, key: str, flag: str) -> DataFrame:
+        return parents.select(F.col("id").alias(key)).distinct().withColumn(flag, F.lit(True))
 
-    return without(players, "player_id", "player").unionByName(
-        without(boards, "leaderboard_id", "leaderboard")
+    marked = (
+        scores.select("id", "player_id", "leaderboard_id")
+        .join(known(players, "player_id", "has_player"), "player_id", "left")
+        .join(known(boards, "leaderboard_id", "has_board"), "leaderboard_id", "left")
+    )
+    missing = F.array_compact(
+        F.array(
+            F.when(F.col("has_player").isNull(), F.lit("player")),
+            F.when(F.col("has_board").isNull(), F.lit("leaderboard")),
+        )
     )
+    return marked.select("id", F.explode(missing).alias("missing"))
 
 
 def cascade_delete(

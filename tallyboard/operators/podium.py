@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.functions.points import score_for_rank, update_rank_score
+from tallyboard.functions.points import score_for_rank
 
 
 def podium_points(ranked: DataFrame) -> DataFrame:
@@ -19,12 +19,13 @@ def podium_points(ranked: DataFrame) -> DataFrame:
 def podium_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """Points each player won or lost between two rankings of the scores.
 
-    A score missing from one side adds nothing there.
+    A score missing from one side adds nothing there. Each side gives its points to
+    its own player, so no join is needed, and both are combined before the shuffle.
     """
-    before = old.select("id", F.col("player_id").alias("_old_player"), F.col("rank").alias("_old"))
-    after = new.select("id", F.col("player_id").alias("_new_player"), F.col("rank").alias("_new"))
-    both = before.join(after, "id", "full")
-    change = update_rank_score(F.lit(0), F.col("_old"), F.col("_new"))
-    return both.groupBy(F.coalesce("_new_player", "_old_player").alias("player_id")).agg(
-        F.sum(change).cast("bigint").alias("delta")
+    before = old.select("player_id", (-score_for_rank(F.col("rank"))).alias("change"))
+    after = new.select("player_id", score_for_rank(F.col("rank")).alias("change"))
+    return (
+        before.unionByName(after)
+        .groupBy("player_id")
+        .agg(F.sum("change").cast("bigint").alias("delta"))
     )

@@ -42,8 +42,9 @@ def changed_values(
     pairs = fresh.select(key, column).join(
         stored.select(key, F.col(column).alias("_old")), key
     )
+    # Spark takes NaN for equal to itself and larger than any number
     differs = (old.isNull() != new.isNull()) | F.coalesce(
-        F.abs(old - new) > tolerance, F.lit(False)
+        ~old.eqNullSafe(new) & (F.abs(old - new) > tolerance), F.lit(False)
     )
     return pairs.where(differs).drop("_old")
 

@@ -1,20 +1,29 @@
 """Published versions of the whole database.
 
-A snapshot is a folder of Parquet tables. Its name is entered in a catalogue
-after all tables are written, so a reader never sees half a snapshot, and a
-publisher that dies leaves only an unlisted folder behind.
+A snapshot is a folder of Parquet tables. It is entered in a catalogue after all
+tables are written, so a reader never sees half a snapshot, and a publisher that dies
+leaves only an unlisted folder behind. Every entry has a folder of its own, so
+publishers do not meet in one, and holds the schemas of its tables. Versions are
+ordered by a number one above the highest listed, then by the time of publishing;
+names play no part.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_CATALOGUE = "version string, tables array<string>"
+_CATALOGUE = (
+    "version string, number long, published_at long, tables array<struct<name: string, schema: string>>"
+)
 
 # Column to sort a stored table by, so that a lookup skips row groups by their
 # minimum and maximum, and columns to keep Bloom filters for.
@@ -47,8 +56,28 @@ def write_table(df: DataFrame, path: str, table: str) -> None:
 
 
 def new_version() -> str:
-    """UTC time to the second plus a suffix, so that names sort by time."""
-    return f"{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    """UTC time to the microsecond plus a suffix."""
+    return f"{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+
+
+def _catalogue(spark: SparkSession, root: str) -> DataFrame | None:
+    """All entries, or None before the first one."""
+    try:
+        return spark.read.schema(_CATALOGUE).parquet(f"{root}/catalogue/*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _latest(spark: SparkSession, root: str):
+    listed = _catalogue(spark, root)
+    if listed is None:
+        return None
+    # one row of a few words per version, of which the last is taken
+    return listed.agg(
+        F.max(F.struct("number", "published_at", "version", "tables")).alias("last")
+    ).first()["last"]
 
 
 def publish_snapshot(tables: Mapping[str, DataFrame], root: str, version: str | None = None) -> str:
@@ -57,29 +86,43 @@ def publish_snapshot(tables: Mapping[str, DataFrame], root: str, version: str |
     for name, df in tables.items():
         write_table(df, f"{root}/snapshot={version}/{name}", name)
     spark = next(iter(tables.values())).sparkSession
-    entry = spark.createDataFrame([(version, list(tables))], _CATALOGUE).coalesce(1)
-    append_table(entry, f"{root}/catalogue")
+    last = _latest(spark, root)
+    number = (last["number"] if last else 0) + 1
+    schemas = [(name, df.schema.json()) for name, df in tables.items()]
+    entry = [(version, number, time.time_ns() // 1000, schemas)]
+    spark.createDataFrame(entry, _CATALOGUE).coalesce(1).write.mode("error").parquet(
+        f"{root}/catalogue/{version}"
+    )
     return version
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
     """The newest listed version, or None."""
-    listed = spark.read.schema(_CATALOGUE).parquet(f"{root}/catalogue")
-    return listed.agg(F.max("version").alias("version")).first()["version"]
+    last = _latest(spark, root)
+    return last["version"] if last else None
+
+
+def _open(spark: SparkSession, root: str, entry) -> dict[str, DataFrame]:
+    return {
+        name: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(
+            f"{root}/snapshot={entry['version']}/{name}"
+        )
+        for name, schema in entry["tables"]
+    }
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
     """The tables of one listed version."""
-    listed = spark.read.schema(_CATALOGUE).parquet(f"{root}/catalogue")
-    entry = listed.where(F.col("version") == version).first()
+    listed = _catalogue(spark, root)
+    entry = listed.where(F.col("version") == version).first() if listed is not None else None
     if entry is None:
         raise ValueError(f"no snapshot {version} under {root}")
-    return {t: spark.read.parquet(f"{root}/snapshot={version}/{t}") for t in entry["tables"]}
+    return _open(spark, root, entry)
 
 
 def read_latest(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the newest version."""
-    version = latest_version(spark, root)
-    if version is None:
+    entry = _latest(spark, root)
+    if entry is None:
         raise ValueError(f"no snapshot under {root}")
-    return read_snapshot(spark, root, version)
+    return _open(spark, root, entry)

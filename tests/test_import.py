@@ -151,3 +151,13 @@ def test_lookup_is_pushed_down(spark, tmp_path):
     plan = found._jdf.queryExecution().toString()
     assert "EqualTo(leaderboard_id,7)" in plan
     assert "ReadSchema: struct<id:bigint,leaderboard_id:string,pp:double>" in plan
+
+
+def test_last_published_is_latest(spark, tmp_path):
+    root = str(tmp_path / "db")
+    assert snapshots.latest_version(spark, root) is None
+    for k in range(12):
+        name = "zz-trial" if k == 3 else None
+        version = snapshots.publish_snapshot({"t": spark.range(k, k + 1)}, root, name)
+        assert snapshots.latest_version(spark, root) == version
+        assert snapshots.read_latest(spark, root)["t"].first().id == k
