@@ -528,7 +528,7 @@ def _short_lists(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _targets(df: DataFrame) -> int:
-    """Shuffle partitions; a number given keeps small but costly rows apart."""
+    """Shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -557,7 +557,7 @@ def candidates(matrix: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> D
         matrix.filter(F.col("held") <= WIDE)
         .join(representatives(nodes, "brief"), "node")
         .select("token", "node", "n", "component", "brief")
-        .repartition(_targets(matrix), "token")
+        .repartition("token")
         .sortWithinPartitions("token")
         .mapInArrow(narrow, "pivot long, node long")
         .distinct()
