@@ -24,12 +24,14 @@ from tallyboard.config import (
     DEFAULT_RATING,
     DEFAULT_SKEW,
     RANKED_MULTIPLIERS,
+    SkewPolicy,
 )
 from tallyboard.functions import curves, modifiers, numbers, points, rating
 from tallyboard.operators import boards as board_ops
 from tallyboard.operators import integrity, podium, updates
 from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
+from tallyboard.operators.ranking import find_hot_groups
 from tallyboard.plans import pages, refresh, rescore, series
 from tallyboard.schema import RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import new_path
@@ -44,6 +46,8 @@ TRIAL_RATING = replace(
     decay=0.95,
     multipliers=tuple(DEFAULT_MULTIPLIERS.items()),
 )
+# limits so low that most groups of the test tables are split, and nothing is broadcast
+SPLIT = SkewPolicy(hot_rows=200, chunk_rows=1000, broadcast_rows=0)
 AS_OF = 915_148_800  # 1999-01-01 UTC
 
 _published: dict[tuple[str, str, str], str] = {}
@@ -222,18 +226,28 @@ def _scored(spark, folder) -> DataFrame:
     return score_ops.score_pp(tables["scores"], tables["leaderboards"])
 
 
+def _ranked(spark, folder, policy=DEFAULT_SKEW) -> DataFrame:
+    """Scores with ranks; group sizes come from the key column, before the join."""
+    hot = find_hot_groups(_imported(spark, folder)["scores"], ["leaderboard_id"], policy)
+    return score_ops.score_ranks(_scored(spark, folder), hot=hot, policy=policy)
+
+
+def _weighted(spark, folder, policy=DEFAULT_SKEW) -> DataFrame:
+    """Scores with weights, likewise."""
+    hot = find_hot_groups(_imported(spark, folder)["scores"], ["player_id"], policy)
+    return score_ops.score_weights(_scored(spark, folder), hot=hot, policy=policy)
+
+
 def score_pp(spark, folder):
     return _rounded(_scored(spark, folder).select("id", *score_ops.POINT_COLUMNS))
 
 
 def score_ranks(spark, folder):
-    ranked = score_ops.score_ranks(_scored(spark, folder))
-    return ranked.select("id", "leaderboard_id", "rank")
+    return _ranked(spark, folder).select("id", "leaderboard_id", "rank")
 
 
 def score_weights(spark, folder):
-    weighted = score_ops.score_weights(_scored(spark, folder))
-    return _rounded(weighted.select("id", "player_id", "weight"), 6)
+    return _rounded(_weighted(spark, folder).select("id", "player_id", "weight"), 6)
 
 
 def modifier_usage(spark, folder):
@@ -296,18 +310,24 @@ def short_names(spark, folder):
     )
 
 
+def score_ranks_split(spark, folder):
+    return _ranked(spark, folder, SPLIT).select("id", "leaderboard_id", "rank")
+
+
+def score_weights_split(spark, folder):
+    return _rounded(_weighted(spark, folder, SPLIT).select("id", "player_id", "weight"), 6)
+
+
 # ---- players and boards ------------------------------------------------------
 
 
 def player_totals(spark, folder):
-    weighted = score_ops.score_weights(_scored(spark, folder))
-    return _rounded(player_ops.player_totals(weighted))
+    return _rounded(player_ops.player_totals(_weighted(spark, folder)))
 
 
 def player_ranks(spark, folder):
-    weighted = score_ops.score_weights(_scored(spark, folder))
-    players = retail.players(spark, folder)
-    ranked = player_ops.player_ranks(player_ops.player_totals(weighted), players)
+    totals = player_ops.player_totals(_weighted(spark, folder))
+    ranked = player_ops.player_ranks(totals, retail.players(spark, folder))
     return ranked.select("player_id", "country", "rank", "country_rank")
 
 
@@ -321,6 +341,20 @@ def board_megametrics(spark, folder):
     return _rounded(board_ops.board_megametrics(tables["scores"], tables["players"]), 6)
 
 
+def player_ranks_split(spark, folder):
+    tables = _current(spark, folder)
+    players = retail.players(spark, folder)
+    totals = player_ops.player_totals(tables["scores"])
+    ranked = player_ops.player_ranks(totals, players, policy=SPLIT)
+    return ranked.select("player_id", "country", "rank", "country_rank")
+
+
+def board_megametrics_split(spark, folder):
+    tables = _current(spark, folder)
+    means = board_ops.board_megametrics(tables["scores"], tables["players"], policy=SPLIT)
+    return _rounded(means, 6)
+
+
 def board_ratios(spark, folder):
     ratios = board_ops.board_ratios(_current(spark, folder)["leaderboards"])
     return _rounded(ratios.select("id", "count80_ratio", "count95_ratio", "count95to80_ratio"))
@@ -338,6 +372,11 @@ def boards_full(spark, folder):
     return _rounded(_current(spark, folder)["leaderboards"].drop("modifiers_rating"))
 
 
+def boards_full_literal(spark, folder):
+    tables = refresh.refresh_all(_imported(spark, folder), only=["leaderboards"], literal=True)
+    return _rounded(tables["leaderboards"].drop("modifiers_rating"))
+
+
 def podium_points(spark, folder):
     return podium.podium_points(_current(spark, folder)["scores"])
 
@@ -353,10 +392,15 @@ def refresh_all(spark, folder):
     return _rounded(refresh.refresh_summary(refresh.refresh_all(_imported(spark, folder))), 3)
 
 
+def refresh_all_split(spark, folder):
+    tables = refresh.refresh_all(_imported(spark, folder), policy=SPLIT)
+    return _rounded(refresh.refresh_summary(tables), 3)
+
+
 def _what_if(table: str):
     def query(spark, folder):
         trial = rescore.what_if_rescore(
-            _imported(spark, folder), _current(spark, folder), TRIAL_RATING
+            _imported(spark, folder), _current(spark, folder), TRIAL_RATING, only=[table]
         )
         return _rounded(trial[table])
 
@@ -403,6 +447,11 @@ def leaderboard_page(spark, folder):
     return _rounded(pages.leaderboard_page(tables["scores"], tables["players"], "7", 2))
 
 
+def leaderboard_slice(spark, folder):
+    tables = _current(spark, folder)
+    return _rounded(pages.leaderboard_slice(tables["scores"], tables["players"], "7", 3))
+
+
 def _boards_by_stars(descending: bool):
     def query(spark, folder):
         boards = _current(spark, folder)["leaderboards"]
@@ -420,6 +469,16 @@ def _stats_by(name: str, descending: bool):
     return query
 
 
+def stats_by_percentile_literal(spark, folder):
+    boards = _current(spark, folder)["leaderboards"]
+    return _rounded(pages.stats_page(boards, None, "Percentile", True, literal=True))
+
+
+def stats_by_count80_ratio_literal(spark, folder):
+    boards = _current(spark, folder)["leaderboards"]
+    return _rounded(pages.stats_page(boards, None, "Count80Ratio", False, literal=True))
+
+
 def stats_search(spark, folder):
     boards = _current(spark, folder)["leaderboards"]
     return _rounded(pages.stats_page(boards, "WIDGET", "Name", False, 2))
@@ -441,9 +500,12 @@ def score_series(spark, folder):
 
 def series_json(spark, folder):
     rows = series.series_json(_series(spark, folder))
-    read = F.from_json("json", "player_id string, rank bigint, pp double, fc boolean")
+    names = {c: series.JSON_NAMES.get(c, c) for c in series.SERIES_COLUMNS}
+    kinds = dict(_series(spark, folder).dtypes)
+    read = F.from_json("json", ", ".join(f"{n} {kinds[c]}" for c, n in names.items()))
     parsed = rows.select("id", "leaderboard_id", read.alias("entry"))
-    return _rounded(parsed.select("id", "leaderboard_id", "entry.*"))
+    fields = [F.col(f"entry.{n}").alias(c) for c, n in names.items()]
+    return _rounded(parsed.select("id", "leaderboard_id", *fields))
 
 
 def _plain_axes(df: DataFrame) -> DataFrame:
@@ -457,11 +519,13 @@ def _plain_axes(df: DataFrame) -> DataFrame:
     return _rounded(df.select(*[c for c in keep if c in df.columns]))
 
 
-def _series_axes(x_axis: str, y_axis: str):
+def _series_axes(x_axis: str, y_axis: str, literal: bool = False):
     def query(spark, folder):
-        boards = _current(spark, folder)["leaderboards"].count()
-        few = boards <= DEFAULT_SKEW.broadcast_rows
-        points = series.series_axes(_series(spark, folder), x_axis, y_axis, few_boards=few)
+        boards, few = None, False
+        if "rank" in (x_axis, y_axis):
+            boards = _current(spark, folder)["leaderboards"]
+            few = boards.count() <= DEFAULT_SKEW.broadcast_rows
+        points = series.series_axes(_series(spark, folder), x_axis, y_axis, literal, few, boards)
         return _plain_axes(points)
 
     return query
@@ -533,7 +597,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         boards_full,
         podium_points,
         podium_delta,
+        score_ranks_split,
+        score_weights_split,
+        player_ranks_split,
+        board_megametrics_split,
+        boards_full_literal,
         refresh_all,
+        refresh_all_split,
+        leaderboard_slice,
+        stats_by_percentile_literal,
+        stats_by_count80_ratio_literal,
         player_by_id,
         leaderboard_by_id,
         search_like,
@@ -561,6 +634,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         registry[f"stats_by_{column}_asc"] = _stats_by(name, False)
     for label, axes in SERIES_AXES.items():
         registry[f"series_axes_{label}"] = _series_axes(*axes)
+    registry["series_axes_fc_acc_literal"] = _series_axes("fcAcc", "weight", True)
     return registry | _llm("queries")
 
 

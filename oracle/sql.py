@@ -7,12 +7,63 @@ joins on unnested rows, ranks are plain windows.
 
 from __future__ import annotations
 
-from tallyboard.config import (
-    CURVE_A,
-    CURVE_B,
-    DEFAULT_MULTIPLIERS,
-    RANKED_MULTIPLIERS,
+# The engine has its own copy of these, so a wrong constant in either one shows.
+
+# Accuracy knots with the value of curve A and of curve B.
+CURVE_KNOTS = (
+    (1.0, 7.424, 7.424),
+    (0.999, 6.241, 6.241),
+    (0.9975, 5.158, 5.158),
+    (0.995, 4.010, 4.010),
+    (0.9925, 3.241, 3.241),
+    (0.99, 2.700, 2.700),
+    (0.9875, 2.303, 2.303),
+    (0.985, 2.007, 2.007),
+    (0.9825, 1.786, 1.786),
+    (0.98, 1.618, 1.618),
+    (0.9775, 1.490, 1.490),
+    (0.975, 1.392, 1.392),
+    (0.9725, 1.315, 1.315),
+    (0.97, 1.256, 1.256),
+    (0.965, 1.167, 1.167),
+    (0.96, 1.101, 1.094),
+    (0.955, 1.047, 1.039),
+    (0.95, 1.000, 1.000),
+    (0.94, 0.919, 0.931),
+    (0.93, 0.847, 0.867),
+    (0.92, 0.786, 0.813),
+    (0.91, 0.734, 0.768),
+    (0.9, 0.692, 0.729),
+    (0.875, 0.606, 0.650),
+    (0.85, 0.537, 0.581),
+    (0.825, 0.480, 0.522),
+    (0.8, 0.429, 0.473),
+    (0.75, 0.345, 0.404),
+    (0.7, 0.286, 0.345),
+    (0.65, 0.246, 0.296),
+    (0.6, 0.217, 0.256),
+    (0.0, 0.000, 0.000),
 )
+CURVE_A = tuple((acc, a) for acc, a, _ in CURVE_KNOTS)
+CURVE_B = tuple((acc, b) for acc, _, b in CURVE_KNOTS)
+
+# What each modifier code adds to the score multiplier.
+DEFAULT_MULTIPLIERS = {
+    "DA": 0.0,
+    "FS": 0.20,
+    "SF": 0.36,
+    "SS": -0.3,
+    "GN": 0.04,
+    "NA": -0.3,
+    "NB": -0.2,
+    "NF": -0.5,
+    "NO": -0.2,
+    "PM": 0.0,
+    "SC": 0.0,
+    "SA": 0.0,
+    "OP": -0.5,
+}
+RANKED_MULTIPLIERS = DEFAULT_MULTIPLIERS | {"FS": 0.40, "SF": 0.72, "GN": 0.08, "NF": -1.0}
 
 # ---- data mapping ------------------------------------------------------------
 
@@ -562,6 +613,10 @@ def oracle_queries() -> dict[str, str]:
     q["boards_full"] = _current(
         f"SELECT {BOARD_TEXT}, {_r(RATINGS)}, {_stat_columns()} FROM boards_full"
     )
+    literal = _stat_columns().replace(
+        _r(["pp_ratio_unfiltered"]), 'round("pp_ratio_filtered", 4) + 0.0 AS pp_ratio_unfiltered'
+    )
+    q["boards_full_literal"] = _current(f"SELECT {BOARD_TEXT}, {_r(RATINGS)}, {literal} FROM boards_full")
     q["podium_points"] = _current(f"""
       SELECT player_id, CAST(sum({_points_of('rank')}) AS BIGINT) AS points,
              count(*) FILTER (rank <= 3) AS podiums
@@ -604,6 +659,11 @@ def oracle_queries() -> dict[str, str]:
              p.avatar AS player_avatar
       FROM scores_full s JOIN players_full p ON p.id = s.player_id
       WHERE leaderboard_id = '7' ORDER BY s.pp DESC, s.id LIMIT 10 OFFSET 10""")
+    q["leaderboard_slice"] = _current(f"""
+      SELECT {_SCORE}, p.name AS player_name, p.country AS player_country, p.rank AS player_rank,
+             p.avatar AS player_avatar
+      FROM scores_full s JOIN players_full p ON p.id = s.player_id
+      WHERE leaderboard_id = '7' AND s.rank BETWEEN 21 AND 30""")
     for name, direction in (("boards_by_stars", "ASC"), ("boards_by_stars_desc", "DESC")):
         q[name] = _current(f"""
           SELECT id, name, {_r(('stars',))} FROM boards_full b
@@ -614,6 +674,13 @@ def oracle_queries() -> dict[str, str]:
             q[f"stats_by_{column}{suffix}"] = _current(f"""
               SELECT {_STATS_TABLE} FROM boards_ratios b
               ORDER BY b."{column}" {direction}, id LIMIT 50""")
+    for name, order in (
+        ("stats_by_percentile_literal", "b.average DESC"),
+        ("stats_by_count80_ratio_literal", "b.total_pp"),
+    ):
+        q[name] = _current(
+            f"SELECT {_STATS_TABLE} FROM boards_ratios b ORDER BY {order}, id LIMIT 50"
+        )
     q["stats_search"] = _current(f"""
       SELECT {_STATS_TABLE} FROM boards_ratios WHERE contains(lower(name), 'widget')
       ORDER BY name, id LIMIT 50 OFFSET 50""")
@@ -630,9 +697,7 @@ def oracle_queries() -> dict[str, str]:
              round(accuracy * 100, 4) + 0.0 AS accuracy, round(s.pp, 4) + 0.0 AS pp, fc,
              round(fc_acc, 4) + 0.0 AS fc_acc
       FROM scores_full s JOIN players_full p ON p.id = s.player_id""")
-    q["series_json"] = _current("""
-      SELECT s.id, leaderboard_id, player_id, s.rank, round(s.pp, 4) + 0.0 AS pp, fc
-      FROM scores_full s JOIN players_full p ON p.id = s.player_id""")
+    q["series_json"] = q["score_series"]
     q["compare_series"] = _current(
         _axes("rank", "pp", ", s.leaderboard_id = '3' AS is_compare", "s.leaderboard_id IN ('1', '3')")
     )
@@ -657,4 +722,9 @@ def oracle_queries() -> dict[str, str]:
     }
     for label, (x, y) in axes.items():
         q[f"series_axes_{label}"] = _current(_axes(x, y))
+    raw = "(100 - s.fc_acc)"
+    present = f"coalesce({AXIS['weight']}, 0) <> 0"
+    q["series_axes_fc_acc_literal"] = _current(_series(raw, AXIS["weight"], present))
+    for name in ("score_ranks", "score_weights", "player_ranks", "board_megametrics", "refresh_all"):
+        q[f"{name}_split"] = q[name]
     return q

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyboard.config import DEFAULT_RATING, DEFAULT_SKEW, RatingConfig, SkewPolicy
 from tallyboard.functions.numbers import ratio, share_of
 from tallyboard.functions.points import decay_weight
-from tallyboard.operators.ranking import HotGroups, with_position
+from tallyboard.operators.ranking import HotGroups, find_hot_groups, with_position
 
 
 def held_scores(
@@ -26,12 +26,15 @@ def held_scores(
 
 
 def flag_top_players(
-    scores: DataFrame, players: DataFrame, config: RatingConfig = DEFAULT_RATING
+    scores: DataFrame,
+    players: DataFrame,
+    config: RatingConfig = DEFAULT_RATING,
+    policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """The same for scores that carry ``top_pp`` and ``ranked_play_count`` already.
 
-    Only the best players are joined. Ranks are unique, so they are fewer than
-    ``top_rank`` rows however many players there are, and safe to broadcast.
+    Only the best players are joined. They are counted before they are broadcast:
+    players who lost their scores keep an old rank, so ranks may repeat.
     """
     best = players.where(F.col("rank").between(1, config.top_rank - 1)).select(
         F.col("id").alias("player_id"), F.lit(True).alias("top_player")
@@ -39,7 +42,9 @@ def flag_top_players(
     plays = scores.select(
         "id", "leaderboard_id", "player_id", "pp", "weight", "top_pp", "ranked_play_count"
     )
-    flagged = plays.join(F.broadcast(best), "player_id", "left").drop("player_id")
+    if best.count() <= policy.broadcast_rows:
+        best = F.broadcast(best)
+    flagged = plays.join(best, "player_id", "left").drop("player_id")
     return flagged.withColumn("top_player", F.coalesce("top_player", F.lit(False)))
 
 
@@ -127,6 +132,8 @@ def board_megametrics(
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """The five means over the heaviest third of each board's scores."""
+    if hot is None:
+        hot = find_hot_groups(scores, ["leaderboard_id"], policy)
     placed = _placed(held_scores(scores, players, config), config, hot, policy)
     return placed.groupBy("leaderboard_id").agg(*_top_means(config))
 

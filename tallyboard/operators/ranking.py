@@ -9,7 +9,8 @@ columns, combined before the shuffle), and only the groups above
 1. their rows are range-partitioned and sorted by (group, order), and written to
    the scratch folder together with their range and their place in it;
 2. the rows of earlier ranges of the same group are added to the place, from a
-   table with one row per (group, range). The rows are not shuffled again.
+   table with one row per (group, range). The rows are not shuffled again, unless
+   running counts are asked for, which take a window per range.
 
 Both ways give the same numbers. The order must be total (end it with an id):
 then ties cannot pile up in one range either.

@@ -28,8 +28,8 @@ def score_pp(
 
     Only the rating columns of the boards take part in the join. ``few_boards``
     says that their number was checked, and broadcasts them; otherwise Catalyst
-    and AQE choose, and split boards that hold many scores. A score whose board
-    does not exist stays, without points; ``orphan_scores`` reports it.
+    and AQE choose. A score whose board does not exist stays, without points;
+    ``orphan_scores`` reports it.
     """
     ratings = boards.select(F.col("id").alias("leaderboard_id"), *_RATING_COLUMNS)
     if few_boards:

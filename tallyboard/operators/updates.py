@@ -35,12 +35,12 @@ def changed_values(
 ) -> DataFrame:
     """(key, new value) of the rows whose value differs from the stored one.
 
-    A missing value differs from any number; two numbers differ beyond
-    ``tolerance``.
+    A missing value, or a row that is not stored, differs from any number; two
+    numbers differ beyond ``tolerance``.
     """
     old, new = F.col("_old"), F.col(column)
     pairs = fresh.select(key, column).join(
-        stored.select(key, F.col(column).alias("_old")), key
+        stored.select(key, F.col(column).alias("_old")), key, "left"
     )
     # Spark takes NaN for equal to itself and larger than any number
     differs = (old.isNull() != new.isNull()) | F.coalesce(

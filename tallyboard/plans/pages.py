@@ -90,13 +90,37 @@ def leaderboard_page(
     number: int = 1,
     size: int = SCORES_PAGE,
 ) -> DataFrame:
-    """A leaderboard's scores by points, with their player."""
+    """A leaderboard's scores by points, with their player. For pages far down use
+    ``leaderboard_slice``."""
     own = page(
         scores.where(F.col("leaderboard_id") == leaderboard_id),
         [F.desc("pp"), F.asc("id")],
         number,
         size,
     )
+    return page(_with_player(own, players), [F.desc("pp"), F.asc("id")], 1, size)
+
+
+def leaderboard_slice(
+    scores: DataFrame,
+    players: DataFrame,
+    leaderboard_id: str,
+    number: int,
+    size: int = SCORES_PAGE,
+) -> DataFrame:
+    """The scores of a leaderboard page, found by their stored rank.
+
+    Costs the same for every page: stored scores are sorted by board and rank.
+    """
+    first = (max(number, 1) - 1) * size + 1
+    own = scores.where(
+        (F.col("leaderboard_id") == leaderboard_id)
+        & F.col("rank").between(first, first + size - 1)
+    )
+    return _with_player(own, players).orderBy("rank").limit(size)
+
+
+def _with_player(scores: DataFrame, players: DataFrame) -> DataFrame:
     about = players.select(
         F.col("id").alias("player_id"),
         F.col("name").alias("player_name"),
@@ -104,7 +128,7 @@ def leaderboard_page(
         F.col("rank").alias("player_rank"),
         F.col("avatar").alias("player_avatar"),
     )
-    return page(own.join(about, "player_id"), [F.desc("pp"), F.asc("id")], 1, size)
+    return scores.join(about, "player_id")
 
 
 def search_like(boards: DataFrame, text: str | None) -> DataFrame:
@@ -139,7 +163,7 @@ def boards_by_stars(
 
 # ---- statistics table --------------------------------------------------------
 
-# Sort names a caller may use, and the column each one sorts by.
+# Sort names a caller may use, and the column each one sorts by.
 STATS_KEYS = {
     "Name": "name",
     "Count": "count",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from tallyboard.operators.scores import (
 )
 from tallyboard.operators.updates import apply_updates
 from tallyboard.schema import BOARD_COMPUTED, PLAYER_COMPUTED, SCORE_COMPUTED
-from tallyboard.session import materialise
+from tallyboard.session import materialise, sized_shuffles
 
 
 def refresh_scores(
@@ -70,15 +70,17 @@ def refresh_boards(
     config: RatingConfig = DEFAULT_RATING,
     policy: SkewPolicy = DEFAULT_SKEW,
     rows: int | None = None,
+    literal: bool = False,
 ) -> DataFrame:
     """Leaderboards with statistics; those without scores keep what they have.
 
     ``scores`` are those of ``refresh_scores``. What is shuffled are seven narrow
-    columns of them, once, by board.
+    columns of them, once, by board. ``literal`` as in ``board_stats``.
     """
     rows = scores.count() if rows is None else rows
     hot = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
-    stats = board_statistics(flag_top_players(scores, players, config), config, hot, policy)
+    held = flag_top_players(scores, players, config, policy)
+    stats = board_statistics(held, config, hot, policy, literal)
     return apply_updates(
         boards, stats.withColumnRenamed("leaderboard_id", "id"), list(BOARD_COMPUTED)
     )
@@ -88,22 +90,34 @@ def refresh_all(
     tables: Mapping[str, DataFrame],
     config: RatingConfig = DEFAULT_RATING,
     policy: SkewPolicy = DEFAULT_SKEW,
+    only: Sequence[str] = ("scores", "players", "leaderboards"),
+    literal: bool = False,
+    stored: bool = False,
 ) -> dict[str, DataFrame]:
-    """Recompute all three tables.
+    """Recompute all three tables, or those named by ``only``.
 
-    Scores and players are written to the scratch folder between the stages: each
-    later stage reads several times what the one before computed, and none has to
-    start over when an executor is lost. The boards are returned unwritten.
+    Each stage is written to the scratch folder: later ones read several times what
+    it computed, and none has to start over when an executor is lost. Imported scores
+    are written first, so that whatever computes them runs once; ``stored`` says that
+    they are a stored table, which is read as it is. The number of shuffle partitions
+    follows the number of scores.
     """
-    boards, rows = tables["leaderboards"], tables["scores"].count()
-    scores = refresh_scores(tables["scores"], boards, config, policy, rows)
-    scores = materialise(scores, "scores")
-    players = materialise(refresh_players(tables["players"], scores, config, policy), "players")
-    return {
-        "scores": scores.drop(*HOLDER_COLUMNS),
-        "players": players,
-        "leaderboards": refresh_boards(boards, scores, players, config, policy, rows),
-    }
+    boards, imported = tables["leaderboards"], tables["scores"]
+    if not stored:
+        imported = materialise(imported, "imported-scores")
+    rows = imported.count()
+    with sized_shuffles(imported.sparkSession, rows):
+        scores = materialise(refresh_scores(imported, boards, config, policy, rows), "scores")
+        found = {"scores": scores.drop(*HOLDER_COLUMNS)}
+        if "players" in only or "leaderboards" in only:
+            players = refresh_players(tables["players"], scores, config, policy)
+            found["players"] = materialise(players, "players")
+        if "leaderboards" in only:
+            refreshed = refresh_boards(
+                boards, scores, found["players"], config, policy, rows, literal
+            )
+            found["leaderboards"] = materialise(refreshed, "leaderboards")
+    return {table: found[table] for table in only}
 
 
 def refresh_summary(tables: Mapping[str, DataFrame]) -> DataFrame:

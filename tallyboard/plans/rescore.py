@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,14 @@ from tallyboard.config import DEFAULT_SKEW, RatingConfig, SkewPolicy
 from tallyboard.plans.refresh import refresh_all
 
 
+# columns that are compared
+COMPARED = {
+    "scores": ("pp", "rank", "weight"),
+    "players": ("pp", "rank", "country_rank"),
+    "leaderboards": ("total_pp", "percentile"),
+}
+
+
 def _change(column: str) -> Column:
     return (F.col(f"new_{column}") - F.col(f"old_{column}")).alias(f"{column}_delta")
 
@@ -26,17 +34,14 @@ def what_if_rescore(
     current: Mapping[str, DataFrame],
     config: RatingConfig,
     policy: SkewPolicy = DEFAULT_SKEW,
+    only: Sequence[str] = tuple(COMPARED),
+    stored: bool = False,
 ) -> dict[str, DataFrame]:
     """Old value, new value and difference per score, player and leaderboard.
 
     ``tables`` are the imported tables, ``current`` their refresh under the
-    constants in force, ``config`` the constants to try.
+    constants in force, ``config`` the constants to try. Tables that ``only`` does
+    not name, nor need, are not computed. ``stored`` as in ``refresh_all``.
     """
-    trial = refresh_all(tables, config, policy)
-    return {
-        "scores": _compare(current["scores"], trial["scores"], ("pp", "rank", "weight")),
-        "players": _compare(current["players"], trial["players"], ("pp", "rank", "country_rank")),
-        "leaderboards": _compare(
-            current["leaderboards"], trial["leaderboards"], ("total_pp", "percentile")
-        ),
-    }
+    trial = refresh_all(tables, config, policy, only, stored=stored)
+    return {t: _compare(current[t], trial[t], COMPARED[t]) for t in only}

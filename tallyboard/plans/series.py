@@ -24,6 +24,16 @@ SERIES_COLUMNS = (
 )
 
 
+# Names of the columns in the JSON objects.
+JSON_NAMES = {
+    "player_id": "playerId",
+    "player_rank": "playerRank",
+    "player_name": "playerName",
+    "player_avatar": "playerAvatar",
+    "fc_acc": "fcAcc",
+}
+
+
 def score_series(
     scores: DataFrame, players: DataFrame, leaderboard_id: str | None = None
 ) -> DataFrame:
@@ -41,12 +51,13 @@ def score_series(
 
 
 def series_json(series: DataFrame) -> DataFrame:
-    """One JSON object per score, keyed by score id.
+    """One JSON object per score, keyed by score id; missing values are nulls.
 
     One row per score rather than one array per board, whose size has no bound.
     """
-    fields = [F.col(c) for c in SERIES_COLUMNS]
-    return series.select("leaderboard_id", "id", F.to_json(F.struct(*fields)).alias("json"))
+    fields = F.struct(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in SERIES_COLUMNS])
+    text = F.to_json(fields, {"ignoreNullFields": "false"})
+    return series.select("leaderboard_id", "id", text.alias("json"))
 
 
 def axis_value(name: str, literal: bool = False) -> Column:
@@ -78,17 +89,26 @@ def _present(column: str, axis: str) -> Column:
         return F.lit(True)
     if axis == "date":
         return F.col(column).isNotNull()
-    return F.coalesce(F.col(column) != 0, F.lit(False))
+    value = F.col(column).cast("double")
+    return F.coalesce((value != 0) & ~F.isnan(value), F.lit(False))
 
 
-def with_board_total(series: DataFrame, few_boards: bool = False) -> DataFrame:
+def with_board_total(
+    series: DataFrame, few_boards: bool = False, boards: DataFrame | None = None
+) -> DataFrame:
     """Add the number of scores of each board.
 
-    An aggregate joined back, not a window: it is combined before its shuffle and
-    its result is one row per board. ``few_boards`` says that the number of boards
-    was checked, and broadcasts it; then the scores are not shuffled at all.
+    Taken from refreshed ``boards`` where they are given. Otherwise an aggregate
+    joined back, not a window: it is combined before its shuffle and its result is
+    one row per board. ``few_boards`` says that the number of boards was checked, and
+    broadcasts it; then the scores are not shuffled at all.
     """
-    totals = series.groupBy("leaderboard_id").agg(F.count("*").alias("board_total"))
+    if boards is None:
+        totals = series.groupBy("leaderboard_id").agg(F.count("*").alias("board_total"))
+    else:
+        totals = boards.select(
+            F.col("id").alias("leaderboard_id"), F.col("count").alias("board_total")
+        )
     if few_boards:
         totals = F.broadcast(totals)
     return series.join(totals, "leaderboard_id")
@@ -100,14 +120,16 @@ def series_axes(
     y_axis: str = "weight",
     literal: bool = False,
     few_boards: bool = False,
+    boards: DataFrame | None = None,
 ) -> DataFrame:
     """Points (x, y) of each score on two named axes, with its modifiers as a list.
 
     Scores of unranked players, and scores without a value on an axis that needs
-    one, are left out. Board totals are only counted for the rank axis.
+    one, are left out. Only the rank axis needs board totals: those of ``boards``,
+    or counted.
     """
     if "rank" in (x_axis, y_axis):
-        series = with_board_total(series, few_boards)
+        series = with_board_total(series, few_boards, boards)
     points = series.where(F.coalesce("player_rank", F.lit(0)) != 0).select(
         "*",
         axis_value(x_axis, literal).alias("x"),

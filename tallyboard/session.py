@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,18 @@ def shuffle_partitions(scores: int, cores: int) -> int:
     return max(cores, min(wanted, _MAX_PARTITIONS))
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, scores: int) -> Iterator[None]:
+    """At least as many shuffle partitions as so many scores need, for the jobs inside."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(shuffle_partitions(scores, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -48,7 +63,8 @@ def scratch_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # local-cluster has executors of its own
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="tallyboard-")
     spark.conf.set("spark.checkpoint.dir", folder)

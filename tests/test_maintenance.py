@@ -34,7 +34,7 @@ def test_changed_values(spark):
     new = spark.createDataFrame(
         [(1, 0.5 + 1e-12), (2, 0.6), (3, 0.5), (4, None), (5, 1.0)], "id int, weight double"
     )
-    assert rows(updates.changed_weights(old, new)) == [(2, 0.6), (3, 0.5)]
+    assert rows(updates.changed_weights(old, new)) == [(2, 0.6), (3, 0.5), (5, 1.0)]
 
 
 def test_schema_violations(spark):

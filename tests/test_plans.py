@@ -62,6 +62,15 @@ def test_board_statistics_shuffle_and_sort_once(stored):
     assert "cover" not in plan(df) and "modifiers" not in "".join(scanned(df))
 
 
+def test_group_sizes_come_from_the_stored_scores(stored, monkeypatch):
+    """Without given sizes, the join with the players is not evaluated for them."""
+    asked = []
+    found = boards.find_hot_groups
+    monkeypatch.setattr(boards, "find_hot_groups", lambda df, *a: asked.append(df) or found(df, *a))
+    boards.board_megametrics(stored["scores"], stored["players"])
+    assert asked == [stored["scores"]]
+
+
 def test_simple_statistics_combine_before_the_shuffle(stored):
     df = boards.board_stats(stored["scores"], stored["players"])
     text = plan(df)
@@ -112,3 +121,15 @@ def test_series_shuffle_nothing(stored):
     ranked = series.series_axes(rows, "rank", "pp", few_boards=True)
     assert shuffles(ranked) == ["leaderboard_id"]
     assert "partial_count" in plan(ranked)
+    # stored totals: nothing is shuffled or scanned twice
+    given = series.series_axes(
+        rows, "rank", "pp", few_boards=True, boards=stored["leaderboards"]
+    )
+    assert shuffles(given) == [] and plan(given).count("FileScan parquet") == 3
+
+
+def test_deep_leaderboard_pages_filter_on_the_rank(stored, capsys):
+    # the plain plan shortens its list of filters
+    pages.leaderboard_slice(stored["scores"], stored["players"], "7", 40).explain("formatted")
+    text = capsys.readouterr().out
+    assert "GreaterThanOrEqual(rank,391)" in text and "TakeOrderedAndProject" in text

@@ -186,6 +186,23 @@ def test_orphans_stay(spark, refreshed):
     assert found[0] > 100 and found[1] == 0
 
 
+def test_only_what_is_asked_for(spark, refreshed):
+    """The players alone, with the input computed once, before the stages."""
+    imported, once = refreshed
+    times = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            times.add(batch.num_rows)
+            yield batch
+
+    lineage = imported["scores"].mapInArrow(counted, imported["scores"].schema)
+    found = refresh_all(imported | {"scores": lineage}, only=["players"])
+    assert list(found) == ["players"]
+    assert changed_values(once["players"], found["players"], "rank").count() == 0
+    assert times.value == 60000
+
+
 def test_summary(refreshed):
     rows = {(r.table_name, r.column_name): r for r in refresh_summary(refreshed[1]).collect()}
     assert rows["scores", "pp"].rows == 60000

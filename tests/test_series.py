@@ -50,8 +50,18 @@ def test_series_of_one_board(refreshed):
 def test_json(rows):
     row = series.series_json(rows).where("id = 1").first()
     parsed = json.loads(row.json)
-    assert list(parsed) == list(series.SERIES_COLUMNS)
-    assert (parsed["player_id"], parsed["pp"], parsed["fc"]) == ("p1", 200.0, True)
+    assert list(parsed) == [series.JSON_NAMES.get(c, c) for c in series.SERIES_COLUMNS]
+    assert (parsed["playerId"], parsed["pp"], parsed["fc"]) == ("p1", 200.0, True)
+
+
+def test_json_keeps_nulls(rows):
+    row = series.series_json(rows.withColumn("fc_acc", F.lit(None).cast("double"))).first()
+    assert json.loads(row.json)["fcAcc"] is None
+
+
+def test_not_a_number_is_missing(rows):
+    odd = rows.withColumn("pp", F.when(F.col("id") == 1, F.lit(float("nan"))).otherwise(F.col("pp")))
+    assert set(points(series.series_axes(odd, "pp", "weight"))) == {2, 5}
 
 
 def test_axes(rows):

@@ -29,6 +29,8 @@ class Unset:
 def test_a_cluster_must_name_the_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_folder(Unset("yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_folder(Unset("local-cluster[2,1,1024]"))
     local = Unset("local[4]")
     assert session.scratch_folder(local) == session.scratch_folder(local)
 
@@ -41,6 +43,13 @@ def test_materialise(spark):
     assert "Scan" in stored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sized_shuffles(spark):
+    name = "spark.sql.shuffle.partitions"
+    with session.sized_shuffles(spark, 300_000_000):
+        assert 150 < int(spark.conf.get(name)) <= 200
+    assert spark.conf.get(name) == "8"
+
+
 def test_shuffle_partitions():
     assert session.shuffle_partitions(1000, 8) == 8
     assert 150 < session.shuffle_partitions(300_000_000, 8) <= 200
