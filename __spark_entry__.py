@@ -33,7 +33,7 @@ from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
 from tallyboard.plans import pages, refresh, rescore, series
-from tallyboard.schema import RATING_FIELDS, STORED_FAMILIES
+from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import new_path
 from tallyboard.sources import dump, importer, retail, snapshots
 
@@ -91,27 +91,29 @@ def ingest_dump(spark, folder):
     path = new_path(spark, "dump")
     dump.write_dump(retail.dump(spark, folder), path)
     read = dump.read_dump(spark, path)
-    rows = [
-        read["players"].select(
-            F.lit("players").alias("table_name"),
-            "id",
-            F.col("name").alias("label"),
-            F.lit(None).cast("double").alias("value"),
-        ),
-        read["scores"].select(
-            F.lit("scores").alias("table_name"),
-            F.col("id").cast("string").alias("id"),
-            F.col("modifiers").alias("label"),
-            F.col("accuracy").alias("value"),
-        ),
-        read["maps"].select(
-            F.lit("maps").alias("table_name"),
-            "id",
-            F.col("name").alias("label"),
-            F.col("modifiers_rating.BSF.stars").alias("value"),
-        ),
+    ratings = _rating_columns(DUMP_FAMILIES)
+    read["maps"] = read["maps"].select("*", *ratings).drop("modifiers_rating")
+    return _rounded(_stacked(read))
+
+
+def _rating_columns(codes) -> list:
+    return [
+        F.col(f"modifiers_rating.{code}.{field}").alias(f"{code.lower()}_{field}")
+        for code in codes
+        for field in RATING_FIELDS
     ]
-    return _rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+def _stacked(tables: Tables) -> DataFrame:
+    """The rows of all tables under each other, with the columns of all."""
+    stacked = None
+    for name, df in tables.items():
+        named = df.withColumn("id", F.col("id").cast("string"))
+        named = named.withColumn("table_name", F.lit(name))
+        stacked = (
+            named if stacked is None else stacked.unionByName(named, allowMissingColumns=True)
+        )
+    return stacked
 
 
 def import_leaderboards(spark, folder):
@@ -129,11 +131,7 @@ def import_scores(spark, folder):
 
 def import_modifier_ratings(spark, folder):
     boards = importer.import_leaderboards(retail.maps(spark, folder))
-    columns = [
-        F.col(f"modifiers_rating.{code}.{field}").alias(f"{code.lower()}_{field}")
-        for code in STORED_FAMILIES
-        for field in RATING_FIELDS
-    ]
+    columns = _rating_columns(STORED_FAMILIES)
     return _rounded(boards.select(F.col("id").alias("leaderboard_id"), *columns))
 
 
@@ -166,7 +164,20 @@ def publish_snapshot(spark, folder):
     boards = imported["leaderboards"].where("acc_rating > 0")
     snapshots.publish_snapshot(imported | {"leaderboards": boards}, root, "20240102000000-second")
     latest = snapshots.read_latest(spark, root)
-    return _rounded(latest["leaderboards"].select("id", "name", "stars"))
+    columns = {
+        "players": ["id", "name", "country"],
+        "scores": ["id", "leaderboard_id", "player_id", "accuracy"],
+        "leaderboards": ["id", "name", "stars"],
+    }
+    return _rounded(_stacked({name: latest[name].select(*columns[name]) for name in columns}))
+
+
+def append_table(spark, folder):
+    path = new_path(spark, "appended")
+    scores = retail.scores(spark, folder)
+    snapshots.append_table(scores.where("fc"), path)
+    snapshots.append_table(scores.where("not fc"), path)
+    return _rounded(spark.read.schema(scores.schema).parquet(path))
 
 
 def schema_violations(spark, folder):
@@ -572,6 +583,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         apply_updates,
         changed_weights,
         publish_snapshot,
+        append_table,
         schema_violations,
         orphan_scores,
         cascade_delete,

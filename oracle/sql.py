@@ -81,7 +81,7 @@ scores AS MATERIALIZED (
            AS leaderboard_id,
          CAST(CASE o_custkey % 3 WHEN 0 THEN o_custkey % 30 WHEN 1 THEN o_custkey % 300
               ELSE o_custkey END AS VARCHAR) AS player_id,
-         CAST(epoch(shipped) AS BIGINT) AS timepost,
+         CASE WHEN l_orderkey % 89 = 7 THEN 0 ELSE CAST(epoch(shipped) AS BIGINT) END AS timepost,
          CAST(CASE WHEN qty = 50 AND tax = 0 THEN 0.0 WHEN qty = 1 AND tax = 0 THEN 1.01
               ELSE 1.0::DOUBLE - (discount * 2 + qty / 1000.0::DOUBLE + tax / 4) END AS DOUBLE)
            AS accuracy,
@@ -92,13 +92,18 @@ scores AS MATERIALIZED (
          least(1.0::DOUBLE, accuracy + 0.005::DOUBLE) AS fc_acc
   FROM numbered JOIN orders ON o_orderkey = l_orderkey),
 players AS MATERIALIZED (
-  SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name,
-         CASE WHEN c_custkey % 20 <> 7 THEN 'N' || c_nationkey END AS country, '' AS avatar
+  SELECT CAST(c_custkey AS VARCHAR) AS id,
+         repeat(c_name, CASE WHEN c_custkey % 61 = 17 THEN 4 ELSE 1 END) AS name,
+         CASE WHEN c_custkey % 20 <> 7 THEN 'N' || c_nationkey END AS country,
+         repeat('avatars/' || c_custkey || '.png', CASE WHEN c_custkey % 71 = 5 THEN 10 ELSE 1 END)
+           AS avatar
   FROM customer),
 maps AS MATERIALIZED (
   SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_type AS name,
          md5(p_name || p_partkey) AS hash, CAST(p_partkey // 5 AS VARCHAR) AS song_id,
-         p_type AS mode_name, p_brand AS difficulty_name, '' AS cover, p_brand AS mapper,
+         p_type AS mode_name, p_brand AS difficulty_name, p_brand AS mapper,
+         repeat('covers/' || md5(p_name) || '.jpg', CASE WHEN p_partkey % 59 = 13 THEN 4 ELSE 1 END)
+           AS cover,
          CASE WHEN p_size % 11 <> 0 THEN 4.0::DOUBLE + p_size / 5.0::DOUBLE END AS acc_rating,
          CASE WHEN p_size % 13 <> 0 THEN 1.0::DOUBLE + (p_partkey % 23) * 0.5::DOUBLE END
            AS pass_rating,
@@ -111,19 +116,20 @@ rated AS MATERIALIZED (
   SELECT * REPLACE (coalesce(acc_rating, 0) AS acc_rating, coalesce(pass_rating, 0) AS pass_rating,
                     coalesce(predicted_acc, 0) AS predicted_acc)
   FROM maps),
-modifier_ratings AS (
-  SELECT id AS leaderboard_id, code,
-         CASE code WHEN 'FS' THEN acc_rating * 1.2::DOUBLE + 0.5::DOUBLE
-                   WHEN 'SS' THEN acc_rating * 0.8::DOUBLE
-                   ELSE acc_rating * 1.4::DOUBLE + 1 END AS acc_rating,
-         CASE code WHEN 'FS' THEN pass_rating * 1.2::DOUBLE
-                   WHEN 'SS' THEN pass_rating * 0.7::DOUBLE
-                   ELSE pass_rating * 1.5::DOUBLE END AS pass_rating,
-         CASE code WHEN 'FS' THEN tech_rating * 1.1::DOUBLE
-                   WHEN 'SS' THEN tech_rating * 0.9::DOUBLE
-                   ELSE tech_rating * 1.2::DOUBLE END AS tech_rating
-  FROM rated, (VALUES ('FS'), ('SS'), ('SF')) AS codes(code)
-  WHERE has_modifier_ratings)"""
+families(code, place, acc_by, acc_plus, pass_by, tech_by) AS (VALUES
+  ('SS', 1, 0.8::DOUBLE, 0.0::DOUBLE, 0.7::DOUBLE, 0.9::DOUBLE),
+  ('FS', 2, 1.2::DOUBLE, 0.5::DOUBLE, 1.2::DOUBLE, 1.1::DOUBLE),
+  ('SF', 3, 1.4::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE, 1.2::DOUBLE),
+  ('BFS', 4, 1.1::DOUBLE, 0.25::DOUBLE, 1.1::DOUBLE, 1.05::DOUBLE),
+  ('BSF', 5, 1.3::DOUBLE, 0.75::DOUBLE, 1.3::DOUBLE, 1.15::DOUBLE)),
+dump_ratings AS (
+  SELECT id AS leaderboard_id, code, acc_rating * acc_by + acc_plus AS acc_rating,
+         pass_rating * pass_by AS pass_rating, tech_rating * tech_by AS tech_rating,
+         0.9::DOUBLE + tech_rating / 200 + place / 100.0::DOUBLE AS predicted_acc,
+         acc_rating + place / 4.0::DOUBLE AS stars
+  FROM rated, families
+  WHERE has_modifier_ratings),
+modifier_ratings AS (SELECT * FROM dump_ratings WHERE code IN ('SS', 'FS', 'SF'))"""
 
 
 def _knots(name: str, curve) -> str:
@@ -386,6 +392,16 @@ def _axes(x: str, y: str, extra: str = "", boards: str = "TRUE") -> str:
     return _series(AXIS[x], AXIS[y], " AND ".join(needed) or "TRUE", extra, boards)
 
 
+def _wide(ratings: str, codes) -> str:
+    cells = ", ".join(
+        f"round(max(r.{f}) FILTER (code = '{c}'), 4) + 0.0 AS {c.lower()}_{f}"
+        for c in codes
+        for f in RATINGS
+    )
+    return f"""SELECT rated.id AS leaderboard_id, {cells}
+      FROM rated LEFT JOIN {ratings} r ON r.leaderboard_id = rated.id GROUP BY rated.id"""
+
+
 def _violations() -> str:
     limits = {
         "players": ({"id": 25, "name": 50, "country": 5, "avatar": 100}, "players"),
@@ -471,11 +487,15 @@ def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
 
     # import and maintenance
-    q["ingest_dump"] = _base("""
-      SELECT 'players' AS table_name, id, name AS label, NULL::DOUBLE AS value FROM players
-      UNION ALL SELECT 'scores', CAST(id AS VARCHAR), modifiers, round(accuracy, 4) + 0.0 FROM scores
-      UNION ALL SELECT 'maps', id, name, CASE WHEN has_modifier_ratings THEN 0.0::DOUBLE END
-      FROM maps""")
+    q["ingest_dump"] = _base(f"""
+      SELECT 'players' AS table_name, * FROM players
+      UNION ALL BY NAME
+      SELECT 'scores' AS table_name, * REPLACE (CAST(id AS VARCHAR) AS id,
+             round(accuracy, 4) + 0.0 AS accuracy, round(fc_acc, 4) + 0.0 AS fc_acc) FROM scores
+      UNION ALL BY NAME
+      SELECT 'maps' AS table_name, * EXCLUDE (cover, has_modifier_ratings, leaderboard_id)
+             REPLACE ({_r(RATINGS[1:])}), cover AS cover_image
+      FROM maps JOIN ({_wide("dump_ratings", ("SS", "FS", "SF", "BFS", "BSF"))}) ON leaderboard_id = id""")
     stars = f"round({_inflate(STAR_SUM)} / 52, 4) + 0.0 AS stars"
     board_doubles = [c for c in BOARD_COLUMNS if c not in COUNTS]
     q["import_leaderboards"] = _base(f"""
@@ -487,22 +507,9 @@ def oracle_queries() -> dict[str, str]:
     q["import_scores"] = _base(f"""
       SELECT id, timepost, player_id, leaderboard_id, {_r(('accuracy', 'fc_acc'))}, modifiers, fc,
              {_zero(SCORE_DOUBLES[2:], 'DOUBLE')}, {_zero(('rank',), 'BIGINT')} FROM scores""")
-    wide = ", ".join(
-        f"round(max({f}) FILTER (code = '{c}'), 4) + 0.0 AS {c.lower()}_{f}"
-        for c in ("FS", "SS", "SF")
-        for f in ("pass_rating", "acc_rating", "tech_rating")
-    )
-    empty = ", ".join(
-        f"max(0.0::DOUBLE) FILTER (code = '{c}') AS {c.lower()}_{f}"
-        for c in ("FS", "SS", "SF")
-        for f in ("predicted_acc", "stars")
-    )
-    q["import_modifier_ratings"] = _base(f"""
-      SELECT id AS leaderboard_id, {wide}, {empty}
-      FROM (SELECT id FROM rated) LEFT JOIN modifier_ratings ON leaderboard_id = id GROUP BY id""")
+    q["import_modifier_ratings"] = _base(_wide("modifier_ratings", ("FS", "SS", "SF")))
     q["modifier_ratings_long"] = _base(f"""
-      SELECT leaderboard_id, code, {_r(('acc_rating', 'pass_rating', 'tech_rating'))},
-             0.0::DOUBLE AS predicted_acc, 0.0::DOUBLE AS stars FROM modifier_ratings""")
+      SELECT leaderboard_id, code, {_r(RATINGS)} FROM modifier_ratings""")
     q["apply_updates"] = _current(f"""
       SELECT id, name, country, avatar, {_r(('pp', 'top_pp'))}, ranked_play_count,
              {_zero(('acc_pp', 'tech_pp', 'pass_pp'), 'DOUBLE')},
@@ -511,7 +518,16 @@ def oracle_queries() -> dict[str, str]:
       SELECT n.id, round(n.weight, 4) + 0.0 AS weight
       FROM scores_full n JOIN trial_scores_full o USING (id)
       WHERE abs(n.weight - o.weight) > 1e-9""")
-    q["publish_snapshot"] = _base(f"SELECT id, name, {stars} FROM rated WHERE acc_rating > 0")
+    q["publish_snapshot"] = _base(f"""
+      SELECT 'players' AS table_name, id, name, country FROM players
+      UNION ALL BY NAME
+      SELECT 'scores' AS table_name, CAST(id AS VARCHAR) AS id, leaderboard_id, player_id,
+             {_r(('accuracy',))} FROM scores
+      UNION ALL BY NAME
+      SELECT 'leaderboards' AS table_name, id, name, {stars} FROM rated WHERE acc_rating > 0""")
+    q["append_table"] = _base(f"""
+      SELECT id, timepost, player_id, leaderboard_id, modifiers, fc, {_r(('accuracy', 'fc_acc'))}
+      FROM scores""")
     q["schema_violations"] = _base(_violations())
     q["orphan_scores"] = _base("""
       SELECT id, 'player' AS missing FROM scores

@@ -8,26 +8,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.schema import LIMITS
+from tallyboard.schema import COMPUTED, LIMITS, RATING_FIELDS, STORED_FAMILIES
 
 
-def _rules(table: str) -> list[tuple[str, str, Column]]:
+def _rules(table: str, present: Sequence[str]) -> list[tuple[str, str, Column]]:
     rules = []
     for column, limit in LIMITS[table].items():
         rules.append((column, "not null", F.col(column).isNull()))
         if limit is not None:
             rules.append((column, f"max length {limit}", F.length(column) > limit))
+    rules += [(c, "not null", F.col(c).isNull()) for c in COMPUTED[table] if c in present]
+    if "modifiers_rating" in present:
+        # a board may lack all families, but not a value of one
+        rated = F.col("modifiers_rating").isNotNull()
+        for code in STORED_FAMILIES:
+            for field in RATING_FIELDS:
+                name = f"modifiers_rating.{code}.{field}"
+                rules.append((name, "not null", rated & F.col(name).isNull()))
     return rules
 
 
 def schema_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, rule, n) for every broken rule.
 
-    All rules of a table are counted in one pass over it.
+    All rules of a table are counted in one pass over it. Columns that a refresh
+    fills, and modifier ratings, are checked where the table has them.
     """
     reports = []
     for table, df in tables.items():
-        rules = _rules(table)
+        rules = _rules(table, df.columns)
         counts = df.agg(*[F.count_if(broken).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules)])
         rows = F.array(
             *[

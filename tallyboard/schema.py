@@ -108,6 +108,12 @@ BOARD_COMPUTED = {
     "megametric40": "double",
 }
 
+COMPUTED = {
+    "players": PLAYER_COMPUTED,
+    "scores": SCORE_COMPUTED,
+    "leaderboards": BOARD_COMPUTED,
+}
+
 # ---- declared limits ---------------------------------------------------------
 
 # Longest allowed text per column; None means not null only.

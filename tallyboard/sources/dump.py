@@ -21,7 +21,8 @@ TABLES = ("players", "scores", "maps")
 def read_dump(spark: SparkSession, path: str, multi_line: bool = False) -> dict[str, DataFrame]:
     """Read JSON dump documents: one per line, or one per file.
 
-    A document that is not valid stops the read instead of being skipped.
+    A document that is not valid stops the read instead of being skipped. Of a dump by
+    ``write_dump`` each table reads its own folder only.
     """
     reader = spark.read.schema(DUMP_DOCUMENT).option("mode", "FAILFAST")
     return unpack_dump(reader.json(path, multiLine=multi_line))
@@ -29,17 +30,28 @@ def read_dump(spark: SparkSession, path: str, multi_line: bool = False) -> dict[
 
 def parse_dump(lines: DataFrame) -> dict[str, DataFrame]:
     """The same for documents that are texts in a column named ``value``."""
-    parsed = lines.select(F.from_json("value", DUMP_DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
-    return unpack_dump(parsed.select("d.*"))
+    parsed = F.from_json("value", DUMP_DOCUMENT, {"mode": "FAILFAST"})
+    return unpack_dump(lines.withColumn("value", parsed).select("value.*", *_known(lines)))
+
+
+def _known(lines: DataFrame) -> list[str]:
+    return ["list"] if "list" in lines.columns else []
 
 
 def unpack_dump(documents: DataFrame) -> dict[str, DataFrame]:
-    """One flat table per list; an absent list is empty."""
-    return {t: documents.select(F.inline(t)) for t in TABLES}
+    """One flat table per list; an absent list is empty.
+
+    A column ``list``, where there is one, names the only list a document holds.
+    """
+
+    def holding(table: str) -> DataFrame:
+        return documents.where(F.col("list") == table) if "list" in documents.columns else documents
+
+    return {t: holding(t).select(F.inline(t)) for t in TABLES}
 
 
 def pack_dump(tables: Mapping[str, DataFrame], rows_per_document: int = 10_000) -> DataFrame:
-    """Dump documents as texts in ``value``, each with rows of one table.
+    """Dump documents as texts in ``value``, each with rows of the table named in ``list``.
 
     Rows are spread by a hash of their id, which is unique, so a document does not
     grow with one board or player; their number grows with the table.
@@ -52,7 +64,9 @@ def pack_dump(tables: Mapping[str, DataFrame], rows_per_document: int = 10_000)
         packed = df.groupBy(part.alias("part")).agg(
             F.collect_list(F.struct(*df.columns)).alias(name)
         )
-        texts = packed.select(F.to_json(F.struct(name)).alias("value"))
+        texts = packed.select(
+            F.lit(name).alias("list"), F.to_json(F.struct(name)).alias("value")
+        )
         documents = texts if documents is None else documents.unionByName(texts)
     return documents
 
@@ -60,5 +74,5 @@ def pack_dump(tables: Mapping[str, DataFrame], rows_per_document: int = 10_000)
 def write_dump(
     tables: Mapping[str, DataFrame], path: str, rows_per_document: int = 10_000
 ) -> None:
-    """Write a dump as JSON lines that ``read_dump`` reads back."""
-    pack_dump(tables, rows_per_document).write.text(path)
+    """Write a dump as JSON lines that ``read_dump`` reads back, one folder per list."""
+    pack_dump(tables, rows_per_document).write.partitionBy("list").text(path)

@@ -101,6 +101,20 @@ def test_packed_dump_reads_back(spark):
         assert df.exceptAll(read[name]).count() == 0
 
 
+def test_written_dump_reads_each_list_alone(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    tables = retail.dump(spark, SF)
+    dump.write_dump(tables, path)
+    read = dump.read_dump(spark, path)
+    for name, df in tables.items():
+        assert read[name].columns == df.columns
+        assert read[name].count() == df.count()
+        files = read[name].select(F.input_file_name().alias("f")).distinct().collect()
+        assert all(f"list={name}/" in row.f for row in files)
+        plan = read[name]._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(list" in plan
+
+
 def test_long_modifier_ratings(spark):
     boards = importer.import_leaderboards(retail.maps(spark, SF))
     rows = importer.modifier_ratings_long(boards)

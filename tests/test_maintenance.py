@@ -61,6 +61,23 @@ def test_schema_violations(spark):
     ]
 
 
+def test_null_computed_values_break_the_schema(spark):
+    players = spark.createDataFrame(
+        [("1", "a", "NO", "", None), ("2", "b", "NO", "", 1.0)], PLAYERS + ", pp double"
+    )
+    family = "struct<predicted_acc:double,pass_rating:double,acc_rating:double,tech_rating:double,stars:double>"
+    whole, broken = (1.0,) * 5, (1.0, 1.0, None, 1.0, 1.0)
+    values = ("n", "h", "s", "m", "d", "c", "m", 0.0, 0.0, 0.0, 0.0, 0.0)
+    boards = spark.createDataFrame(
+        [("a", *values, (whole, broken, whole)), ("b", *values, None)],
+        f"{BOARDS}, modifiers_rating struct<FS:{family},SS:{family},SF:{family}>",
+    )
+    assert rows(integrity.schema_violations({"players": players, "leaderboards": boards})) == [
+        ("leaderboards", "modifiers_rating.SS.acc_rating", "not null", 1),
+        ("players", "pp", "not null", 1),
+    ]
+
+
 def _three_tables(spark):
     scores = spark.createDataFrame(
         [(1, "p1", "b1"), (2, "p1", "b9"), (3, "p9", "b1"), (4, "p9", "b9")],
