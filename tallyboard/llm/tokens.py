@@ -5,14 +5,17 @@ words, and a model that turns each word into ids. Words repeat, so texts are tak
 many at a time: texts of Latin-1 characters are cut by the tokenizer's pattern over
 arrays of character classes, each distinct word goes through the library's model
 once, and workers remember the words they met first. All other texts go through the
-library's normaliser and pre-tokeniser. Special tokens' strings are ordinary text.
-Words are told apart by a 64-bit hash within a worker.
+library's normaliser and pre-tokeniser. Texts in which an added token's string stands,
+before or after normalising, go through the library's whole encode, which finds them
+(no other special tokens are added). Words are told apart by a 64-bit hash within a
+worker.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Sequence
 from functools import cache
@@ -58,13 +61,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         normalizer = self.tokenizer.normalizer
         self._normal = normalizer.normalize_str if normalizer else None
         self._split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._tokenize = self.tokenizer.model.tokenize
         self._bytes = _visible_bytes()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self._added = [t.content for t in added]
+        # normalised ones are looked for in the normalised text
+        self._added_normal = [
+            self._normal(t.content) if self._normal else t.content for t in added if t.normalized
+        ]
         self._kind = self._pattern_kind()
+        if any(re.search(r"\s", content) for content in self._added_normal):
+            self._kind = None  # arrays don't join runs of white space
         self._memo: dict[int, bytes] = {}
         self._class = _classes()
         self._code = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * 2 + 1
@@ -89,9 +99,15 @@ class Encoder:
     def _ids(self, word: str) -> bytes:
         return array("I", [token.id for token in self._tokenize(word)]).tobytes()
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _slowly(self, text: str) -> np.ndarray:
+        whole = text
         if self._normal:
             text = self._normal(text)
+        if any(content in text for content in self._added_normal):
+            return self._encode(whole)
         return np.frombuffer(b"".join([self._ids(w) for w, _ in self._split(text)]), np.uint32)
 
     def _powers(self, n: int) -> None:
@@ -181,10 +197,16 @@ class Encoder:
                 out[k] = part
 
         for k, text in enumerate(texts):
+            if any(content in text for content in self._added):
+                out[k] = self._encode(text)
+                continue
+            normal = text.lower() if self._normal else text
             try:
-                raw = (text.lower() if self._normal else text).encode("latin-1")
+                raw = normal.encode("latin-1")
             except UnicodeEncodeError:
                 raw = None
+            if raw is not None and any(content in normal for content in self._added_normal):
+                raw = None
             if raw is None or self._kind is None:
                 out[k] = self._slowly(text)
                 continue

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 import corpus_pipeline
 from tallyboard.llm import (
@@ -89,6 +89,28 @@ def test_ids_are_the_librarys(spark, name):
         assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_found(name):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>Ünï x<|endoftext|>", "中文<|endoftext|><|endoftext|> ", "<|EndOfText|>"]
+    texts += ["<|endoftext|>", "a <| endoftext|> b", "before", "\n <|endoftext|>\n 12½ <|startoftext|"]
+    for text, ids in zip(texts, tokens.encoder(path).many(texts)):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert plain.token_to_id("<|endoftext|>") in tokens.encoder(path).many(texts)[0]
+
+
+def test_added_tokens_after_normalising(tmp_path):
+    for content in ("<Stop>", "two words"):
+        plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        plain.add_tokens([AddedToken(content, normalized=True)])
+        path = str(tmp_path / f"{content[:3].strip('<')}.json")
+        plain.save(path)
+        texts = ["a <STOP> b", "中 <stop>", "Two \n WORDS more", "two words", "stop"]
+        for text, ids in zip(texts, tokens.encoder(path).many(texts)):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_simple8b_round_trip():
     random = np.random.default_rng(1)
     for n in (0, 1, 59, 240, 1024, 1025, 5000):
