@@ -3,12 +3,12 @@
 Every task packs the documents of its input split, shard by shard; nothing is
 shuffled. Whole windows of a long document become sequences of their own. What is
 left of each document waits in its shard, whose inverted index over token ids holds
-all its documents with BM25 weights. A window starts with a seed, asks the index for
-the unused documents that score best for the seed's rarest ids, and takes them until
-it is full; the last one is cut, and its rest waits on. If no neighbour is left, the
-next unused document follows. What doesn't fill a window goes on to the task's next
-shard. At the end of the task it is cut into sequences of powers of two, so nothing
-is padded.
+all its documents with BM25 weights. A window starts with a seed and takes the unused
+documents in the order of their scores for all ids of the seed until it is full; the
+last one is cut, and its rest waits on. Only if no unused document shares an id with
+the seed, the next one in input order follows. The end id, which all documents have,
+is not looked up. What doesn't fill a window goes on to the task's next shard. At the
+end of the task it is cut into sequences of powers of two, so nothing is padded.
 
 Edge cases: a null text counts as empty and has only the end id. Null or repeated
 doc_ids are documents of their own. Very long texts are cut. An empty table gives an
@@ -33,10 +33,8 @@ WINDOW = 4096
 END_ID = 2
 #: Characters of text in a shard; the index of a shard takes a few times as many bytes.
 SHARD_CHARS = 12_000_000
-#: Ids of the seed that are looked up, the rarest first.
-QUERY_IDS = 24
-#: Documents returned for a seed at a time.
-NEIGHBOURS = 32
+#: Neighbours of a seed that are put in order at first; more are if they don't fill it.
+FIRST_LOT = 32
 K1, B = 1.2, 0.75
 
 _PIECES = pa.schema(
@@ -68,29 +66,53 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.documents = owner[order]
         term, count = term[order], count[order].astype(np.float32)
-        top = int(term[-1]) + 1
+        top = int(term[-1]) + 1 if len(term) else 0
         self.starts = np.searchsorted(term, np.arange(top + 1))
         self.held = np.diff(self.starts)
         self.idf = np.log1p((n - self.held + 0.5) / (self.held + 0.5)).astype(np.float32)
         sizes = np.array([len(d) for d in documents], np.float32)
-        scale = K1 * (1 - B + B * sizes / sizes.mean())
+        scale = K1 * (1 - B + B * sizes / max(sizes.mean(), 1))
         self.weights = self.idf[term] * count * (K1 + 1) / (count + scale[self.documents])
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """The unused documents that score best for the seed, best first."""
+        self.kept = n
+
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Forget the postings of used documents once they are a quarter of those held.
+        Weights stay as they are."""
+        left = int(unused.sum())
+        if 4 * left > 3 * self.kept:
+            return
+        stay = unused[self.documents]
+        self.starts = np.concatenate(([0], np.cumsum(stay)))[self.starts]
+        self.documents, self.weights, self.kept = self.documents[stay], self.weights[stay], left
+
+    def best_first(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The documents unused at the call that share an id with the seed, best score
+        first, then in input order."""
         own = self.terms[seed]
         own = own[self.held[own] > 1]
-        if len(own) > QUERY_IDS:
-            own = own[np.argpartition(self.held[own], QUERY_IDS)[:QUERY_IDS]]
-        scores = np.zeros(len(unused), np.float32)
-        for term in own.tolist():
-            part = slice(self.starts[term], self.starts[term + 1])
-            scores[self.documents[part]] += self.weights[part]
-        scores[~unused] = 0
-        k = min(NEIGHBOURS, len(scores) - 1)
-        best = np.argpartition(scores, -k)[-k:] if k else np.arange(0)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        if not len(own):
+            return
+        parts = [slice(a, b) for a, b in zip(self.starts[own].tolist(), self.starts[own + 1].tolist())]
+        scores = np.bincount(
+            np.concatenate([self.documents[part] for part in parts]),
+            np.concatenate([self.weights[part] for part in parts]),
+            len(unused),
+        )
+        rest = np.flatnonzero(unused & (scores > 0))
+        scores, lot = scores[rest], FIRST_LOT
+        # a few at a time, as a window seldom takes all of them
+        while len(rest):
+            if lot < len(rest):
+                least = -np.partition(-scores, lot - 1)[lot - 1]
+                now = scores >= least
+            else:
+                now = np.ones(len(rest), bool)
+            yield from rest[now][np.argsort(-scores[now], kind="stable")].tolist()
+            rest, scores, lot = rest[~now], scores[~now], 4 * lot
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        """All of ``best_first``."""
+        return list(self.best_first(seed, unused))
 
 
 class Packer:
@@ -117,7 +139,7 @@ class Packer:
         left = sum(len(ids) - start for _, ids, start in rest)
         if left < WINDOW:
             return self._finish(rest) if last else rest
-        index = Index([ids for _, ids, _ in rest])
+        index = Index([ids[:-1] for _, ids, _ in rest])
         starts = [start for _, _, start in rest]
         unused = np.ones(len(rest), bool)
         seed = 0
@@ -129,7 +151,8 @@ class Packer:
             while filled < WINDOW:
                 k = next(queue, None)
                 if k is None and not asked:
-                    queue, asked = iter(index.neighbours(seed, unused)), True
+                    index.drop_used(unused)
+                    queue, asked = index.best_first(seed, unused), True
                     continue
                 if k is None:
                     while not unused[next_up]:

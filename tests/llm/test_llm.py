@@ -189,6 +189,54 @@ def test_neighbours_are_alike():
     assert index.neighbours(0, unused) == []
 
 
+def test_all_ids_of_the_seed_count():
+    rare, common = np.arange(24, dtype=np.uint32), np.arange(50, 90, dtype=np.uint32)
+    other = np.arange(200, 300, dtype=np.uint32)
+    index = packing.Index([np.concatenate((rare, common)), rare, other, common, common[:20], other])
+    unused = np.array([False, False, True, True, True, True])
+    assert index.neighbours(0, unused) == [3, 4]
+
+
+def test_windows_take_all_neighbours_first():
+    """Brute force over short documents: many more than 33 fill a window."""
+    random = np.random.default_rng(5)
+    topics = [random.permutation(np.arange(k * 500, k * 500 + 500, dtype=np.uint32)) for k in range(3)]
+    docs = [
+        (k, np.append(random.choice(topics[k % 3], 30 + k % 40), packing.END_ID).astype(np.uint32), 0)
+        for k in range(600)
+    ]
+    pieces = defaultdict(list)
+    packing.Packer(0, lambda doc, start, n, sequence, at: pieces[sequence].append((doc[0], start, n))).shard(docs, True)
+    index = packing.Index([d[1][:-1] for d in docs])
+    scores = np.zeros((600, 600))
+    for seed in range(600):
+        for term in index.terms[seed]:
+            part = slice(index.starts[term], index.starts[term + 1])
+            scores[seed, index.documents[part]] += index.weights[part]
+    starts, left = [0] * 600, sum(len(d[1]) for d in docs)
+    unused = set(range(600))
+    for sequence in sorted(pieces):
+        if left < packing.WINDOW:
+            break
+        seed, filled, want = min(unused), 0, []
+        order = sorted(unused - {seed}, key=lambda k: (not scores[seed, k] > 0, -scores[seed, k], k))
+        for k in [seed, *order]:
+            n = min(len(docs[k][1]) - starts[k], packing.WINDOW - filled)
+            want.append((k, starts[k], n))
+            starts[k], filled = starts[k] + n, filled + n
+            if starts[k] == len(docs[k][1]):
+                unused.discard(k)
+            if filled == packing.WINDOW:
+                break
+        assert [w[0] for w in want] == [p[0] for p in pieces[sequence]] and want == pieces[sequence]
+        left -= packing.WINDOW
+    assert sequence > 3
+    empty = [(k, np.array([packing.END_ID], np.uint32), 0) for k in range(packing.WINDOW)]
+    pieces.clear()
+    packing.Packer(0, lambda doc, start, n, sequence, at: pieces[sequence].append(doc[0])).shard(empty, True)
+    assert pieces[0] == list(range(packing.WINDOW))
+
+
 # language, quality
 
 
