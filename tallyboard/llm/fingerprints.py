@@ -4,9 +4,10 @@ The prefix array of a text holds the polynomial hash of every prefix, under two
 bases modulo 2**31 - 1. The hash of any span follows from two of its entries, so
 equality of spans costs a few operations and the longest common extension of two
 places is found by binary search. A fingerprint holds the number of code points, the
-hash of the whole text, and for each of 128 slots the least of the mixed hashes of
-all spans of 6 code points that fall in the slot (in texts below 48 code points, of
-all shorter spans too). A span's second occurrence is a span of its own, and so on.
+hash of the whole text, and for each of 128 slots 39 bits of the least of the mixed
+hashes of all spans of 6 code points that fall in the slot (in texts below 48 code
+points, of all shorter spans too). Spans are hashed under both bases, so that in long
+texts neither spans nor least hashes agree by chance. A span's second occurrence is a span of its own, and so on.
 Equal texts have equal fingerprints; the share of equal slots estimates the share of
 spans that two texts have in common.
 
@@ -38,8 +39,13 @@ BASES = (1_000_003_133, 748_391_207)
 SPAN = 6
 SHORT = 48
 SLOTS = 128
+#: Bits kept of a slot's least hash; the empty mark is the first number beyond them.
+VALUE_BITS = 39
+_SLOT_BITS = SLOTS.bit_length() - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = 0xFFFF
+_TIMES = np.uint64(0xA0761D6478BD642F)
+_OF_LENGTH = np.arange(SPAN, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+_EMPTY = 1 << VALUE_BITS
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
@@ -94,10 +100,13 @@ class Prefixes:
         return out
 
     def spans(self, length: int) -> np.ndarray:
-        """The hashes of all spans of a length, under the first base."""
-        sums, powers = self.sums[0], _POWERS[0]
-        raw = sums[length:] + np.uint64(MODULUS) - sums[: self.size + 1 - length]
-        return _fold(_fold(raw) * powers.get(self.size + 1 - length, True))
+        """The hashes of all spans of a length, under both bases."""
+        out = np.zeros(self.size + 1 - length, np.uint64)
+        for sums, powers in zip(self.sums, _POWERS):
+            raw = sums[length:] + np.uint64(MODULUS) - sums[: self.size + 1 - length]
+            own = _fold(_fold(raw) * powers.get(self.size + 1 - length, True))
+            out = out << np.uint64(31) | own
+        return out
 
     def whole(self) -> int:
         return self.span(0, self.size)
@@ -121,27 +130,29 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
 
 def sketch(prefixes: Prefixes) -> np.ndarray:
     """The least mixed span hash in each slot."""
-    slots = np.full(SLOTS, _EMPTY, np.uint16)
+    slots = np.full(SLOTS, _EMPTY, np.uint64)
     if not prefixes.size:
         return slots
     longest = min(SPAN, prefixes.size)
     lengths = range(1 if prefixes.size < SHORT else longest, longest + 1)
     hashes = np.sort(
-        np.concatenate([prefixes.spans(n) + np.uint64((n % SPAN) << 31) for n in lengths])
+        np.concatenate([prefixes.spans(n) + _OF_LENGTH[n % SPAN] for n in lengths])
     )
     # the k-th time a span occurs counts as a span of its own
     places = np.arange(len(hashes), dtype=np.uint64)
     begins = np.concatenate(([True], hashes[1:] != hashes[:-1]))
     times = places - np.maximum.accumulate(np.where(begins, places, np.uint64(0)))
-    mixed = (hashes + np.uint64(1) + (times << np.uint64(34))) * _MIX
+    mixed = (hashes + np.uint64(1) + times * _TIMES) * _MIX
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
-    keys = np.sort((mixed >> np.uint64(41)).astype(np.uint32))  # 7 bits of slot, 16 of value
-    firsts = np.searchsorted(keys, np.arange(SLOTS, dtype=np.uint32) << np.uint32(16))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+    keys = np.sort(mixed >> np.uint64(64 - _SLOT_BITS - VALUE_BITS))
+    width = np.uint64(VALUE_BITS)
+    firsts = np.searchsorted(keys, np.arange(SLOTS, dtype=np.uint64) << width)
     held = firsts[firsts < len(keys)]
     found = keys[held]
-    slot = (found >> np.uint32(16)).astype(np.int64)
+    slot = (found >> width).astype(np.int64)
     # a slot without spans finds the first key of a later one
-    value = np.minimum(found & np.uint32(0xFFFF), _EMPTY - 1).astype(np.uint16)
+    value = found & np.uint64(_EMPTY - 1)
     own = slot == np.flatnonzero(firsts < len(keys))
     slots[slot[own]] = value[own]
     return slots
@@ -155,7 +166,9 @@ class Fingerprint:
         self.slots = sketch(prefixes)
 
     def __str__(self) -> str:
-        return f"{self.key[0]:x}-{self.key[1]:016x}-{self.slots.astype('>u2').tobytes().hex()}"
+        # five bytes a slot
+        slots = self.slots.astype(">u8").view(np.uint8).reshape(SLOTS, 8)[:, 3:]
+        return f"{self.key[0]:x}-{self.key[1]:016x}-{slots.tobytes().hex()}"
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal texts, else the share of slots with the same span."""

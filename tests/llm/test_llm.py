@@ -326,6 +326,19 @@ def test_spans():
     assert fingerprints.common_extension(a, 0, b, 5) == 5
 
 
+def test_long_unrelated_texts_are_unlike():
+    random = np.random.default_rng(8)
+    size = 3_000_000
+    make = lambda: fingerprints.Fingerprint(
+        fingerprints.Prefixes(random.integers(97, 5000, size).astype(np.uint32))
+    )
+    a, b = make(), make()
+    assert a.likeness(b) < 0.01 and a.likeness(a) == 1
+    assert (a.slots < fingerprints._EMPTY).all() and len(str(a).split("-")[2]) == 128 * 10
+    none = fingerprints.sketch(fingerprints.Prefixes(fingerprints.code_points("ab")))
+    assert (none == fingerprints._EMPTY).sum() >= 125
+
+
 # dedup
 
 
