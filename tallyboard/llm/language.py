@@ -12,6 +12,9 @@ text in the fewest bits is predicted.
 Bytes that no language saw behave alike in every context, so they share one symbol.
 Letters are lower-cased first.
 
+The sample is drawn in pieces, so it is bounded however long the texts are, and every
+language with a text to learn from has a part in it.
+
 Edge cases: a null text, an empty one and one without a letter are ``und`` with score
 0; so is every text if there is nothing to learn from. Of languages that code a text
 equally well the first by code point wins. Rows with a null lang or text teach
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 ORDER = 3
 #: About so many characters of each language are learnt from, drawn by a hash.
 SAMPLE_CHARS = 1_000_000
+#: Texts are drawn in pieces of so many characters.
+PIECE_CHARS = 1000
 #: The score is the share of the evidence of so many bytes that is for the language.
 SCORE_BYTES = 48
 UNKNOWN = "und"
@@ -49,14 +54,58 @@ def _folded(text: Column) -> Column:
     return F.lower(text).cast("binary")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The drawn pieces of each text, each with the characters before it."""
+    for batch in batches:
+        out: list[tuple[str, str, str]] = []
+        columns = (batch.column(c).to_pylist() for c in ("lang", "text", "drawn"))
+        for lang, text, drawn in zip(*columns):
+            for k in drawn:
+                at = k * PIECE_CHARS
+                out.append((lang, text[max(0, at - ORDER) : at], text[at : at + PIECE_CHARS]))
+        if out:
+            names = ["lang", "lead", "text"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names)
+
+
 def sample(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """lang and text of about ``chars`` characters per language, drawn by a hash."""
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("held"))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < (
-        F.lit(1_000_000.0 * chars) / F.greatest("held", F.lit(1))
+    """lang, lead, text and copies: pieces of about ``chars`` characters per language in
+    all, drawn by a hash, with the characters before each and how often it was drawn.
+
+    Of every language the piece with the least hash is among them. Pieces of rows that
+    repeat an id and a text share a hash; they are counted, not kept each.
+    """
+    last = F.greatest(F.ceil(F.length("text") / PIECE_CHARS).cast("int"), F.lit(1)) - 1
+    rows = labelled.select(
+        "lang",
+        "text",
+        # the text is hashed once, not for each piece
+        F.transform(
+            F.array(F.xxhash64("doc_id", "text")),
+            lambda own: F.transform(
+                F.sequence(F.lit(0), last),
+                # 62 bits of a hash as a share
+                lambda k: F.shiftrightunsigned(F.xxhash64(own, k), 2) / F.lit(2.0**62),
+            ),
+        )[0].alias("shares"),
+    ).filter("text <> ''")
+    sizes = rows.groupBy("lang").agg(
+        F.sum(F.length("text")).alias("held"), F.min(F.array_min("shares")).alias("least")
     )
+    below = F.greatest(F.lit(float(chars)) / F.col("held"), F.col("least"))
     # a row per language
-    return labelled.join(F.broadcast(sizes), "lang").filter(drawn).select("lang", "text")
+    drawn = rows.join(F.broadcast(sizes), "lang").select(
+        "lang",
+        "text",
+        F.filter(
+            F.transform("shares", lambda share, k: F.when(share <= below, k)),
+            lambda k: k.isNotNull(),
+        ).alias("drawn"),
+    )
+    pieces = drawn.filter(F.size("drawn") > 0).mapInArrow(
+        _pieces, "lang string, lead string, text string"
+    )
+    return pieces.groupBy("lang", "lead", "text").agg(F.count("*").alias("copies"))
 
 
 def _windows(data: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
@@ -74,15 +123,19 @@ def _windows(data: np.ndarray, begins: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each language's windows within a task."""
+    """Counts of each language's windows within a task. A piece's lead is context only."""
     held: dict[str, list] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        columns = (batch.column(c).to_pylist() for c in ("lang", "lead", "text", "copies"))
+        for lang, lead, text, copies in zip(*columns):
             if text:
-                data = np.frombuffer(text, np.uint8)
-                held.setdefault(lang, []).append(_windows(data, np.zeros(1, np.int64), ORDER))
+                data = np.frombuffer(lead + text, np.uint8)
+                own = _windows(data, np.zeros(1, np.int64), ORDER)[len(lead) :]
+                held.setdefault(lang, []).append((own, np.full(len(own), copies)))
     for lang, parts in held.items():
-        windows, counts = np.unique(np.concatenate(parts), return_counts=True)
+        windows, of = np.unique(np.concatenate([own for own, _ in parts]), return_inverse=True)
+        counts = np.zeros(len(windows), np.int64)
+        np.add.at(counts, of, np.concatenate([copies for _, copies in parts]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([lang] * len(windows), pa.string()),
@@ -217,7 +270,12 @@ def build(counts: list[tuple[str, int, int]]) -> Model | None:
 def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> list[tuple[str, int, int]]:
     """Counts of a bounded sample: (lang, window, count), at most a row per character
     drawn."""
-    drawn = sample(labelled, chars).select("lang", _folded(F.col("text")).alias("text"))
+    drawn = sample(labelled, chars).select(
+        "lang",
+        _folded(F.col("lead")).alias("lead"),
+        _folded(F.col("text")).alias("text"),
+        "copies",
+    )
     counted = drawn.mapInArrow(_count, "lang string, seen long, n long")
     rows = counted.groupBy("lang", "seen").agg(F.sum("n").alias("n")).toArrow()
     return sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "seen", "n"))))

@@ -255,6 +255,28 @@ def test_language(spark, odd, empty):
     assert language.identify(empty, learnt).count() == 0
 
 
+def test_sample_is_bounded_and_has_every_language(spark):
+    rows = [(k, LONG[k:], f"one{k}") for k in range(6)] + [(k, LONG, "many") for k in range(4)]
+    rows += [(1, "short one", "copies")] * 30_000 + [(1, "", "none"), (2, "a bc", "small")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chars = len(LONG) // 10
+    drawn = defaultdict(list)
+    for r in language.sample(labelled, chars).collect():
+        drawn[r.lang].append(r)
+    assert set(drawn) == {r[2] for r in rows} - {"none"}
+    for lang in [f"one{k}" for k in range(6)] + ["many"]:
+        assert 0.3 * chars < sum(len(r.text) * r.copies for r in drawn[lang]) < 2 * chars
+        assert all(len(r.text) <= language.PIECE_CHARS and r.lead + r.text in LONG for r in drawn[lang])
+    assert [(r.text, r.copies) for r in drawn["copies"]] == [("short one", 30_000)]
+    # whole texts in pieces are learnt from as whole texts
+    counts = Counter()
+    windows = language._windows(np.frombuffer(LONG.lower().encode(), np.uint8), np.zeros(1, np.int64), language.ORDER)
+    for window in windows.tolist():
+        counts[window] += 1
+    one = labelled.filter("lang = 'one0'")
+    assert {w: n for _, w, n in language.fit(one, len(LONG))} == counts
+
+
 def test_code_lengths_are_exact(spark):
     model = language.build(language.fit(_documents(spark).filter("lang IS NOT NULL")))
     share = np.exp2(-model.bits.astype(float))
