@@ -40,6 +40,8 @@ PIECE_CHARS = 1000
 #: The score is the share of the evidence of so many bytes that is for the language.
 SCORE_BYTES = 48
 UNKNOWN = "und"
+#: Columns of a prediction.
+PREDICTED = ("lang_pred", "score", "bits_per_byte")
 #: Contexts of the full order seen less often than this are left out of the trees.
 MIN_SEEN = 6
 _LOT_BYTES = 500_000
@@ -281,8 +283,22 @@ def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> list[tuple[str, int,
     return sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "seen", "n"))))
 
 
-def identify(docs: DataFrame, labelled: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """All columns of the documents with lang_pred, score and bits_per_byte.
+def _free(name: str, columns: list[str]) -> str:
+    """The name, behind as many underscores as it takes to be none of the columns'."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def identify(
+    docs: DataFrame,
+    labelled: DataFrame,
+    chars: int = SAMPLE_CHARS,
+    names: tuple[str, str, str] = PREDICTED,
+) -> DataFrame:
+    """All columns of the documents with lang_pred, score and bits_per_byte, or with
+    other names for these; columns of the same names are replaced.
 
     ``labelled`` holds doc_id, text and lang of the rows to learn from.
     """
@@ -290,14 +306,15 @@ def identify(docs: DataFrame, labelled: DataFrame, chars: int = SAMPLE_CHARS) ->
     # bounded by the sample: a table of contexts, symbols and languages
     shared = docs.sparkSession.sparkContext.broadcast(build(fit(known, chars)))
     schema = docs.schema
-    extra = "lang_pred string, score double, bits_per_byte double"
+    extra = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double")))
+    own = _free("_folded", docs.columns)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                folded = part.column("_folded").to_pylist()
+                folded = part.column(own).to_pylist()
                 use = [k for k, x in enumerate(folded) if x and model]
                 langs = [UNKNOWN] * len(folded)
                 scores, rates = [0.0] * len(folded), [None] * len(folded)
@@ -309,25 +326,27 @@ def identify(docs: DataFrame, labelled: DataFrame, chars: int = SAMPLE_CHARS) ->
                     best, score = model.choose(bits, sizes)
                     for k, row, b, s, n in zip(use, bits, best, score, sizes):
                         langs[k], scores[k], rates[k] = model.langs[b], float(s), float(row[b] / n)
-                columns = [c for f, c in zip(part.schema, part.columns) if f.name != "_folded"]
-                names = [f.name for f in part.schema if f.name != "_folded"]
+                columns = [c for f, c in zip(part.schema, part.columns) if f.name != own]
+                kept_names = [f.name for f in part.schema if f.name != own]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                      pa.array(rates, pa.float64())],
-                    [*names, "lang_pred", "score", "bits_per_byte"],
+                    [*kept_names, *names],
                 )
 
-    clash = {"lang_pred", "score", "bits_per_byte", "_folded"} & set(docs.columns)
+    clash = {c for c in docs.columns if c.lower() in {n.lower() for n in names}}
     plain = docs.drop(*clash)
     letters = F.when(F.col("text").rlike(r"\p{L}"), _folded(F.col("text")))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in clash]
-    return plain.withColumn("_folded", letters).mapInArrow(predict, ", ".join([*kept, extra]))
+    return plain.withColumn(own, letters).mapInArrow(predict, ", ".join([*kept, extra]))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents with a language, all columns."""
-    found = identify(docs, docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Documents with a language, all columns as they were."""
+    names = tuple(_free(name, docs.columns) for name in PREDICTED)
+    labelled = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    found = identify(docs, labelled, names=names)
+    return found.filter(F.col(names[0]) != UNKNOWN).drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

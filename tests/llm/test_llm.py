@@ -255,6 +255,19 @@ def test_language(spark, odd, empty):
     assert language.identify(empty, learnt).count() == 0
 
 
+def test_keep_identified_keeps_clashing_columns(spark, odd):
+    table = odd.select(
+        "*", F.lit("theirs").alias("lang_pred"), F.lit(3).alias("_folded"),
+        F.lit("x").alias("Bits_per_byte"), F.lit("y").alias("_score"), F.lit(1).alias("a b"),
+    )
+    kept = language.keep_identified(table)
+    assert kept.columns == table.columns
+    want = Counter(tuple(r) for r in table.collect() if any(c.isalpha() for c in r.text or ""))
+    assert Counter(map(tuple, kept.collect())) == want
+    once = language.identify(table, _documents(spark))
+    assert once.columns[-3:] == list(language.PREDICTED) and once.first()["_folded"] == 3
+
+
 def test_sample_is_bounded_and_has_every_language(spark):
     rows = [(k, LONG[k:], f"one{k}") for k in range(6)] + [(k, LONG, "many") for k in range(4)]
     rows += [(1, "short one", "copies")] * 30_000 + [(1, "", "none"), (2, "a bc", "small")]
