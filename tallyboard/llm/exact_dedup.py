@@ -3,9 +3,11 @@
 Keys are digests of normalised texts. The directory maps the leading bits of a key
 to a bucket; a bucket with more keys than it may hold is split by one more bit, and
 the directory doubles when a bucket needs more bits than it has. Buckets are ranges
-of keys, each owned by one task, which chains equal keys and compares the bytes of
-their texts. Copies share one entry, so a large group of copies is one key: copies
-are counted within each task before anything moves.
+of keys and lay out the index that is written. They decide nothing: equal bytes meet
+by grouping on digest and whole text, which also numbers texts that share a digest,
+and the row that stays is chosen by grouping on digest and number. Copies share one
+entry, so a large group of copies is one key: copies are counted within each task
+before anything moves.
 
 Edge cases: null texts count as empty, and empty texts are copies of each other. A
 null doc_id sorts after all others. Of rows that repeat id and text, one stays. An
@@ -93,7 +95,7 @@ def directory(entries: DataFrame, keys: int, bucket_keys: int = BUCKET_KEYS) ->
 def chains(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame | None:
     """Texts that share a digest but differ in bytes, numbered; None if there are none.
 
-    Owner tasks count the rows of each digest and text; equal bytes meet in one row,
+    Plain grouping counts the rows of each digest and text; equal bytes meet in one row,
     and copies are counted before they move.
     """
     texts = docs.select(normalised(F.col("text")).alias("norm"))
