@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyboard.llm import exact_dedup, fingerprints, language, mixing, near_dedup, packing, quality, token_files, url_lists, warc
+from tallyboard.llm import (
+    exact_dedup,
+    fingerprints,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    runs,
+    token_files,
+    url_lists,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": near_dedup.query,
         "op9_warc_derivatives": warc.query,
         "op10_token_files": token_files.query,
+        "op12_runs": runs.query,
         "pipeline": corpus_pipeline.run,
     }
 
