@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tallyboard.llm import (
+    conversations,
     exact_dedup,
     fingerprints,
     language,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": near_dedup.query,
         "op9_warc_derivatives": warc.query,
         "op10_token_files": token_files.query,
+        "op11_conversations": conversations.query,
         "op12_runs": runs.query,
         "pipeline": corpus_pipeline.run,
     }
@@ -47,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
         "op9_warc_derivatives": warc.SQL,
+        "op11_conversations": conversations.SQL,
     }
