@@ -14,6 +14,7 @@ from tallyboard.llm import (
     language,
     mixing,
     near_dedup,
+    neighbours,
     packing,
     quality,
     runs,
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         "op10_token_files": token_files.query,
         "op11_conversations": conversations.query,
         "op12_runs": runs.query,
+        "op13_neighbours": neighbours.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -50,4 +52,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": exact_dedup.SQL,
         "op9_warc_derivatives": warc.SQL,
         "op11_conversations": conversations.SQL,
+        "op13_neighbours": neighbours.SQL,
     }
