@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyboard.llm.columns import order_of, packed, unpacked
 from tallyboard.session import materialise
 
 #: Keys a bucket may hold.
@@ -195,23 +196,27 @@ def deduplicate(
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns, one of each group."""
+    """The documents that stay, all columns whatever their names, one of each group.
+
+    Of rows that repeat id and text, the one whose other columns come first as JSON stays.
+    """
     kept = deduplicate(docs).filter("kept").select(
-        F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no"),
-        F.col("text_key").alias("_text"),
+        F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"),
+        F.col("text_key").alias("text"),
     )
     keyed = docs.select(
-        "*",
-        F.coalesce("doc_id", F.lit(-1)).alias("_id"),
-        F.col("doc_id").isNull().alias("_no"),
-        F.xxhash64("text").alias("_text"),
+        packed(docs.columns).alias("row"),
+        F.coalesce("doc_id", F.lit(-1)).alias("id"),
+        F.col("doc_id").isNull().alias("no_id"),
+        F.xxhash64("text").alias("text"),
+        order_of(docs, ("doc_id", "text")).alias("others"),
     )
-    same = Window.partitionBy("_id", "_no", "_text").orderBy(F.lit(0))
+    same = Window.partitionBy("id", "no_id", "text").orderBy("others")
     return (
-        keyed.join(kept, ["_id", "_no", "_text"])
-        .withColumn("_copy", F.row_number().over(same))
-        .filter("_copy = 1")
-        .select(*docs.columns)
+        keyed.join(kept, ["id", "no_id", "text"])
+        .withColumn("copy", F.row_number().over(same))
+        .filter("copy = 1")
+        .select(*unpacked(docs.columns, "row"))
     )
 
 

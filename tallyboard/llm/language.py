@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.llm.columns import named
+
 #: Bytes before a byte that may predict it.
 ORDER = 3
 #: About so many characters of each language are learnt from, drawn by a hash.
@@ -343,10 +345,16 @@ def identify(
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents with a language, all columns as they were."""
-    names = tuple(_free(name, docs.columns) for name in PREDICTED)
     labelled = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    found = identify(docs, labelled, names=names)
-    return found.filter(F.col(names[0]) != UNKNOWN).drop(*names)
+    # by number, so that names may hold dots and be those of a prediction
+    numbered = docs.select(
+        *[
+            named(c).alias(c.lower() if c.lower() in ("doc_id", "text") else f"column_{k}")
+            for k, c in enumerate(docs.columns)
+        ]
+    )
+    found = identify(numbered, labelled).filter(F.col(PREDICTED[0]) != UNKNOWN)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(numbered.columns, docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyboard.llm.columns import order_of, packed, unpacked
 from tallyboard.session import materialise
 
 #: Weights of the sources in code point order, repeating.
@@ -153,32 +154,37 @@ def mix(
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, all columns, each as often as the mix takes it.
+    """The mixed documents, all columns whatever their names, each as often as the mix takes it.
 
-    Rows that repeat id and text share the sum of their repeats evenly.
+    Rows that repeat id, text and source share the sum of their repeats evenly, the first by
+    their other columns as JSON taking what is left over.
     """
     mixed = mix(docs, **options)
     seed = options.get("seed", SEED)
-    drawn = mixed.groupBy("place", "source").agg(
-        F.count("*").alias("_rows"), F.sum("repeats").alias("_repeats")
+    drawn = mixed.groupBy(F.col("place").alias("drawn_place"), F.col("source").alias("drawn_source")).agg(
+        F.count("*").alias("rows"), F.sum("repeats").alias("repeats")
     )
-    drawn = drawn.withColumnsRenamed({"place": "_place", "source": "_source"})
-    keyed = docs.withColumn("_row_place", _place(seed))
-    nth = Window.partitionBy("_place", "_source").orderBy(F.lit(0))
-    share = F.floor(F.col("_repeats") / F.col("_rows")) + (
-        F.col("_nth") <= F.col("_repeats") % F.col("_rows")
+    keyed = docs.select(
+        packed(docs.columns).alias("row"),
+        _place(seed).alias("place"),
+        "source",
+        order_of(docs, ("doc_id", "text", "source")).alias("others"),
+    )
+    nth = Window.partitionBy("drawn_place", "drawn_source").orderBy("others")
+    share = F.floor(F.col("repeats") / F.col("rows")) + (
+        F.col("nth") <= F.col("repeats") % F.col("rows")
     ).cast("long")
     return (
         keyed.join(
             drawn,
-            (F.col("_row_place") == F.col("_place"))
-            & F.col("source").eqNullSafe(F.col("_source")),
+            (F.col("place") == F.col("drawn_place"))
+            & F.col("source").eqNullSafe(F.col("drawn_source")),
         )
-        .withColumn("_nth", F.row_number().over(nth))
-        .withColumn("_times", share.cast("int"))
-        .filter("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*docs.columns)
+        .withColumn("nth", F.row_number().over(nth))
+        .withColumn("times", share.cast("int"))
+        .filter("times > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .select(*unpacked(docs.columns, "row"))
     )
 
 

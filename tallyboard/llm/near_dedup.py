@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.llm import words
+from tallyboard.llm.columns import order_of, packed, unpacked
 from tallyboard.session import materialise
 
 SHINGLE = 5
@@ -788,8 +789,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Documents of which one of each group stays, all columns: the one with the least
-    id, then the least hash of its text. Empty sets all stay."""
+    """Documents of which one of each group stays, all columns whatever their names: the
+    one with the least id, then the least hash of its text. Empty sets all stay. Of rows that
+    repeat id and text, the one whose other columns come first as JSON stays."""
     placed = materialise(join(docs, percent), "joined")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     alone = placed.filter("component IS NULL").select("doc_id", "text_key").distinct()
@@ -799,19 +801,25 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.min(order).alias("first"))
         .select("first.doc_id", "first.text_key")
         .unionByName(alone)
-        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"))
+        .select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text"))
+    )
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(
+        packed(docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(text).alias("key"),
+        (~text.rlike(r"[^\x20\x09-\x0D]")).alias("blank"),
+        order_of(docs, ("doc_id", "text")).alias("others"),
     )
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(
-        stays, (F.col("_key") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        stays, (F.col("key") == F.col("kept_text")) & F.col("id").eqNullSafe(F.col("kept_id"))
     )
     # rows that repeat an id and a text with words are one document
-    same = Window.partitionBy("_key", "_id").orderBy(F.lit(0))
-    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = Window.partitionBy("key", "id").orderBy("others")
     return (
-        joined.withColumn("_nth", F.row_number().over(same))
-        .filter((F.col("_nth") == 1) | blank)
-        .select(*docs.columns)
+        joined.withColumn("nth", F.row_number().over(same))
+        .filter("nth = 1 OR blank")
+        .select(*unpacked(docs.columns, "row"))
     )
 
 

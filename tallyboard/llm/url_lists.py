@@ -9,7 +9,8 @@ captures by both, which also spreads a host that holds many captures.
 Edge cases: a null url, one without a host, or a null day is never blocked. A
 removal on the day of an addition wins. Repeated events count once; removals without
 an addition change nothing; repeated captures each get their verdict. Empty tables
-give empty results or unblocked captures. Extra columns are ignored.
+give empty results or unblocked captures. Extra columns are kept; where a capture has a column
+named like one of the verdict, the verdict's gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyboard.llm.columns import free, packed, unpacked
+
+VERDICT = ("host", "blocked", "list", "pattern", "valid_from", "active_entries")
 
 def host(url: Column) -> Column:
     """Lower-case host of an absolute http or https URL, without user and port."""
@@ -53,14 +57,17 @@ def _parents(name: Column) -> Column:
 def evaluate(captures: DataFrame, valid: DataFrame) -> DataFrame:
     """Captures (url, fetched_on, others) with host, blocked, list, pattern, valid_from
     and active_entries."""
-    own = captures.withColumn("host", host(F.col("url")))
+    result = free(VERDICT, captures.columns)
+    own = captures.select(
+        packed(captures.columns).alias("capture"), host(F.col("url")).alias("host"), "fetched_on"
+    )
     asked = (
         own.select("host", "fetched_on").distinct().filter("host IS NOT NULL AND fetched_on IS NOT NULL")
     )
     names = asked.withColumn("pattern", F.explode(_parents(F.col("host"))))
     active = names.join(
-        valid.withColumnRenamed("pattern", "_pattern"),
-        (F.col("pattern") == F.col("_pattern"))
+        valid.select("list", F.col("pattern").alias("listed"), "valid_from", "valid_until"),
+        (F.col("pattern") == F.col("listed"))
         & (F.col("valid_from") <= F.col("fetched_on"))
         & (F.col("valid_until").isNull() | (F.col("fetched_on") < F.col("valid_until"))),
     )
@@ -70,19 +77,17 @@ def evaluate(captures: DataFrame, valid: DataFrame) -> DataFrame:
     verdicts = active.groupBy("host", "fetched_on").agg(
         first, F.count("*").alias("active_entries")
     )
-    return (
-        own.join(verdicts, ["host", "fetched_on"], "left")
-        .withColumn("blocked", F.col("first").isNotNull())
-        .withColumn("active_entries", F.coalesce("active_entries", F.lit(0)))
-        .select(
-            *captures.columns,
-            "host",
-            "blocked",
-            "first.list",
-            "first.pattern",
-            "first.valid_from",
-            "active_entries",
-        )
+    verdict = {
+        "host": F.col("host"),
+        "blocked": F.col("first").isNotNull(),
+        "list": F.col("first.list"),
+        "pattern": F.col("first.pattern"),
+        "valid_from": F.col("first.valid_from"),
+        "active_entries": F.coalesce("active_entries", F.lit(0)),
+    }
+    return own.join(verdicts, ["host", "fetched_on"], "left").select(
+        *unpacked(captures.columns, "capture"),
+        *[verdict[name].alias(result[name]) for name in VERDICT],
     )
 
 

@@ -8,7 +8,8 @@ rerun makes the same records. Everything is one pass without a shuffle.
 Edge cases: a null payload counts as empty; a null url gives a null target and no
 header line; responses without a record id get one from their target, date and
 payload. Rows that repeat a response repeat its records. An empty table gives an
-empty result. Extra columns are ignored.
+empty result. Extra columns are kept; where the source has one named like a column of
+the records, that of the records gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -16,7 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.llm.columns import free, packed, unpacked
+
 CRLF = "\r\n"
+RECORD = (
+    "refers_to", "target_uri", "warc_date", "source_headers", "source_payload_digest", "record_type",
+    "content_type", "block", "record_id", "block_digest", "content_length", "record",
+)
 #: What conversion records say of the way they were made.
 CONVERTER = "markup removed; script, style and comments dropped"
 
@@ -96,8 +103,9 @@ def derive(source: DataFrame) -> DataFrame:
               ("record_id", "target_uri", "warc_date", "headers", "payload")]
     payload = F.coalesce("payload", F.lit(""))
     fallback = _uuid(F.concat_ws("|", F.lit("response"), "target_uri", "warc_date", payload))
+    result = free(RECORD, others)
     rows = source.select(
-        *others,
+        packed(others).alias("others"),
         F.coalesce("record_id", fallback).alias("refers_to"),
         "target_uri",
         "warc_date",
@@ -121,7 +129,7 @@ def derive(source: DataFrame) -> DataFrame:
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
     records = (
-        rows.select(*others, "refers_to", "target_uri", "warc_date", "source_headers",
+        rows.select("others", "refers_to", "target_uri", "warc_date", "source_headers",
                     "source_payload_digest", F.inline(kinds))
         .withColumn("record_id", _uuid(F.concat_ws("|", "record_type", "refers_to")))
         .withColumn("block_digest", _sha256(F.col("block")))
@@ -144,7 +152,10 @@ def derive(source: DataFrame) -> DataFrame:
         line("Content-Length", F.col("content_length").cast("string")),
         F.lit(CRLF),
     )
-    return records.withColumn("record", F.concat(header, F.col("block"), F.lit(CRLF * 2)))
+    records = records.withColumn("record", F.concat(header, F.col("block"), F.lit(CRLF * 2)))
+    return records.select(
+        *unpacked(others, "others"), *[F.col(name).alias(result[name]) for name in RECORD]
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
