@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tallyboard.operators.boards import (
     board_stats,
     flag_top_players,
     held_scores,
+    weight_levels,
 )
 
 SCORES = "id long, leaderboard_id string, player_id string, pp double, weight double"
@@ -134,3 +136,54 @@ def test_ratios(spark):
     df = spark.createDataFrame([(10, 5, 2), (3, 0, 0), (0, 0, 0)], "count long, count80 long, count95 long")
     found = [tuple(r)[3:] for r in board_ratios(df).orderBy(F.desc("count")).collect()]
     assert found == [(0.5, 0.2, 0.4), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+
+
+def _tied(spark, seed):
+    """Boards with few distinct weights, so that thirds end inside a weight."""
+    rng = np.random.default_rng(seed)
+    rows = [
+        (int(k), f"b{k % 3}", float(pp), 0.965 ** int(rng.integers(0, 4)), float(top), int(plays), bool(k % 5 == 0))
+        for k, (pp, top, plays) in enumerate(
+            zip(rng.uniform(0, 90, 400).round(2), rng.choice([0.0, 100.0, 150.0], 400, p=[0.1, 0.6, 0.3]),
+                rng.integers(30, 140, 400))
+        )
+    ]
+    schema = "id long, leaderboard_id string, pp double, weight double, top_pp double, ranked_play_count long, top_player boolean"
+    return spark.createDataFrame(rows, schema)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("policy", [SkewPolicy(hot_rows=1), SkewPolicy(hot_rows=5, chunk_rows=10, broadcast_rows=0)])
+def test_ties_at_the_cut(spark, seed, policy):
+    held = _tied(spark, seed)
+    sorted_way = {r.leaderboard_id: r for r in board_statistics(held).collect()}
+    counted_way = {r.leaderboard_id: r for r in board_statistics(held, policy=policy).collect()}
+    assert set(sorted_way) == set(counted_way)
+    for board, row in sorted_way.items():
+        assert row[1:] == pytest.approx(counted_way[board][1:], rel=1e-12)
+        assert row.megametric40 > 0 and row.megametric125 != row.megametric
+
+
+def test_hot_scores_are_summed_before_they_move(spark, capsys):
+    weight_levels(_tied(spark, 1)).explain()
+    plan = capsys.readouterr().out.split("\n")
+    moved = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "partial_sum" in plan[moved[0] + 1]
+
+
+def test_hot_boards_are_not_ranged(spark, monkeypatch):
+    """Only rows at the weight of a cut are put in order, by id."""
+    from tallyboard.operators import boards
+
+    ordered = []
+    place = boards.with_position
+
+    def noted(df, by, order, position, **more):
+        ordered.append((position, df.count()))
+        return place(df, by, order, position, **more)
+
+    monkeypatch.setattr(boards, "with_position", noted)
+    held = _tied(spark, 1)
+    board_statistics(held, policy=SkewPolicy(hot_rows=1)).collect()
+    rows = dict(ordered)
+    assert rows["_place"] == 0 and 0 < rows["place"] < 4 * held.count()
