@@ -1,17 +1,19 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Keys are digests of normalised texts. The directory maps the leading bits of a key
-to a bucket; a bucket with more keys than it may hold is split by one more bit, and
-the directory doubles when a bucket needs more bits than it has. Buckets are ranges
-of keys and lay out the index that is written. They decide nothing: equal bytes meet
-by grouping on digest and whole text, which also numbers texts that share a digest,
-and the row that stays is chosen by grouping on digest and number. Copies share one
-entry, so a large group of copies is one key: copies are counted within each task
-before anything moves.
-
-Edge cases: null texts count as empty, and empty texts are copies of each other. A
-null doc_id sorts after all others. Of rows that repeat id and text, one stays. An
-empty table gives an empty result. Extra columns are ignored.
+Keys are digests of normalised texts; their rows are counted first. The directory maps the
+leading bits of a key to a bucket. A bucket with more rows than it may hold is split by one
+more bit, and the directory doubles when a bucket needs more bits than it has; there is no
+limit to that. Documents move once, each to the task that owns its bucket. The owner sorts a
+bucket by digest and whole text: equal bytes lie together, different texts of one digest form
+a chain, and the row that stays is the first of its text. Nothing else compares texts, so a
+document in a wrong bucket would lose its copies.
+
+A key with more rows than a quarter of a bucket is hot and a bucket of its own: its copies are
+counted within each task before anything moves, and its texts compared by grouping.
+
+Edge cases: null texts count as empty, and empty texts are copies of each other. A null
+doc_id sorts after all others. Of rows that repeat id and text, one stays. An empty table
+gives an empty result. Extra columns are ignored; ``keep_first`` keeps them.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from tallyboard.llm.columns import order_of, packed, unpacked
 from tallyboard.session import materialise
 
-#: Keys a bucket may hold.
+#: Rows a bucket may hold.
 BUCKET_KEYS = 50_000
-#: The directory may have so many slots; beyond that, buckets hold more keys.
-MAX_SLOTS = 1 << 18
+#: Slots, or hot keys, that are broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 1 << 18
 _KEY_BITS = 60
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -49,38 +51,42 @@ def _prefix(key: Column, bits: int) -> Column:
     return F.shiftright(key, _KEY_BITS - bits)
 
 
-def directory(entries: DataFrame, keys: int, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Slots and buckets for entries with a column ``key`` (of 60 bits).
+def directory(keys: DataFrame, rows: int, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """Slots and buckets for ``keys`` (key of 60 bits, rows), which have so many rows in all.
 
     Returns slot, bits (of the directory), bucket (its lowest slot), depth. Starts
-    with half the buckets that would hold all keys and splits what is too full.
+    with half the buckets that would hold all rows and splits what is too full.
     """
-    held = max(bucket_keys, -(-keys // MAX_SLOTS))
-    bits = max(0, (-(-keys // held) - 1).bit_length() - 1)
-    counts = entries.groupBy(_prefix(F.col("key"), bits).alias("slot")).agg(
-        F.count("*").alias("keys"), F.lit(bits).alias("depth")
+    bits = max(0, (-(-rows // bucket_keys) - 1).bit_length() - 1)
+    counts = keys.groupBy(_prefix(F.col("key"), bits).alias("slot")).agg(
+        F.count("*").alias("keys"), F.sum("rows").alias("rows")
     )
-    spark = entries.sparkSession
-    buckets = materialise(spark.range(1 << bits).select(F.col("id").alias("slot")).join(
-        counts, "slot", "left"
-    ).select("slot", F.coalesce("keys", F.lit(0)).alias("keys"), F.lit(bits).alias("depth")), "buckets")
-    while bits < _KEY_BITS and (1 << bits) < MAX_SLOTS:
-        full = buckets.filter((F.col("keys") > held) & (F.col("depth") == bits))
+    spark = keys.sparkSession
+    buckets = materialise(
+        spark.range(1 << bits).select(F.col("id").alias("slot")).join(counts, "slot", "left").select(
+            "slot", F.coalesce("keys", F.lit(0)).alias("keys"),
+            F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(bits).alias("depth"),
+        ),
+        "buckets",
+    )
+    while bits < _KEY_BITS:
+        too_full = (F.col("rows") > bucket_keys) & (F.col("keys") > 1)
+        full = buckets.filter(too_full & (F.col("depth") == bits))
         if full.isEmpty():
             break
         # double the directory: each full bucket becomes two
         deeper = (
-            entries.join(F.broadcast(full.select(F.col("slot").alias("of"))),
-                         _prefix(F.col("key"), bits) == F.col("of"))
+            keys.join(full.select(F.col("slot").alias("of")), _prefix(F.col("key"), bits) == F.col("of"))
             .groupBy(_prefix(F.col("key"), bits + 1).alias("slot"))
-            .agg(F.count("*").alias("keys"))
+            .agg(F.count("*").alias("keys"), F.sum("rows").alias("rows"))
         )
         halves = full.select(
             F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)).alias("slot")
         ).join(deeper, "slot", "left").select(
-            "slot", F.coalesce("keys", F.lit(0)).alias("keys"), F.lit(bits + 1).alias("depth")
+            "slot", F.coalesce("keys", F.lit(0)).alias("keys"),
+            F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(bits + 1).alias("depth"),
         )
-        rest = buckets.filter((F.col("keys") <= held) | (F.col("depth") < bits))
+        rest = buckets.filter(~too_full | (F.col("depth") < bits))
         buckets = materialise(rest.unionByName(halves), "buckets")
         bits += 1
     # every slot of the directory that leads to the bucket
@@ -93,83 +99,83 @@ def directory(entries: DataFrame, keys: int, bucket_keys: int = BUCKET_KEYS) ->
     )
 
 
-def chains(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame | None:
-    """Texts that share a digest but differ in bytes, numbered; None if there are none.
-
-    Plain grouping counts the rows of each digest and text; equal bytes meet in one row,
-    and copies are counted before they move.
-    """
-    texts = docs.select(normalised(F.col("text")).alias("norm"))
-    texts = texts.select(digest(F.col("norm")).alias("digest"), "norm")
-    each = texts.groupBy("digest", "norm").agg(F.count("*").alias("copies"))
-    clashing = each.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1")
-    clashing = materialise(clashing, "clashing")
-    if clashing.isEmpty():
-        return None
-    order = Window.partitionBy("digest").orderBy("norm")
-    return materialise(
-        each.join(clashing, "digest").select(
-            "digest", "norm", (F.row_number().over(order) - 1).alias("chain")
-        ),
-        "chains",
-    )
-
+_FOUND = (
+    "doc_id", "keep_id", "group_size", "kept", "digest", "chain", "bucket", "depth", "n_chars", "text_key",
+)
 
-def entries(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One narrow row per document: doc_id, digest, chain, n_chars, text_key, row.
 
-    ``row`` tells apart rows that repeat an id and a text.
-    """
-    rows = docs.select(
+def _texts(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    texts = docs.select(
         "doc_id",
         normalised(F.col("text")).alias("norm"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
         F.xxhash64("text").alias("text_key"),
-    ).withColumn("digest", digest(F.col("norm")))
-    numbered = chains(docs, digest)
-    if numbered is None:
-        rows = rows.withColumn("chain", F.lit(0))
-    else:
-        rows = rows.join(numbered, ["digest", "norm"], "left")
-        rows = rows.withColumn("chain", F.coalesce("chain", F.lit(0)))
-    rows = rows.drop("norm").withColumn("row", F.monotonically_increasing_id())
-    return materialise(rows, "entries")
+    )
+    return texts.withColumn("digest", digest(F.col("norm")))
 
 
-def index(rows: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """The index: one row per digest and chain, in its bucket, with the row that stays.
+def _owned(texts: DataFrame, slots: DataFrame) -> DataFrame:
+    """What the owners of the buckets find; each text goes to its bucket's task."""
+    # one row per slot, as many as there are buckets or a few times more
+    bits = slots.first()["bits"]
+    held = slots.drop("bits")
+    held = F.broadcast(held) if (1 << bits) <= BROADCAST_ROWS else held
+    placed = texts.withColumn("slot", _prefix(_key(F.col("digest")), bits)).join(held, "slot").drop("slot")
+    copies = Window.partitionBy("bucket", "digest", "norm")
+    first = copies.orderBy(F.desc("n_chars"), F.col("doc_id").asc_nulls_last(), "text_key")
+    chain = Window.partitionBy("bucket", "digest").orderBy("norm")
+    return (
+        placed.repartition("bucket")
+        .withColumn("keep_id", F.first("doc_id").over(first))
+        .withColumn("kept", F.row_number().over(first) == 1)
+        .withColumn("group_size", F.count("*").over(copies))
+        .withColumn("chain", F.dense_rank().over(chain) - 1)
+        .select(*_FOUND)
+    )
 
-    Written to the shared folder, one key range after the other.
-    """
+
+def _hot(texts: DataFrame) -> DataFrame:
+    """The same for hot keys, whose copies are combined before they move."""
+    each = texts.groupBy("digest", "norm").agg(F.count("*").alias("copies"))
+    clashing = materialise(
+        each.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1"), "clashing"
+    )
+    if clashing.isEmpty():
+        rows = texts.withColumn("chain", F.lit(0))
+    else:
+        order = Window.partitionBy("digest").orderBy("norm")
+        chains = materialise(
+            each.join(clashing, "digest").select(
+                "digest", "norm", (F.row_number().over(order) - 1).alias("chain")
+            ),
+            "chains",
+        )
+        rows = texts.join(chains, ["digest", "norm"], "left")
+        rows = rows.withColumn("chain", F.coalesce("chain", F.lit(0)))
+    # ``row`` tells apart rows that repeat an id and a text
+    rows = materialise(rows.drop("norm").withColumn("row", F.monotonically_increasing_id()), "hot-rows")
     best = F.min(
         F.struct(
             (-F.col("n_chars")).alias("less"),
             F.col("doc_id").isNull().alias("no_id"),
             F.col("doc_id").alias("keep_id"),
+            "text_key",
             F.col("row").alias("keep_row"),
         )
     )
-    keys = materialise(
-        rows.groupBy("digest", "chain")
-        .agg(best.alias("best"), F.count("*").alias("group_size"))
-        .select(
-            _key(F.col("digest")).alias("key"),
-            "digest",
-            "chain",
-            "best.keep_id",
-            "best.keep_row",
-            "group_size",
-        ),
-        "keys",
-    )
-    slots = directory(keys, keys.count(), bucket_keys)
-    bits = slots.first()["bits"]
-    # at most MAX_SLOTS slots of a few longs each
-    placed = keys.withColumn("slot", _prefix(F.col("key"), bits)).join(
-        F.broadcast(slots.drop("bits")), "slot"
+    stays = rows.groupBy("digest", "chain").agg(best.alias("best"), F.count("*").alias("group_size"))
+    stays = stays.select("digest", "chain", "best.keep_id", "best.keep_row", "group_size")
+    return (
+        rows.join(stays, ["digest", "chain"])
+        .withColumns(
+            {
+                "kept": F.col("row") == F.col("keep_row"),
+                "bucket": _key(F.col("digest")),
+                "depth": F.lit(_KEY_BITS),
+            }
+        )
+        .select(*_FOUND)
     )
-    owned = placed.drop("slot").repartition("bucket").sortWithinPartitions("bucket", "key")
-    return materialise(owned, "index")
 
 
 def deduplicate(
@@ -177,22 +183,26 @@ def deduplicate(
     digest: Callable[[Column], Column] = sha256,
     bucket_keys: int = BUCKET_KEYS,
 ) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket,
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, chain, bucket,
     depth, n_chars, text_key. The longest original text of a group stays, then the
     smallest doc_id."""
-    rows = entries(docs, digest)
-    found = index(rows, bucket_keys)
-    return rows.join(found, ["digest", "chain"]).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-        "bucket",
-        "depth",
-        "n_chars",
-        "text_key",
+    texts = _texts(docs, digest)
+    keys = materialise(
+        texts.groupBy("digest").agg(F.count("*").alias("rows")).withColumn("key", _key(F.col("digest"))),
+        "keys",
     )
+    hot = keys.filter(F.col("rows") > max(1, bucket_keys // 4)).select("digest")
+    usual = keys.filter(F.col("rows") <= max(1, bucket_keys // 4))
+    slots = directory(usual, usual.agg(F.sum("rows")).first()[0] or 0, bucket_keys)
+    number = hot.count()
+    found = None
+    if number:
+        hot = F.broadcast(hot) if number <= BROADCAST_ROWS else hot
+        found = _hot(texts.join(hot, "digest", "left_semi"))
+        texts = texts.join(hot, "digest", "left_anti")
+    owned = _owned(texts, slots)
+    found = owned if found is None else owned.unionByName(found)
+    return found.withColumnRenamed("digest", "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

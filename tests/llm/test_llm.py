@@ -392,12 +392,33 @@ def test_buckets_split_and_chains(spark):
     docs = _documents(spark)
     whole = exact_dedup.deduplicate(docs).select(*exact_dedup.QUERY_COLUMNS[:4])
     split = exact_dedup.deduplicate(docs, bucket_keys=7)
-    assert split.agg(F.max("depth")).first()[0] >= 5
-    assert split.groupBy("bucket").agg(F.countDistinct("text_sha256").alias("n")).filter("n > 7").count() == 0
+    assert split.filter("depth < 60").agg(F.max("depth")).first()[0] >= 5
+    assert split.filter("depth < 60").groupBy("bucket").count().filter("count > 7").count() == 0
+    # two copies are more than a quarter of seven
+    assert split.filter("depth = 60 AND group_size < 2").count() == 0
     assert whole.exceptAll(split.select(*whole.columns)).count() == 0
     weak = lambda text: F.rpad(F.substring(F.md5(text.cast("binary")), 1, 1), 64, "0")
-    chained = exact_dedup.deduplicate(docs, digest=weak).select(*whole.columns)
-    assert whole.exceptAll(chained).count() == 0
+    for size in (exact_dedup.BUCKET_KEYS, 7):
+        chained = exact_dedup.deduplicate(docs, digest=weak, bucket_keys=size)
+        assert chained.agg(F.max("chain")).first()[0] > 5
+        assert whole.exceptAll(chained.select(*whole.columns)).count() == 0
+
+
+def test_the_directory_decides(spark, monkeypatch):
+    """Were texts sent to wrong buckets, copies would not meet."""
+    docs = spark.createDataFrame([(k, f"text {k % 40}") for k in range(200)], "doc_id long, text string")
+    right = exact_dedup.deduplicate(docs, bucket_keys=64)
+    assert right.filter("kept").count() == 40 and right.agg(F.max("depth")).first()[0] >= 2
+    made = exact_dedup.directory
+    # a directory without the slots of some buckets
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: made(*a).filter("bucket > 0"))
+    assert exact_dedup.deduplicate(docs, bucket_keys=64).filter("kept").count() < 40
+    # one that leads a slot to two buckets
+    monkeypatch.setattr(
+        exact_dedup, "directory",
+        lambda *a: made(*a).withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1000))),
+    )
+    assert exact_dedup.deduplicate(docs, bucket_keys=64).filter("kept").count() == 80
 
 
 def _components(docs):
