@@ -27,7 +27,7 @@ from tallyboard.llm.columns import order_of, packed, unpacked
 from tallyboard.session import materialise
 
 #: Rows a bucket may hold.
-BUCKET_KEYS = 50_000
+BUCKET_KEYS = 16_000
 #: Slots, or hot keys, that are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 1 << 18
 _KEY_BITS = 60
