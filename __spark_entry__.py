@@ -34,8 +34,8 @@ from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
 from tallyboard.plans import delta, pages, refresh, rescore, series
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
-from tallyboard.session import new_path
-from tallyboard.sources import dump, importer, retail, snapshots
+from tallyboard.session import materialise, new_path
+from tallyboard.sources import dump, files, importer, retail, snapshots
 
 Tables = dict[str, DataFrame]
 
@@ -154,18 +154,34 @@ def modifier_ratings_long(spark, folder):
     return _rounded(importer.modifier_ratings_long(boards))
 
 
-def apply_updates(spark, folder):
-    tables = _imported(spark, folder)
+UPDATED = ["pp", "top_pp", "ranked_play_count"]
+
+
+def _player_updates(tables: Tables) -> DataFrame:
     weighted = score_ops.score_weights(
         score_ops.score_pp(tables["scores"], tables["leaderboards"])
     )
-    totals = player_ops.player_totals(weighted).withColumnRenamed("player_id", "id")
-    updated = updates.apply_updates(
-        tables["players"], totals, ["pp", "top_pp", "ranked_play_count"]
-    )
+    return player_ops.player_totals(weighted).withColumnRenamed("player_id", "id")
+
+
+def apply_updates(spark, folder):
+    tables = _imported(spark, folder)
+    updated = updates.apply_updates(tables["players"], _player_updates(tables), UPDATED)
     return _rounded(updated)
 
 
+def apply_updates_pruned(spark, folder):
+    """The same in two steps on stored files; the second touches those of a range of ids."""
+    tables = _imported(spark, folder)
+    players, totals = tables["players"], materialise(_player_updates(tables), "totals")
+    root = new_path(spark, "player-files")
+    number = files.create(players, root, files=16)
+    late = F.col("id").startswith("12")
+    for part in (totals.where(~late), totals.where(late)):
+        number = files.update(spark, root, number, players.schema, part, UPDATED)
+    return _rounded(files.read(spark, root, number, players.schema))
+
+
 def changed_weights(spark, folder):
     stored, fresh = _trial(spark, folder)["scores"], _current(spark, folder)["scores"]
     return _rounded(updates.changed_weights(stored, fresh))
@@ -613,6 +629,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         import_modifier_ratings,
         modifier_ratings_long,
         apply_updates,
+        apply_updates_pruned,
         changed_weights,
         publish_snapshot,
         append_table,

@@ -741,6 +741,7 @@ def oracle_queries() -> dict[str, str]:
     raw = "(100 - s.fc_acc)"
     present = f"coalesce({AXIS['weight']}, 0) <> 0"
     q["series_axes_fc_acc_literal"] = _current(_series(raw, AXIS["weight"], present))
+    q["apply_updates_pruned"] = q["apply_updates"]
     # the earlier state leads to the present one
     for name, full in (("scores", "scores"), ("players", "players"), ("leaderboards", "boards")):
         q[f"refresh_delta_{name}"] = q[f"{full}_full"]
