@@ -62,7 +62,7 @@ def _snapshot(spark: SparkSession, folder: str, name: str, config, imported=_imp
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _published:
         root = new_path(spark, f"database-{name}")
-        snapshots.publish_snapshot(refresh.refresh_all(imported(spark, folder), config), root)
+        refresh.refresh_and_publish(imported(spark, folder), root, config)
         _published[key] = root
     return snapshots.read_latest(spark, _published[key])
 

@@ -19,7 +19,8 @@ from tallyboard.operators.scores import (
 )
 from tallyboard.operators.updates import apply_updates
 from tallyboard.schema import BOARD_COMPUTED, PLAYER_COMPUTED, SCORE_COMPUTED
-from tallyboard.session import materialise, sized_shuffles
+from tallyboard.session import materialise, own_stages, sized_shuffles
+from tallyboard.sources.snapshots import publish_snapshot
 
 
 def refresh_scores(
@@ -120,6 +121,21 @@ def refresh_all(
     return {table: found[table] for table in only}
 
 
+def refresh_and_publish(
+    tables: Mapping[str, DataFrame],
+    root: str,
+    config: RatingConfig = DEFAULT_RATING,
+    policy: SkewPolicy = DEFAULT_SKEW,
+    base: str | None = None,
+) -> str:
+    """Refresh all tables, publish them and leave nothing in the scratch folder.
+
+    ``base`` as in ``publish_snapshot``.
+    """
+    with own_stages(tables["scores"].sparkSession):
+        return publish_snapshot(refresh_all(tables, config, policy), root, base=base)
+
+
 def refresh_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row counts and sums of the computed columns, one row per table and column."""
     computed = {

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +77,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_folder(spark)}/tallyboard/{label}-{uuid.uuid4().hex}"
 
 
+# paths of the stages that the innermost ``own_stages`` removes
+_owned: ContextVar[list[str] | None] = ContextVar("owned stages", default=None)
+
+
+@contextmanager
+def own_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the stages written inside once the block is left.
+
+    What is computed from them has to be written within the block, too.
+    """
+    stages: list[str] = []
+    before = _owned.set(stages)
+    try:
+        yield
+    finally:
+        _owned.reset(before)
+        for stage in stages:
+            path = spark._jvm.org.apache.hadoop.fs.Path(stage)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder as Parquet and read it back.
 
@@ -85,5 +107,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    stages = _owned.get()
+    if stages is not None:
+        stages.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,9 +5,9 @@ in each. Files are range-partitioned by the key when they are written. An update
 files that hold an updated key, writes their rows anew and lists the new files beside the
 untouched ones; nothing is changed in place, so readers of an older version keep it.
 
-Versions are numbered. Whoever writes version n + 1 first claims the number with a file
-that only one can create; another writer that started from version n is refused and has to
-start over from the newer one.
+Versions are numbered. Whoever lists version n + 1 first claims the number with a file that
+only one can create; another writer that started from version n is refused, its files stay
+unlisted, and it has to start over from the newer version.
 """
 
 from __future__ import annotations
@@ -20,25 +20,12 @@ from pyspark.sql import functions as F
 from tallyboard.config import DEFAULT_SKEW, SkewPolicy
 from tallyboard.operators.updates import apply_updates
 from tallyboard.session import materialise
-from tallyboard.sources.snapshots import new_version
+from tallyboard.sources.snapshots import Conflict, claim, new_version
 
 #: Updated keys up to which files are chosen by their ranges; of more keys, by the key column.
 RANGED_KEYS = 10_000
 
 
-class Conflict(Exception):
-    """Another writer has claimed the next version."""
-
-
-def _claim(spark: SparkSession, root: str, number: int) -> None:
-    """Take a version number, or raise ``Conflict``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{number}")
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path.getParent())
-    if not system.createNewFile(path):
-        raise Conflict(f"version {number} of {root} is another writer's")
-
-
 def _write(df: DataFrame, folder: str, key: str, files: int | None) -> DataFrame:
     """Write rows in ranges of the key; the entries of the new files."""
     wanted = [files] if files else []
@@ -50,12 +37,13 @@ def _write(df: DataFrame, folder: str, key: str, files: int | None) -> DataFrame
 
 
 def _list(entries: DataFrame, root: str, number: int) -> None:
+    if not claim(entries.sparkSession, root, number):
+        raise Conflict(f"version {number} of {root} is another writer's")
     entries.coalesce(1).write.mode("error").parquet(f"{root}/manifests/{number}")
 
 
 def create(df: DataFrame, root: str, key: str = "id", files: int | None = None) -> int:
     """Write the first version of a table; returns its number."""
-    _claim(df.sparkSession, root, 1)
     _list(_write(df, f"{root}/data/{new_version()}", key, files), root, 1)
     return 1
 
@@ -109,7 +97,6 @@ def update(
 
     Only files that may hold an updated key are read whole and written again.
     """
-    _claim(spark, root, base + 1)
     entries = manifest(spark, root, base)
     if entries.isEmpty():
         _list(entries, root, base + 1)

@@ -80,14 +80,50 @@ def _latest(spark: SparkSession, root: str):
     ).first()["last"]
 
 
-def publish_snapshot(tables: Mapping[str, DataFrame], root: str, version: str | None = None) -> str:
-    """Write every table under ``<root>/snapshot=<version>/`` and list the version."""
+class Conflict(Exception):
+    """Another writer has published first."""
+
+
+def claim(spark: SparkSession, root: str, number: int) -> bool:
+    """Take a version number by a file that only one writer can create."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{number}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path.getParent())
+    return system.createNewFile(path)
+
+
+def _next_number(spark: SparkSession, root: str, base: str | None) -> int:
+    """A number above all listed ones that no other writer has."""
+    last = _latest(spark, root)
+    number = (last["number"] if last else 0) + 1
+    if base is None:
+        while not claim(spark, root, number):
+            number += 1
+    elif last is None or last["version"] != base or not claim(spark, root, number):
+        raise Conflict(f"{base} is not the newest version of {root} any more")
+    return number
+
+
+def publish_snapshot(
+    tables: Mapping[str, DataFrame],
+    root: str,
+    version: str | None = None,
+    base: str | None = None,
+) -> str:
+    """Write every table under ``<root>/snapshot=<version>/`` and list the version.
+
+    With ``base``, the version that the tables were made from, ``Conflict`` is raised if
+    another one was published meanwhile; nothing is listed then. Without it the last
+    publisher wins. Of two that end at the same time one is refused or takes the next
+    number: a number belongs to who creates its file in ``<root>/claims``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if base is not None and latest_version(spark, root) != base:
+        raise Conflict(f"{base} is not the newest version of {root}")
     version = version or new_version()
     for name, df in tables.items():
         write_table(df, f"{root}/snapshot={version}/{name}", name)
-    spark = next(iter(tables.values())).sparkSession
-    last = _latest(spark, root)
-    number = (last["number"] if last else 0) + 1
+    number = _next_number(spark, root, base)
     schemas = [(name, df.schema.json()) for name, df in tables.items()]
     entry = [(version, number, time.time_ns() // 1000, schemas)]
     spark.createDataFrame(entry, _CATALOGUE).coalesce(1).write.mode("error").parquet(

@@ -217,3 +217,30 @@ def test_what_if(refreshed):
     assert players.where("rank_delta <> 0").count() > 0
     assert players.where("abs(new_pp - old_pp - pp_delta) > 1e-9").count() == 0
     assert trial["scores"].agg(F.sum("old_pp")).first()[0] == pytest.approx(15509176.3317, abs=0.02)
+
+
+def test_publishing_leaves_no_scratch_and_refuses_a_stale_base(spark, refreshed):
+    from pathlib import Path
+
+    from tallyboard.plans.refresh import refresh_and_publish
+    from tallyboard.session import new_path, scratch_folder
+    from tallyboard.sources import snapshots
+
+    imported, tables = refreshed
+    root = new_path(spark, "published")
+    folder = Path(scratch_folder(spark)) / "tallyboard"
+    before = set(folder.iterdir())
+    first = refresh_and_publish(imported, root)
+    assert set(folder.iterdir()) - before == {Path(root)}
+    assert snapshots.read_latest(spark, root)["scores"].count() == tables["scores"].count()
+    small = {"leaderboards": tables["leaderboards"].limit(5)}
+    second = snapshots.publish_snapshot(small, root, base=first)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish_snapshot(small, root, base=first)
+    assert snapshots.latest_version(spark, root) == second
+    # a number that another writer holds is passed over, or refuses who built on a base
+    assert snapshots.claim(spark, root, 3)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish_snapshot(small, root, base=second)
+    third = snapshots.publish_snapshot(small, root)
+    assert snapshots.latest_version(spark, root) == third

@@ -54,3 +54,22 @@ def test_shuffle_partitions():
     assert session.shuffle_partitions(1000, 8) == 8
     assert 150 < session.shuffle_partitions(300_000_000, 8) <= 200
     assert session.shuffle_partitions(10**12, 8) == 100_000
+
+
+def test_stages_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyboard.session import materialise, own_stages, scratch_folder
+
+    folder = Path(scratch_folder(spark)) / "tallyboard"
+    before = materialise(spark.range(3), "kept")
+    there = set(folder.iterdir())
+    with pytest.raises(ValueError), own_stages(spark):
+        materialise(spark.range(4), "gone")
+        with own_stages(spark):
+            inner = materialise(spark.range(5), "inner")
+            inner.write.parquet(str(tmp_path / "result"))
+        assert len(set(folder.iterdir()) - there) == 1
+        raise ValueError
+    assert set(folder.iterdir()) == there and before.count() == 3
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 5
