@@ -32,7 +32,7 @@ from tallyboard.operators import integrity, podium, updates
 from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
-from tallyboard.plans import delta, pages, refresh, rescore, series
+from tallyboard.plans import delta, fences, pages, refresh, rescore, series
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import materialise, new_path
 from tallyboard.sources import dump, files, importer, retail, snapshots
@@ -52,6 +52,7 @@ AS_OF = 915_148_800  # 1999-01-01 UTC
 
 _published: dict[tuple[str, str, str], str] = {}
 _deltas: dict[tuple[str, str], delta.Delta] = {}
+_marks: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _imported(spark: SparkSession, folder: str) -> Tables:
@@ -528,6 +529,42 @@ def _stats_by(name: str, descending: bool):
     return query
 
 
+def _fences(spark, folder, label: str, df: DataFrame, *settings) -> DataFrame:
+    """Made once per snapshot, as when it is published."""
+    key = (spark.sparkContext.applicationId, folder, label)
+    if key not in _marks:
+        _marks[key] = materialise(fences.fences(df, *settings), f"fences-{label}")
+    return _marks[key]
+
+
+def _stats_last(column: str):
+    """The last page of the statistics table in ascending order."""
+
+    def query(spark, folder):
+        table = pages.stats_table(_current(spark, folder)["leaderboards"])
+        size = pages.STATS_PAGE
+        marks = _fences(spark, folder, f"stats-{column}", table, column, False, size)
+        last = fences.last_page(marks)
+        return _rounded(fences.fenced_page(table, marks, column, False, last, size))
+
+    return query
+
+
+def boards_by_stars_fenced(spark, folder):
+    boards, size = _current(spark, folder)["leaderboards"], pages.BOARDS_PAGE
+    marks = _fences(spark, folder, "stars", boards, "stars", False, size)
+    found = fences.fenced_page(boards, marks, "stars", False, 15, size)
+    return _rounded(found.select("id", "name", "stars"))
+
+
+def player_page_fenced(spark, folder):
+    scores, size = _current(spark, folder)["scores"], pages.SCORES_PAGE
+    marks = _fences(spark, folder, "player-scores", scores, "pp", True, size, ["player_id"])
+    own = scores.where(F.col("player_id") == "18")
+    found = fences.fenced_page(own, marks.where(F.col("player_id") == "18"), "pp", True, 4, size)
+    return _rounded(found.select("id", "player_id", "leaderboard_id", "pp", "weight", "rank"))
+
+
 def stats_by_percentile_literal(spark, folder):
     boards = _current(spark, folder)["leaderboards"]
     return _rounded(pages.stats_page(boards, None, "Percentile", True, literal=True))
@@ -666,6 +703,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         refresh_all,
         refresh_all_split,
         leaderboard_slice,
+        boards_by_stars_fenced,
+        player_page_fenced,
         stats_by_percentile_literal,
         stats_by_count80_ratio_literal,
         player_by_id,
@@ -694,12 +733,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name, column in pages.STATS_KEYS.items():
         registry[f"stats_by_{column}"] = _stats_by(name, True)
         registry[f"stats_by_{column}_asc"] = _stats_by(name, False)
+    for column in LAST_PAGES:
+        registry[f"stats_last_{column}"] = _stats_last(column)
     for label, axes in SERIES_AXES.items():
         registry[f"series_axes_{label}"] = _series_axes(*axes)
     registry["series_axes_fc_acc_literal"] = _series_axes("fcAcc", "weight", True)
     return registry | _llm("queries")
 
 
+# columns with so many zeros that their first ascending pages hold the same boards
+LAST_PAGES = (
+    "count80", "count95", "percentile", "megametric125", "megametric75", "megametric40",
+    "count80_ratio", "count95_ratio", "count95to80_ratio",
+)
+
 # every axis at least once
 SERIES_AXES = {
     "player_rank_weight": ("playerRank", "weight"),

@@ -697,6 +697,22 @@ def oracle_queries() -> dict[str, str]:
         q[name] = _current(
             f"SELECT {_STATS_TABLE} FROM boards_ratios b ORDER BY {order}, id LIMIT 50"
         )
+    for column in (
+        "count80", "count95", "percentile", "megametric125", "megametric75", "megametric40",
+        "count80_ratio", "count95_ratio", "count95to80_ratio",
+    ):
+        # the rest of the listing after all whole pages but, if it ends with one, the last
+        q[f"stats_last_{column}"] = _current(f"""
+          SELECT * EXCLUDE (place, listed) FROM (
+            SELECT {_STATS_TABLE}, row_number() OVER (ORDER BY b."{column}", id) AS place,
+                   count(*) OVER () AS listed FROM boards_ratios b)
+          WHERE place > (listed - 1) // 50 * 50""")
+    q["boards_by_stars_fenced"] = _current(
+        f"SELECT id, name, {_r(('stars',))} FROM boards_full b ORDER BY b.stars, id LIMIT 10 OFFSET 140"
+    )
+    q["player_page_fenced"] = _current(f"""
+      SELECT s.id, player_id, leaderboard_id, {_r(('pp', 'weight'))}, rank FROM scores_full s
+      WHERE player_id = '18' ORDER BY s.pp DESC, id LIMIT 10 OFFSET 30""")
     q["stats_search"] = _current(f"""
       SELECT {_STATS_TABLE} FROM boards_ratios WHERE contains(lower(name), 'widget')
       ORDER BY name, id LIMIT 50 OFFSET 50""")
