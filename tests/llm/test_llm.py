@@ -68,7 +68,7 @@ def _documents(spark):
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = registry.queries()[name](spark, SF)
     want = con.execute(registry.oracle_sql()[name])
