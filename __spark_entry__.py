@@ -32,7 +32,7 @@ from tallyboard.operators import integrity, podium, updates
 from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
-from tallyboard.plans import delta, fences, pages, refresh, rescore, series
+from tallyboard.plans import delta, fences, pages, refresh, rescore, series, sweep
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import materialise, new_path
 from tallyboard.sources import dump, files, importer, retail, snapshots
@@ -46,6 +46,13 @@ TRIAL_RATING = replace(
     decay=0.95,
     multipliers=tuple(DEFAULT_MULTIPLIERS.items()),
 )
+# the configurations of the sweep
+SWEEP = {
+    "same": DEFAULT_RATING,
+    "trial": TRIAL_RATING,
+    "decay": replace(DEFAULT_RATING, decay=0.9),
+    "curve": replace(DEFAULT_RATING, score_curve=CURVE_A),
+}
 # limits so low that most groups of the test tables are split, and nothing is broadcast
 SPLIT = SkewPolicy(hot_rows=200, chunk_rows=1000, broadcast_rows=0)
 AS_OF = 915_148_800  # 1999-01-01 UTC
@@ -467,6 +474,16 @@ def _what_if(table: str):
     return query
 
 
+def _what_if_sweep(table: str):
+    """All configurations of ``SWEEP`` over one pass."""
+
+    def query(spark, folder):
+        imported, current = _imported(spark, folder), _current(spark, folder)
+        return _rounded(sweep.what_if_sweep(imported, current, SWEEP, only=[table])[table])
+
+    return query
+
+
 # ---- read queries ------------------------------------------------------------
 
 
@@ -727,6 +744,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registry = {query.__name__: query for query in plain}
     for table in ("scores", "players", "leaderboards"):
         registry[f"what_if_{table}"] = _what_if(table)
+        registry[f"what_if_sweep_{table}"] = _what_if_sweep(table)
         registry[f"refresh_delta_{table}"] = _refresh_delta(table)
     registry["boards_by_stars"] = _boards_by_stars(False)
     registry["boards_by_stars_desc"] = _boards_by_stars(True)

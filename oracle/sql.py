@@ -351,6 +351,8 @@ _STATS_TABLE = (
 
 CURRENT = _refresh("", "curve_b", 0.965, RANKED_MULTIPLIERS)
 TRIAL = _refresh("trial_", "curve_a", 0.95, DEFAULT_MULTIPLIERS)
+DECAYED = _refresh("decayed_", "curve_b", 0.9, RANKED_MULTIPLIERS)
+CURVED = _refresh("curved_", "curve_a", 0.965, RANKED_MULTIPLIERS)
 
 
 def _base(body: str) -> str:
@@ -465,14 +467,26 @@ def _summary() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _compare(table: str, columns) -> str:
+def _compare(table: str, columns, trial: str = "trial_", label: str = "") -> str:
     cells = []
     for c, is_double in columns.items():
         old, new, delta = f"o.{c}", f"n.{c}", f"n.{c} - o.{c}"
         if is_double:
             old, new, delta = (f"round({e}, 4) + 0.0" for e in (old, new, delta))
         cells.append(f"{old} AS old_{c}, {new} AS new_{c}, {delta} AS {c}_delta")
-    return f"SELECT o.id, {', '.join(cells)} FROM {table} o JOIN trial_{table} n USING (id)"
+    return f"SELECT o.id, {label}{', '.join(cells)} FROM {table} o JOIN {trial}{table} n USING (id)"
+
+
+def _sweep(table: str, columns) -> str:
+    """The comparison under each configuration; the first one has the constants in force."""
+    ctes = [BASE, CURVES, CURRENT, TRIAL, DECAYED, CURVED]
+    parts = [
+        _compare(table, columns, prefix, f"'{name}' AS trial, ")
+        for name, prefix in {
+            "same": "", "trial": "trial_", "decay": "decayed_", "curve": "curved_"
+        }.items()
+    ]
+    return f"WITH {', '.join(cte.strip() for cte in ctes)}\n{' UNION ALL '.join(parts)}"
 
 
 def _points_of(rank: str) -> str:
@@ -643,13 +657,14 @@ def oracle_queries() -> dict[str, str]:
 
     # whole jobs
     q["refresh_all"] = _current(_summary())
-    q["what_if_scores"] = _both(
-        _compare("scores_full", {"pp": True, "rank": False, "weight": True})
-    )
-    q["what_if_players"] = _both(
-        _compare("players_full", {"pp": True, "rank": False, "country_rank": False})
-    )
-    q["what_if_leaderboards"] = _both(_compare("boards_full", {"total_pp": True, "percentile": True}))
+    compared = {
+        "scores": ("scores_full", {"pp": True, "rank": False, "weight": True}),
+        "players": ("players_full", {"pp": True, "rank": False, "country_rank": False}),
+        "leaderboards": ("boards_full", {"total_pp": True, "percentile": True}),
+    }
+    for table, (source, columns) in compared.items():
+        q[f"what_if_{table}"] = _both(_compare(source, columns))
+        q[f"what_if_sweep_{table}"] = _sweep(source, columns)
 
     # read queries
     q["player_by_id"] = _current(f"SELECT {_PLAYER} FROM players_full WHERE id = '18'")

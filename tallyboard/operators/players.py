@@ -47,31 +47,48 @@ def player_ranks(
     known = players.count()
     countries = players.select(F.col("id").alias("player_id"), "country")
     located = totals.join(countries, "player_id")
-    hot_countries = HotGroups()
     if known > policy.hot_rows:
         located = materialise(located, "located-players")
-        # among all players, of whom the ranked ones are a part
-        named = players.where("country is not null")
-        hot_countries = find_hot_groups(named, ["country"], policy, known)
+    hot_countries = find_hot_countries(players, policy, known)
 
     order = [tie_key(F.col("pp"), config.tie_decimals).desc(), F.col("player_id").asc()]
     everyone = find_hot_groups(located, [], policy, known)
     ranked = with_position(located, [], order, "rank", hot=everyone, policy=policy)
-    spread = F.when(
-        F.col("country").isNull(), F.pmod(F.xxhash64("player_id"), F.lit(_UNRANKED_GROUPS))
-    ).otherwise(F.lit(0))
-    ranked = ranked.withColumn("_spread", spread)
+    ranked = ranked.withColumn("_spread", spread_unranked())
     if hot_countries.groups:
         ranked = materialise(ranked, "ranked-players")
-        keys = hot_countries.keys.withColumn("_spread", F.lit(0).cast("bigint"))
-        hot_countries = HotGroups(hot_countries.rows, hot_countries.groups, keys)
     placed = with_position(
         ranked,
-        ["country", "_spread"],
+        COUNTRY_GROUP,
         [F.col("rank").asc()],
         "country_rank",
         hot=hot_countries,
         policy=policy,
     )
-    unranked = F.when(F.col("country").isNull(), F.lit(0)).otherwise(F.col("country_rank"))
-    return placed.withColumn("country_rank", unranked.cast("bigint")).drop("_spread")
+    return placed.withColumn("country_rank", ranked_at_home("country_rank")).drop("_spread")
+
+
+COUNTRY_GROUP = ["country", "_spread"]
+
+
+def spread_unranked() -> Column:
+    """The second part of ``COUNTRY_GROUP``: 0 for players with a country."""
+    return F.when(
+        F.col("country").isNull(), F.pmod(F.xxhash64("player_id"), F.lit(_UNRANKED_GROUPS))
+    ).otherwise(F.lit(0))
+
+
+def find_hot_countries(players: DataFrame, policy: SkewPolicy, known: int) -> HotGroups:
+    """Hot groups of ``COUNTRY_GROUP`` among all players, of whom the ranked ones are a part."""
+    named = players.where("country is not null")
+    hot = find_hot_groups(named, ["country"], policy, known)
+    if not hot.groups:
+        return hot
+    keys = hot.keys.withColumn("_spread", F.lit(0).cast("bigint"))
+    return HotGroups(hot.rows, hot.groups, keys)
+
+
+def ranked_at_home(place: str) -> Column:
+    """The place in the country, 0 without one."""
+    placed = F.when(F.col("country").isNull(), F.lit(0)).otherwise(F.col(place))
+    return placed.cast("bigint")

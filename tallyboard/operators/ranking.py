@@ -82,6 +82,7 @@ def with_position(
     highest: Mapping[str, str] | None = None,
     hot: HotGroups | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
+    all_hot: bool = False,
 ) -> DataFrame:
     """Number the rows of each group from 1 in a total ``order``.
 
@@ -90,25 +91,32 @@ def with_position(
     maximum in the group is added. An empty ``by`` is one group.
 
     With hot groups ``df`` is read once for them and once for the others; store it
-    first where computing it takes more than a scan.
+    first where computing it takes more than a scan. ``all_hot`` says that there are no
+    others, because ``split_hot`` took them apart already.
     """
     extra = (dict(running or {}), dict(totals or {}), dict(highest or {}))
     if hot is None:
         hot = find_hot_groups(df, by, policy)
     if hot.groups == 0:
         return _in_one_window(df, by, order, position, *extra)
-    if not by:
+    if all_hot or not by:
         return _in_ranges(df, by, order, position, *extra, hot, policy)
-    keys = hot.keys.select(*[F.col(c).alias(f"_key_{c}") for c in by])
-    if hot.groups <= policy.broadcast_rows:
-        keys = F.broadcast(keys)
-    usual = df.join(keys, _same(by), "left_anti")
-    large = df.join(keys, _same(by), "left_semi")
+    usual, large = split_hot(df, by, hot, policy)
     return _in_one_window(usual, by, order, position, *extra).unionByName(
         _in_ranges(large, by, order, position, *extra, hot, policy)
     )
 
 
+def split_hot(
+    df: DataFrame, by: Sequence[str], hot: HotGroups, policy: SkewPolicy = DEFAULT_SKEW
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of usual groups and those of hot ones."""
+    keys = hot.keys.select(*[F.col(c).alias(f"_key_{c}") for c in by])
+    if hot.groups <= policy.broadcast_rows:
+        keys = F.broadcast(keys)
+    return df.join(keys, _same(by), "left_anti"), df.join(keys, _same(by), "left_semi")
+
+
 def _same(columns: Sequence[str]) -> Column:
     """Join condition on the copies of ``columns`` named ``_key_``; null equals null."""
     return reduce(

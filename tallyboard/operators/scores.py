@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.config import DEFAULT_RATING, DEFAULT_SKEW, RatingConfig, SkewPolicy
@@ -15,7 +15,7 @@ from tallyboard.operators.ranking import HotGroups, with_position
 
 POINT_COLUMNS = ("pp", "bonus_pp", "pass_pp", "acc_pp", "tech_pp")
 HOLDER_COLUMNS = ("top_pp", "ranked_play_count")
-_RATING_COLUMNS = ("acc_rating", "pass_rating", "tech_rating", "modifiers_rating")
+RATING_COLUMNS = ("acc_rating", "pass_rating", "tech_rating", "modifiers_rating")
 
 
 def score_pp(
@@ -31,11 +31,16 @@ def score_pp(
     and AQE choose. A score whose board does not exist stays, without points;
     ``orphan_scores`` reports it.
     """
-    ratings = boards.select(F.col("id").alias("leaderboard_id"), *_RATING_COLUMNS)
+    joined = with_ratings(scores.drop(*POINT_COLUMNS), boards, few_boards)
+    return with_points(joined, config).drop(*RATING_COLUMNS)
+
+
+def with_ratings(scores: DataFrame, boards: DataFrame, few_boards: bool = False) -> DataFrame:
+    """Scores with the rating columns of their board."""
+    ratings = boards.select(F.col("id").alias("leaderboard_id"), *RATING_COLUMNS)
     if few_boards:
         ratings = F.broadcast(ratings)
-    joined = scores.drop(*POINT_COLUMNS).join(ratings, "leaderboard_id", "left")
-    return with_points(joined, config).drop(*_RATING_COLUMNS)
+    return scores.join(ratings, "leaderboard_id", "left")
 
 
 def score_ranks(
@@ -45,14 +50,25 @@ def score_ranks(
     policy: SkewPolicy = DEFAULT_SKEW,
 ) -> DataFrame:
     """Rank inside the board: rounded points, then rounded accuracy, then id."""
-    order = [
-        tie_key(F.col("pp"), config.rank_pp_decimals).desc(),
+    return with_position(
+        scored.drop("rank"), ["leaderboard_id"], rank_order(config), "rank", hot=hot, policy=policy
+    )
+
+
+def rank_order(config: RatingConfig = DEFAULT_RATING, points: str = "pp") -> list[Column]:
+    """How the scores of a board are ordered."""
+    return [
+        tie_key(F.col(points), config.rank_pp_decimals).desc(),
         tie_key(F.col("accuracy"), config.rank_accuracy_decimals).desc(),
         F.col("id").asc(),
     ]
-    return with_position(
-        scored.drop("rank"), ["leaderboard_id"], order, "rank", hot=hot, policy=policy
-    )
+
+
+def weight_order(
+    config: RatingConfig = DEFAULT_RATING, points: str = "pp", key: str = "id"
+) -> list[Column]:
+    """How a player's scores are ordered, and players themselves by ``key``."""
+    return [tie_key(F.col(points), config.tie_decimals).desc(), F.col(key).asc()]
 
 
 def score_weights(
@@ -76,11 +92,10 @@ def score_weights_and_holders(
     Both come from the window that places the scores, so board statistics need no
     join of all scores with all players for them.
     """
-    order = [tie_key(F.col("pp"), config.tie_decimals).desc(), F.col("id").asc()]
     placed = with_position(
         scored.drop("weight"),
         ["player_id"],
-        order,
+        weight_order(config),
         "_place",
         totals={"ranked_play_count": F.lit(True)},
         highest={"top_pp": "pp"},
