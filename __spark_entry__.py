@@ -32,7 +32,7 @@ from tallyboard.operators import integrity, podium, updates
 from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
-from tallyboard.plans import delta, fences, pages, refresh, rescore, series, sweep
+from tallyboard.plans import delta, fences, pages, refresh, rescore, search, series, sweep
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import materialise, new_path
 from tallyboard.sources import dump, files, importer, retail, snapshots
@@ -506,6 +506,22 @@ def search_contains(spark, folder):
     return found.select("id", "name")
 
 
+def _search_indexed(text: str, literal: bool):
+    """The index is written once per snapshot, as when it is published."""
+
+    def query(spark, folder):
+        boards = _current(spark, folder)["leaderboards"]
+        key = (spark.sparkContext.applicationId, folder, "names")
+        if key not in _published:
+            path = new_path(spark, "name-index")
+            search.write_index(boards, path)
+            _published[key] = path
+        index = search.read_index(boards, _published[key])
+        return search.search(boards, index, text, literal).select("id", "name")
+
+    return query
+
+
 def ranking_page(spark, folder):
     return _rounded(pages.ranking_page(_current(spark, folder)["players"], 2))
 
@@ -746,6 +762,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         registry[f"what_if_{table}"] = _what_if(table)
         registry[f"what_if_sweep_{table}"] = _what_if_sweep(table)
         registry[f"refresh_delta_{table}"] = _refresh_delta(table)
+    registry["search_like_indexed"] = _search_indexed("LD W%g_T", False)
+    registry["search_contains_indexed"] = _search_indexed("ED RIN", True)
     registry["boards_by_stars"] = _boards_by_stars(False)
     registry["boards_by_stars_desc"] = _boards_by_stars(True)
     for name, column in pages.STATS_KEYS.items():

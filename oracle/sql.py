@@ -674,6 +674,8 @@ def oracle_queries() -> dict[str, str]:
       FROM boards_full WHERE id = '7'""")
     q["search_like"] = _base("SELECT id, name FROM rated WHERE lower(name) LIKE '%re_ %st%'")
     q["search_contains"] = _base("SELECT id, name FROM rated WHERE contains(lower(name), 'ed rin')")
+    q["search_like_indexed"] = _base("SELECT id, name FROM rated WHERE lower(name) LIKE '%ld w%g_t%'")
+    q["search_contains_indexed"] = q["search_contains"]
     q["ranking_page"] = _current(
         f"SELECT {_PLAYER} FROM players_full p ORDER BY p.pp DESC, id LIMIT 50 OFFSET 50"
     )
