@@ -637,6 +637,21 @@ def series_json(spark, folder):
     return _rounded(parsed.select("id", "leaderboard_id", *fields))
 
 
+def series_json_chunks(spark, folder):
+    """The objects of the arrays, with their places in the boards."""
+    rows, size = _series(spark, folder), 20
+    chunks = series.series_json_chunks(rows, size)
+    names = {c: series.JSON_NAMES.get(c, c) for c in series.SERIES_COLUMNS}
+    kinds = dict(rows.dtypes)
+    kind = f"array<struct<{', '.join(f'{n}: {kinds[c]}' for c, n in names.items())}>>"
+    parsed = chunks.select(
+        "leaderboard_id", "chunk", "entries", F.posexplode(F.from_json("json", kind)).alias("at", "entry")
+    )
+    fields = [F.col(f"entry.{n}").alias(c) for c, n in names.items()]
+    place = (F.col("chunk") * size + F.col("at") + 1).alias("place")
+    return _rounded(parsed.select("leaderboard_id", "chunk", "entries", place, *fields))
+
+
 def _plain_axes(df: DataFrame) -> DataFrame:
     """Axis columns as doubles (a date as unix seconds), the list as text."""
     kinds = dict(df.dtypes)
@@ -752,6 +767,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stats_report,
         score_series,
         series_json,
+        series_json_chunks,
         compare_series,
         score_freshness,
         rating_shares,

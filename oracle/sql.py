@@ -747,6 +747,11 @@ def oracle_queries() -> dict[str, str]:
              round(fc_acc, 4) + 0.0 AS fc_acc
       FROM scores_full s JOIN players_full p ON p.id = s.player_id""")
     q["series_json"] = q["score_series"]
+    q["series_json_chunks"] = f"""
+      SELECT * EXCLUDE (id), CAST((place - 1) // 20 AS BIGINT) AS chunk,
+             count(*) OVER (PARTITION BY leaderboard_id, (place - 1) // 20) AS entries
+      FROM (SELECT *, row_number() OVER (PARTITION BY leaderboard_id ORDER BY rank, id) AS place
+            FROM ({q["score_series"]}))"""
     q["compare_series"] = _current(
         _axes("rank", "pp", ", s.leaderboard_id = '3' AS is_compare", "s.leaderboard_id IN ('1', '3')")
     )

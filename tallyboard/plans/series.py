@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyboard.config import DEFAULT_SKEW, SkewPolicy
 from tallyboard.functions.modifiers import modifier_list
 from tallyboard.functions.numbers import share_of, unix_time
+from tallyboard.operators.ranking import HotGroups, with_position
 
 SERIES_COLUMNS = (
     "player_id",
@@ -51,13 +53,44 @@ def score_series(
 
 
 def series_json(series: DataFrame) -> DataFrame:
-    """One JSON object per score, keyed by score id; missing values are nulls.
+    """One JSON object per score, keyed by score id; missing values are nulls."""
+    text = F.to_json(_json_fields(), _WITH_NULLS)
+    return series.select("leaderboard_id", "id", text.alias("json"))
+
+
+_WITH_NULLS = {"ignoreNullFields": "false"}
+
+
+def _json_fields() -> Column:
+    return F.struct(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in SERIES_COLUMNS])
+
 
-    One row per score rather than one array per board, whose size has no bound.
+def series_json_chunks(
+    series: DataFrame,
+    size: int = 1000,
+    hot: HotGroups | None = None,
+    policy: SkewPolicy = DEFAULT_SKEW,
+) -> DataFrame:
+    """The array of each board by rank, cut into JSON arrays of ``size`` objects.
+
+    (leaderboard_id, chunk from 0, entries, json); only a board's last chunk may be shorter.
+    Joined in the order of ``chunk`` they are the array of the board, which itself is nowhere
+    collected: a row holds no more than ``size`` scores, also where ranks repeat or are missing.
+    ``hot`` and ``policy`` as in ``with_position``; with hot boards ``series`` is read twice.
     """
-    fields = F.struct(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in SERIES_COLUMNS])
-    text = F.to_json(fields, {"ignoreNullFields": "false"})
-    return series.select("leaderboard_id", "id", text.alias("json"))
+    order = [F.col("rank").asc(), F.col("id").asc()]
+    placed = with_position(series, ["leaderboard_id"], order, "_place", hot=hot, policy=policy)
+    chunk = F.floor((F.col("_place") - 1) / F.lit(size)).cast("bigint")
+    entry = F.struct("_place", _json_fields().alias("entry"))
+    grouped = placed.groupBy("leaderboard_id", chunk.alias("chunk")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_entries")
+    )
+    return grouped.select(
+        "leaderboard_id",
+        "chunk",
+        F.size("_entries").cast("bigint").alias("entries"),
+        F.to_json(F.col("_entries.entry"), _WITH_NULLS).alias("json"),
+    )
 
 
 def axis_value(name: str, literal: bool = False) -> Column:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyboard.config import DEFAULT_SKEW, SkewPolicy
 from tallyboard.plans import series
 
 SCORES = (
@@ -59,6 +60,32 @@ def test_json_keeps_nulls(rows):
     assert json.loads(row.json)["fcAcc"] is None
 
 
+@pytest.mark.parametrize("policy", [DEFAULT_SKEW, SkewPolicy(3, 4, 0)], ids=["usual", "split"])
+def test_chunks_join_to_the_array_of_a_board(spark, rows, policy):
+    one = rows.where("id = 1").drop("id", "rank", "leaderboard_id")
+    # a large board whose ranks are not the order of the ids, one with equal and one with no ranks
+    places = spark.range(47).selectExpr(
+        "id", "if(id < 30, 'a', if(id < 42, 'b', 'c')) AS leaderboard_id",
+        "if(id < 30, 100 - id, if(id < 42, 0, null)) AS rank",
+    )
+    many = places.crossJoin(one).select(*rows.columns)
+    chunks = series.series_json_chunks(many, 7, policy=policy).collect()
+    for board, total in {"a": 30, "b": 12, "c": 5}.items():
+        own = sorted((r.chunk, r.entries, r.json) for r in chunks if r.leaderboard_id == board)
+        full, rest = divmod(total, 7)
+        assert [n for _, n, _ in own] == [7] * full + [rest] * (rest > 0)
+        assert [k for k, _, _ in own] == list(range(len(own)))
+        joined = [entry for _, _, text in own for entry in json.loads(text)]
+        single = series.series_json(many.where(many.leaderboard_id == board)).collect()
+        ranks = {r.id: (r.rank is not None, r.rank, r.id) for r in many.collect()}
+        single.sort(key=lambda r: ranks[r.id])
+        assert joined == [json.loads(r.json) for r in single]
+
+
+def test_no_chunks_of_no_scores(rows):
+    assert series.series_json_chunks(rows.limit(0)).count() == 0
+
+
 def test_not_a_number_is_missing(rows):
     odd = rows.withColumn("pp", F.when(F.col("id") == 1, F.lit(float("nan"))).otherwise(F.col("pp")))
     assert set(points(series.series_axes(odd, "pp", "weight"))) == {2, 5}
