@@ -32,7 +32,7 @@ from tallyboard.operators import integrity, podium, updates
 from tallyboard.operators import players as player_ops
 from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
-from tallyboard.plans import delta, fences, pages, refresh, rescore, search, series, sweep
+from tallyboard.plans import colocated, delta, fences, pages, refresh, rescore, search, series, sweep
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
 from tallyboard.session import materialise, new_path
 from tallyboard.sources import dump, files, importer, retail, snapshots
@@ -59,6 +59,7 @@ AS_OF = 915_148_800  # 1999-01-01 UTC
 
 _published: dict[tuple[str, str, str], str] = {}
 _deltas: dict[tuple[str, str], delta.Delta] = {}
+_layouts: dict[tuple[str, str, SkewPolicy], str] = {}
 _marks: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -390,6 +391,41 @@ def board_megametrics(spark, folder):
     return _rounded(board_ops.board_megametrics(tables["scores"], tables["players"]), 6)
 
 
+def _layout(spark, folder, policy=DEFAULT_SKEW) -> colocated.Layout:
+    """The current tables stored by player and by board, once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, policy)
+    if key not in _layouts:
+        _layouts[key] = new_path(spark, "layout")
+        colocated.store(_current(spark, folder), _layouts[key], policy=policy)
+    return colocated.open_layout(spark, _layouts[key])
+
+
+def score_series_colocated(spark, folder):
+    return _rounded(colocated.stored_series(_layout(spark, folder)))
+
+
+def score_series_colocated_split(spark, folder):
+    return _rounded(colocated.stored_series(_layout(spark, folder, SPLIT), SPLIT))
+
+
+def board_stats_colocated(spark, folder):
+    return _rounded(colocated.stored_board_stats(_layout(spark, folder)))
+
+
+def board_megametrics_colocated(spark, folder):
+    return _board_means(colocated.stored_board_statistics(_layout(spark, folder)))
+
+
+def board_megametrics_colocated_split(spark, folder):
+    layout = _layout(spark, folder, SPLIT)
+    return _board_means(colocated.stored_board_statistics(layout, policy=SPLIT))
+
+
+def _board_means(statistics: DataFrame) -> DataFrame:
+    means = [f"megametric{limit}" for limit in DEFAULT_RATING.play_thresholds]
+    return _rounded(statistics.select("leaderboard_id", "percentile", "megametric", *means), 6)
+
+
 def player_ranks_split(spark, folder):
     tables = _current(spark, folder)
     players = retail.players(spark, folder)
@@ -747,6 +783,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         score_weights_split,
         player_ranks_split,
         board_megametrics_split,
+        score_series_colocated,
+        score_series_colocated_split,
+        board_stats_colocated,
+        board_megametrics_colocated,
+        board_megametrics_colocated_split,
         boards_full_literal,
         refresh_all,
         refresh_all_split,

@@ -128,8 +128,14 @@ def board_stats(
 
     ``literal`` repeats the filtered point ratio in the unfiltered column.
     """
-    joined = held_scores(scores, players, config)
-    return joined.groupBy("leaderboard_id").agg(*_basic(config, literal))
+    return basic_statistics(held_scores(scores, players, config), config, literal)
+
+
+def basic_statistics(
+    held: DataFrame, config: RatingConfig = DEFAULT_RATING, literal: bool = False
+) -> DataFrame:
+    """The same from ``held_scores``."""
+    return held.groupBy("leaderboard_id").agg(*_basic(config, literal))
 
 
 def board_megametrics(
@@ -156,16 +162,20 @@ def board_statistics(
     hot: HotGroups | None = None,
     policy: SkewPolicy = DEFAULT_SKEW,
     literal: bool = False,
+    all_hot: bool = False,
 ) -> DataFrame:
     """All thirteen statistics from one shuffle and one sort.
 
     ``held`` comes from ``held_scores`` or ``flag_top_players``. With hot boards it is read
-    three times; store it first where computing it takes more than a scan.
+    three times; store it first where computing it takes more than a scan. ``all_hot`` says
+    that it has scores of hot boards only.
     """
     if hot is None:
         hot = find_hot_groups(held, ["leaderboard_id"], policy)
     if not hot.groups:
         return _by_place(held, config, literal)
+    if all_hot:
+        return _by_weight(held, config, hot, policy, literal)
     keys = hot.keys.select(F.col("leaderboard_id").alias("_hot_board"))
     if hot.groups <= policy.broadcast_rows:
         keys = F.broadcast(keys)
