@@ -34,8 +34,8 @@ from tallyboard.operators import scores as score_ops
 from tallyboard.operators.ranking import find_hot_groups
 from tallyboard.plans import colocated, delta, fences, pages, refresh, rescore, search, series, sweep
 from tallyboard.schema import DUMP_FAMILIES, RATING_FIELDS, STORED_FAMILIES
-from tallyboard.session import materialise, new_path
-from tallyboard.sources import dump, files, importer, retail, snapshots
+from tallyboard.session import materialise, measure, new_path
+from tallyboard.sources import cut, dump, files, importer, retail, snapshots
 
 Tables = dict[str, DataFrame]
 
@@ -110,15 +110,23 @@ def _rounded(df: DataFrame, decimals: int = 4) -> DataFrame:
 # ---- import and maintenance --------------------------------------------------
 
 
-def ingest_dump(spark, folder):
+def _ingested(spark, folder, read_dump) -> DataFrame:
     path = new_path(spark, "dump")
     dump.write_dump(retail.dump(spark, folder), path)
-    read = dump.read_dump(spark, path)
+    read = read_dump(spark, path)
     ratings = _rating_columns(DUMP_FAMILIES)
     read["maps"] = read["maps"].select("*", *ratings).drop("modifiers_rating")
     return _rounded(_stacked(read))
 
 
+def ingest_dump(spark, folder):
+    return _ingested(spark, folder, dump.read_dump)
+
+
+def ingest_dump_cut(spark, folder):
+    return _ingested(spark, folder, cut.read_dump_cut)
+
+
 def _rating_columns(codes) -> list:
     return [
         F.col(f"modifiers_rating.{code}.{field}").alias(f"{code.lower()}_{field}")
@@ -223,6 +231,15 @@ def schema_violations(spark, folder):
     return integrity.schema_violations(_imported(spark, folder))
 
 
+def schema_violations_observed(spark, folder):
+    """The same, counted while the tables are written."""
+    counted = {}
+    for table, df in _imported(spark, folder).items():
+        rules = integrity.violation_counts(table, df.columns)
+        counted[table] = measure(df, f"checked-{table}", rules)[1]
+    return integrity.violation_report(spark, counted)
+
+
 def _rated_and_located(tables: Tables) -> tuple[DataFrame, DataFrame]:
     return (
         tables["players"].where("country is not null"),
@@ -744,6 +761,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every implemented operator over the tables of a folder."""
     plain = [
         ingest_dump,
+        ingest_dump_cut,
         import_leaderboards,
         import_players,
         import_scores,
@@ -755,6 +773,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         publish_snapshot,
         append_table,
         schema_violations,
+        schema_violations_observed,
         orphan_scores,
         cascade_delete,
         duplicate_keys,

@@ -785,6 +785,8 @@ def oracle_queries() -> dict[str, str]:
         q[f"refresh_delta_{name}"] = q[f"{full}_full"]
     for name in ("score_ranks", "score_weights", "player_ranks", "board_megametrics", "refresh_all"):
         q[f"{name}_split"] = q[name]
+    q["ingest_dump_cut"] = q["ingest_dump"]
+    q["schema_violations_observed"] = q["schema_violations"]
     for name in ("score_series", "board_stats", "board_megametrics"):
         q[f"{name}_colocated"] = q[name]
     for name in ("score_series_colocated", "board_megametrics_colocated"):

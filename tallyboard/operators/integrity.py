@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.schema import COMPUTED, LIMITS, RATING_FIELDS, STORED_FAMILIES
@@ -28,6 +28,25 @@ def _rules(table: str, present: Sequence[str]) -> list[tuple[str, str, Column]]:
     return rules
 
 
+def violation_counts(table: str, present: Sequence[str]) -> dict[str, Column]:
+    """Every rule of a table as an aggregate, to be observed while the table is written."""
+    rules = _rules(table, present)
+    return {f"{c}: {rule}": F.count_if(broken) for c, rule, broken in rules}
+
+
+def violation_report(
+    spark: SparkSession, counted: Mapping[str, Mapping[str, int]]
+) -> DataFrame:
+    """``schema_violations`` of tables whose ``violation_counts`` are known."""
+    found = [
+        (table, *name.split(": ", 1), n)
+        for table, counts in counted.items()
+        for name, n in counts.items()
+        if n
+    ]
+    return spark.createDataFrame(found, "table_name string, column_name string, rule string, n long")
+
+
 def schema_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, rule, n) for every broken rule.
 

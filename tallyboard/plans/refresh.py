@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.config import DEFAULT_RATING, DEFAULT_SKEW, RatingConfig, SkewPolicy
 from tallyboard.operators.boards import board_statistics, flag_top_players
+from tallyboard.operators.integrity import violation_counts
 from tallyboard.operators.players import player_ranks, player_totals
 from tallyboard.operators.ranking import find_hot_groups
 from tallyboard.operators.scores import (
@@ -19,7 +20,7 @@ from tallyboard.operators.scores import (
 )
 from tallyboard.operators.updates import apply_updates
 from tallyboard.schema import BOARD_COMPUTED, PLAYER_COMPUTED, SCORE_COMPUTED
-from tallyboard.session import materialise, own_stages, sized_shuffles
+from tallyboard.session import materialise, measure, own_stages, sized_shuffles
 from tallyboard.sources.snapshots import publish_snapshot
 
 
@@ -94,6 +95,7 @@ def refresh_all(
     only: Sequence[str] = ("scores", "players", "leaderboards"),
     literal: bool = False,
     stored: bool = False,
+    violations: dict[str, dict[str, int]] | None = None,
 ) -> dict[str, DataFrame]:
     """Recompute all three tables, or those named by ``only``.
 
@@ -101,23 +103,33 @@ def refresh_all(
     it computed, and none has to start over when an executor is lost. Imported scores
     are written first, so that whatever computes them runs once; ``stored`` says that
     they are a stored table, which is read as it is. The number of shuffle partitions
-    follows the number of scores.
+    follows the number of scores. ``violations`` is filled with the broken limits of the
+    tables (``integrity.violation_report``), which are counted as they are written.
     """
+
+    def stage(table: str, df: DataFrame) -> DataFrame:
+        if violations is None:
+            return materialise(df, table)
+        written, violations[table] = measure(df, table, violation_counts(table, df.columns))
+        return written
+
     boards, imported = tables["leaderboards"], tables["scores"]
-    if not stored:
-        imported = materialise(imported, "imported-scores")
-    rows = imported.count()
+    if stored:
+        rows = imported.count()
+    else:
+        imported, seen = measure(imported, "imported-scores", {"rows": F.count("*")})
+        rows = seen["rows"]
     with sized_shuffles(imported.sparkSession, rows):
-        scores = materialise(refresh_scores(imported, boards, config, policy, rows), "scores")
+        scores = stage("scores", refresh_scores(imported, boards, config, policy, rows))
         found = {"scores": scores.drop(*HOLDER_COLUMNS)}
         if "players" in only or "leaderboards" in only:
             players = refresh_players(tables["players"], scores, config, policy)
-            found["players"] = materialise(players, "players")
+            found["players"] = stage("players", players)
         if "leaderboards" in only:
             refreshed = refresh_boards(
                 boards, scores, found["players"], config, policy, rows, literal
             )
-            found["leaderboards"] = materialise(refreshed, "leaderboards")
+            found["leaderboards"] = stage("leaderboards", refreshed)
     return {table: found[table] for table in only}
 
 

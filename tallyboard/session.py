@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 # What a session should be built with. Adaptive execution and its skew join are on
@@ -54,6 +55,10 @@ def sized_shuffles(spark: SparkSession, scores: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+# folders of local sessions without the setting, by application
+_local_folders: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -67,9 +72,11 @@ def scratch_folder(spark: SparkSession) -> str:
     # local-cluster has executors of its own
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyboard-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # a running session refuses to have this setting changed
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="tallyboard-")
+    return _local_folders[application]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -112,3 +119,42 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         stages.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measure(
+    df: DataFrame, label: str, metrics: Mapping[str, Column]
+) -> tuple[DataFrame, dict[str, object]]:
+    """``materialise`` with aggregates of the rows taken as they are written.
+
+    They cost no job of their own. They are observed on top of the plan, so in the stage
+    that writes, where Spark counts each partition once, however often it is tried.
+    """
+    observation = Observation()
+    observed = df.observe(observation, *[metric.alias(name) for name, metric in metrics.items()])
+    stored = materialise(observed, label)
+    return stored, observation.get
+
+
+def expire_stages(spark: SparkSession, older_than: float, now: float | None = None) -> list[str]:
+    """Remove stages in which nothing was written for so many seconds; their names.
+
+    For those that no ``own_stages`` removes. Results still read from them must be younger.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/tallyboard")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    limit = ((time.time() if now is None else now) - older_than) * 1000
+    removed = []
+    for stage in system.listStatus(root) if system.exists(root) else []:
+        if last_written(system, stage) < limit:
+            system.delete(stage.getPath(), True)
+            removed.append(stage.getPath().getName())
+    return removed
+
+
+def last_written(system, folder) -> int:
+    """Milliseconds of the newest change in a folder, its files included."""
+    newest = folder.getModificationTime()
+    files = system.listFiles(folder.getPath(), True)
+    while files.hasNext():
+        newest = max(newest, files.next().getModificationTime())
+    return newest
