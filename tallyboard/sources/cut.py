@@ -7,7 +7,7 @@ running sums: of quotes, and of brackets outside strings. They are taken inside
 (``_block``) and shifted by the sums of earlier splits, of which there is one row each.
 Pieces that start at the level of a list begin an element; those after it belong to it.
 
-The text moves twice: to the sort of its split, and to its element.
+The text moves three times: twice to the sort of its split, and to its element.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """Dumps: documents that hold a list of players, of scores and of maps.
 
-A dump may be one document or many. One huge JSON document cannot be split among
-tasks, so anything large should come as JSON lines with bounded documents
-(``write_dump`` makes such), or as one Parquet table per list.
+A dump may be one document or many. A JSON document is read by one task here, so anything
+large should come as JSON lines with bounded documents (``write_dump`` makes such), or as
+one Parquet table per list; ``cut.read_dump_cut`` cuts documents that are too large.
 """
 
 from __future__ import annotations
