@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.config import SkewPolicy
-from tallyboard.operators.ranking import find_hot_groups, with_position
+from tallyboard.operators.ranking import find_hot_groups, range_count, with_position
 
 TINY = SkewPolicy(hot_rows=100, chunk_rows=37)
 NO_BROADCAST = SkewPolicy(hot_rows=100, chunk_rows=37, broadcast_rows=0)
@@ -92,3 +92,23 @@ def test_null_is_a_group(spark):
     placed = with_position(df, ["g"], [F.asc("id")], "place", policy=policy)
     found = {r.id: r.place for r in placed.collect()}
     assert found == {i: i // 2 + 1 for i in range(40)}
+
+
+def test_ranges_are_bounded_by_what_a_shuffle_needs(spark):
+    """Small chunks do not make a range, with samples on the driver, of every few rows."""
+    policy = SkewPolicy(hot_rows=200, chunk_rows=1000)
+    assert range_count(spark, 5000, policy) == 5
+    assert range_count(spark, 36_000_000, policy) < 200
+    assert range_count(spark, 216_000_000, policy) < 1200
+    # rows of a range stay few enough to sort in memory
+    assert 216_000_000 / range_count(spark, 216_000_000, policy) < 250_000
+    assert range_count(spark, 10, policy) == 2
+
+
+def test_bounded_ranges_give_the_same_places(spark):
+    rows = rows_with_hot_group()
+    df = spark.createDataFrame(rows, "id long, g string, v double, k int")
+    policy = SkewPolicy(hot_rows=100, chunk_rows=1)
+    assert range_count(spark, 500, policy) == 8
+    placed = with_position(df, ["g"], [F.desc("v"), F.asc("id")], "place", policy=policy)
+    assert {r.id: r.place for r in placed.collect()} == {i: v[0] for i, v in expected(rows, ["g"]).items()}
