@@ -175,3 +175,23 @@ def test_last_published_is_latest(spark, tmp_path):
         version = snapshots.publish_snapshot({"t": spark.range(k, k + 1)}, root, name)
         assert snapshots.latest_version(spark, root) == version
         assert snapshots.read_latest(spark, root)["t"].first().id == k
+
+
+def test_order_lines_move_once(spark, tmp_path):
+    """Lines that repeat a key are numbered where they meet their order, after one shuffle."""
+    lines = [(1, 7, 3, 1, 5.0, 100.0, 0.05, 0.02), (1, 7, 3, 1, 6.0, 100.0, 0.05, 0.02), (2, 8, 3, 1, 5.0, 90.0, 0.01, 0.0)]
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    more = "'R' l_returnflag", "'O' l_linestatus", "date'1997-01-02' l_shipdate"
+    df = spark.createDataFrame(lines, line).selectExpr("*", *more)
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = spark.createDataFrame([(1, 5), (2, 4)], "o_orderkey long, o_custkey long")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = retail.scores(spark, str(tmp_path))
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        found = {(r.id, r.leaderboard_id, round(r.accuracy, 4), r.player_id) for r in scores.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert found == {(9, "7", 0.89, "5"), (9 + 2**40, "7", 0.889, "5"), (17, "8", 0.975, "4")}

@@ -70,3 +70,37 @@ def test_stages_are_removed(spark, tmp_path):
         raise ValueError
     assert set(folder.iterdir()) == there and before.count() == 3
     assert spark.read.parquet(str(tmp_path / "result")).count() == 5
+
+
+def test_rows_that_are_sorted_get_more_partitions(spark):
+    """Few enough rows for a task to sort in memory, whatever the session's number is."""
+    name, rows = "spark.sql.shuffle.partitions", 36_000_000
+    with session.sized_shuffles(spark, rows, session.SORTED):
+        assert rows / int(spark.conf.get(name)) < 250_000
+    assert spark.conf.get(name) == "8"
+
+
+def test_a_refresh_sorts_small_partitions(refreshed, monkeypatch):
+    from tallyboard.plans import refresh
+
+    imported, _ = refreshed
+    asked, sized = [], session.sized_shuffles
+    monkeypatch.setattr(
+        refresh, "sized_shuffles", lambda spark, *sizes: asked.append(sizes) or sized(spark, *sizes)
+    )
+    refresh.refresh_all(imported, only=["scores"], stored=True)
+    assert asked == [(imported["scores"].count(), session.SORTED)]
+
+
+def test_stages_are_compressed(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyboard.sources.snapshots import write_table
+
+    session.materialise(spark.range(10), "compressed")
+    write_table(spark.range(10), str(tmp_path / "table"), "leaderboards")
+    folder = Path(session.scratch_folder(spark)) / "tallyboard"
+    stage = next(folder.glob("compressed-*"))
+    for written in (stage, tmp_path / "table"):
+        files = list(written.glob("*.parquet"))
+        assert files and all(".zstd." in f.name for f in files)
