@@ -5,6 +5,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyboard.schema import DUMP_DOCUMENT
 from tallyboard.sources import cut, dump
@@ -65,6 +66,45 @@ def test_many_tasks_read_one_document(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_the_text_does_not_move(spark, tmp_path):
+    """Neither to the sort of its split nor into the documents of a dump."""
+    (tmp_path / "one.json").write_text(json.dumps(document(9)))
+    pieces = cut._pieces(spark, str(tmp_path))
+    assert "Exchange" not in pieces._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(str(i),) for i in range(25)], "id string").repartition(2)
+    packed = dump.pack_dump(dict.fromkeys(dump.TABLES, rows.withColumn("none", F.lit(None))), 10)
+    assert packed._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    read = [json.loads(r.value) for r in packed.collect()]
+    for name in dump.TABLES:
+        parts = [d[name] for d in read if name in d]
+        assert sorted(int(x["id"]) for part in parts for x in part) == list(range(25))
+        assert max(map(len, parts)) <= 10
+
+
+def test_elements_over_many_splits(spark, tmp_path):
+    """Elements larger than several splits, between small ones, in lists that began earlier."""
+    long = [{"id": f"{i}", "name": "}" * (400 if i % 3 == 0 else 2)} for i in range(12)]
+    text = json.dumps({"players": long, "other": [{"a": {"b": ["}{", 1]}}], "maps": [{"id": "m"}]})
+    (tmp_path / "long.json").write_text(text + "\n" + json.dumps({"players": long[:2]}))
+    spark.conf.set(SIZE, "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        found = rows(cut.read_dump_cut(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset(SIZE)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == rows(dump.read_dump(spark, str(tmp_path)))
+    assert [len(found[name]) for name in ("players", "scores", "maps")] == [14, 0, 1]
+
+
+def test_other_splits_at_the_second_read_stop_it(spark, tmp_path, monkeypatch):
+    (tmp_path / "one.json").write_text(json.dumps(document(9)))
+    first = cut._blocks
+    monkeypatch.setattr(cut, "_blocks", lambda pieces: first(pieces).withColumn("_block", F.col("_block") + 1))
+    with pytest.raises(Exception, match="split anew"):
+        rows(cut.read_dump_cut(spark, str(tmp_path)))
+
+
 values = st.text(alphabet='ab"\\{}[]:, é\n', max_size=12)
 players = st.lists(st.fixed_dictionaries({"id": values, "name": st.none() | values}), max_size=6)
 documents = st.fixed_dictionaries(
