@@ -8,12 +8,15 @@ each configuration, so that neither shuffles nor sorts carry them. The points of
 are computed between two windows, each in a generated method of its own (see ``with_points``).
 
 Hot boards, players and countries are taken apart once and ranked by ranges. That takes a
-shuffle for each configuration, as each has an order of its own.
+shuffle for each configuration, as each has an order of its own. A task sorts its rows once
+for each configuration, so groups count as hot, and partitions as full, at so many times
+fewer rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +40,16 @@ from tallyboard.operators.scores import (
     with_ratings,
 )
 from tallyboard.plans.rescore import COMPARED
-from tallyboard.session import materialise, sized_shuffles
+from tallyboard.session import SORTED, materialise, sized_shuffles
 
 Place = Callable[[DataFrame, HotGroups, bool], DataFrame]
 
 
+def _fewer(policy: SkewPolicy, times: int) -> SkewPolicy:
+    """For tasks that sort their rows so many times."""
+    return replace(policy, hot_rows=max(1, policy.hot_rows // times))
+
+
 def _apart(
     df: DataFrame, by: Sequence[str], hot: HotGroups, policy: SkewPolicy, place: Place
 ) -> DataFrame:
@@ -65,6 +73,7 @@ def sweep_scores(
     top_pp_k). ``rows`` as in ``refresh_scores``.
     """
     rows = scores.count() if rows is None else rows
+    policy = _fewer(policy, len(configs))
     hot_boards = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
     hot_players = find_hot_groups(scores, ["player_id"], policy, rows)
     few_boards = boards.count() <= policy.broadcast_rows
@@ -76,6 +85,9 @@ def sweep_scores(
             rated, few = boards.join(keys, "id", "left_semi"), hot.groups <= policy.broadcast_rows
         else:
             df = df.repartition("leaderboard_id")
+        if not few:
+            # a table of boards that compresses well looks small enough to broadcast
+            rated = rated.hint("shuffle_hash")
         unused = [c for c in POINT_COLUMNS if c != "pp"]
         for k, config in enumerate(configs):
             df = with_points(with_ratings(df, rated, few), config)
@@ -130,12 +142,15 @@ def sweep_players(
         *[F.sum(F.col(f"pp_{k}") * F.col(f"weight_{k}")).alias(f"pp_{k}") for k in range(len(configs))]
     )
     known = players.count()
+    policy = _fewer(policy, len(configs))
+    # all players would meet in one task; ranges move little beside the scores
+    ranged = _fewer(policy, SORTED)
     located = totals.join(players.select("id", "country"), "id")
     located = located.withColumnRenamed("id", "player_id")
     everyone = HotGroups()
-    if known > policy.hot_rows:
+    if known > ranged.hot_rows:
         located = materialise(located, "sweep-located")
-        everyone = find_hot_groups(located, [], policy, known)
+        everyone = find_hot_groups(located, [], ranged, known)
     for k, config in enumerate(configs):
         order = weight_order(config, f"pp_{k}", "player_id")
         located = with_position(located, [], order, f"rank_{k}", hot=everyone, policy=policy)
@@ -166,6 +181,7 @@ def sweep_boards(
 ) -> DataFrame:
     """Total points and mean weight of the heaviest third per board and configuration."""
     rows = swept.count() if rows is None else rows
+    policy = _fewer(policy, len(configs))
     hot = find_hot_groups(swept, ["leaderboard_id"], policy, rows)
     per_config = ("pp", "weight", "top_pp")
     held = swept.select(
@@ -260,7 +276,7 @@ def what_if_sweep(
         imported = materialise(imported, "imported-scores")
     rows = imported.count()
     found = {}
-    with sized_shuffles(imported.sparkSession, rows * len(trials)):
+    with sized_shuffles(imported.sparkSession, rows, SORTED * len(trials)):
         swept = materialise(
             sweep_scores(imported, boards, settings, policy, rows), "sweep-scores"
         )

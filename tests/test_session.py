@@ -80,6 +80,19 @@ def test_rows_that_are_sorted_get_more_partitions(spark):
     assert spark.conf.get(name) == "8"
 
 
+def test_sorted_partitions_are_not_merged_again(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    with session.sized_shuffles(spark, 1000, 4 * session.SORTED):
+        assert spark.conf.get(name) == f"{2**24}b"
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "1m")
+    with session.sized_shuffles(spark, 1000, 4 * session.SORTED):
+        assert spark.conf.get(name) == f"{2**20}b"
+    assert spark.conf.get(name) == "1m"
+    spark.conf.set(name, before)
+
+
 def test_a_refresh_sorts_small_partitions(refreshed, monkeypatch):
     from tallyboard.plans import refresh
 

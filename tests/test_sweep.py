@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SPLIT, SWEEP, TRIAL_RATING
-from tallyboard.config import DEFAULT_RATING
+from tallyboard.config import DEFAULT_RATING, SkewPolicy
 from tallyboard.plans.rescore import COMPARED, what_if_rescore
+from tallyboard.plans import sweep
 from tallyboard.plans.sweep import sweep_scores, what_if_sweep
+from tallyboard.session import SORTED
 
 
 def _rows(df):
@@ -61,3 +63,33 @@ def test_configurations_share_their_shuffles(refreshed):
 
     assert exchanges(1)[0] == exchanges(5)[0] == 2
     assert exchanges(5)[1] > exchanges(1)[1]
+
+
+def test_a_group_is_hot_at_fewer_rows_for_more_configurations(refreshed, monkeypatch):
+    """A task sorts a group once per configuration."""
+    imported, once = refreshed
+    found, find = [], sweep.find_hot_groups
+    monkeypatch.setattr(
+        sweep,
+        "find_hot_groups",
+        lambda df, by, policy, rows: found.append((*by, policy.hot_rows)) or find(df, by, policy, rows),
+    )
+    asked, sized = [], sweep.sized_shuffles
+    monkeypatch.setattr(
+        sweep, "sized_shuffles", lambda spark, *sizes: asked.append(sizes) or sized(spark, *sizes)
+    )
+    tables = what_if_sweep(imported, once, SWEEP, SkewPolicy(hot_rows=4000), stored=True)
+    assert asked == [(imported["scores"].count(), SORTED * len(SWEEP))]
+    assert set(found) == {("leaderboard_id", 1000), ("player_id", 1000), (4000 // len(SWEEP) // SORTED,)}
+    usual = what_if_sweep(imported, once, SWEEP, stored=True)
+    for table in COMPARED:
+        assert _rows(tables[table]) == _rows(usual[table])
+
+
+def test_many_boards_are_not_broadcast(refreshed):
+    """However small their files look."""
+    imported, _ = refreshed
+    configs = [DEFAULT_RATING, TRIAL_RATING]
+    swept = sweep_scores(imported["scores"], imported["leaderboards"], configs, SkewPolicy(broadcast_rows=0))
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 2
