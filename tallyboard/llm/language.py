@@ -44,9 +44,11 @@ SCORE_BYTES = 48
 UNKNOWN = "und"
 #: Columns of a prediction.
 PREDICTED = ("lang_pred", "score", "bits_per_byte")
+_PREDICTED_DDL = "lang_pred string, score double, bits_per_byte double"
 #: Contexts of the full order seen less often than this are left out of the trees.
 MIN_SEEN = 6
-_LOT_BYTES = 500_000
+#: Bytes of a text scored at a time.
+_LOT_BYTES = 50_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -307,40 +309,27 @@ def identify(
     known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     # bounded by the sample: a table of contexts, symbols and languages
     shared = docs.sparkSession.sparkContext.broadcast(build(fit(known, chars)))
-    schema = docs.schema
-    extra = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double")))
-    own = _free("_folded", docs.columns)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(folded: bytes | None) -> tuple[str, float, float | None]:
         model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                folded = part.column(own).to_pylist()
-                use = [k for k, x in enumerate(folded) if x and model]
-                langs = [UNKNOWN] * len(folded)
-                scores, rates = [0.0] * len(folded), [None] * len(folded)
-                if use:
-                    sizes = np.array([len(folded[k]) for k in use])
-                    begins = np.cumsum(sizes) - sizes
-                    data = np.frombuffer(b"".join(folded[k] for k in use), np.uint8)
-                    bits = model.score(data, begins)
-                    best, score = model.choose(bits, sizes)
-                    for k, row, b, s, n in zip(use, bits, best, score, sizes):
-                        langs[k], scores[k], rates[k] = model.langs[b], float(s), float(row[b] / n)
-                columns = [c for f, c in zip(part.schema, part.columns) if f.name != own]
-                kept_names = [f.name for f in part.schema if f.name != own]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                     pa.array(rates, pa.float64())],
-                    [*kept_names, *names],
-                )
-
+        if not folded or not model:
+            return UNKNOWN, 0.0, None
+        bits = model.score(np.frombuffer(folded, np.uint8), np.zeros(1, np.int64))
+        best, score = model.choose(bits, np.array([len(folded)]))
+        return model.langs[best[0]], float(score[0]), float(bits[0, best[0]] / len(folded))
+
+    # A worker gets a hundred folded texts at a time and returns what was predicted; the rows
+    # stay where they are. Arrow batches would hold up to 64 MB of rows several times over.
+    # Said to be non-deterministic, it isn't called again for a filter of the prediction.
+    predicted = F.udf(predict, _PREDICTED_DDL, useArrow=False).asNondeterministic()
     clash = {c for c in docs.columns if c.lower() in {n.lower() for n in names}}
     plain = docs.drop(*clash)
+    own = _free("_predicted", plain.columns)
     letters = F.when(F.col("text").rlike(r"\p{L}"), _folded(F.col("text")))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in clash]
-    return plain.withColumn(own, letters).mapInArrow(predict, ", ".join([*kept, extra]))
+    return plain.withColumn(own, predicted(letters)).select(
+        *[named(c) for c in plain.columns],
+        *[F.col(own).getField(kind).alias(name) for kind, name in zip(PREDICTED, names)],
+    )
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

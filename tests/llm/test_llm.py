@@ -268,6 +268,20 @@ def test_keep_identified_keeps_clashing_columns(spark, odd):
     assert once.columns[-3:] == list(language.PREDICTED) and once.first()["_folded"] == 3
 
 
+def test_rows_stay_out_of_python(spark):
+    learnt = _documents(spark)
+    docs = learnt.select("doc_id", "text", F.lit("kept").alias("extra"))
+    found = language.identify(docs, learnt)
+    for rows in (found, found.filter("lang_pred <> 'und'"), language.keep_identified(learnt)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        # workers get folded texts alone, few at a time and once, not batches of whole rows
+        assert "InArrow" not in plan and "ArrowEval" not in plan
+        assert plan.count("BatchEvalPython") == plan.count("predict(") == 1
+    # neither neighbours nor partitions have a part in a prediction
+    dealt = language.identify(docs.repartition(7), learnt)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, dealt.collect()))
+
+
 def test_sample_is_bounded_and_has_every_language(spark):
     rows = [(k, LONG[k:], f"one{k}") for k in range(6)] + [(k, LONG, "many") for k in range(4)]
     rows += [(1, "short one", "copies")] * 30_000 + [(1, "", "none"), (2, "a bc", "small")]
