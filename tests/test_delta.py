@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.config import DEFAULT_SKEW, SkewPolicy
+from tallyboard.plans import delta
 from tallyboard.plans.delta import find_changes, merged, refresh_delta
 from tallyboard.plans.refresh import refresh_all
 from tallyboard.schema import SCORE_COMPUTED
+from tallyboard.session import SORTED
 
 ALL_SPLIT = SkewPolicy(hot_rows=100, chunk_rows=400, broadcast_rows=0)
 
@@ -116,3 +118,34 @@ def test_untouched_scores_are_not_shuffled(stored, capsys):
     boards.within(stored["scores"], "leaderboard_id").explain("formatted")
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_changes_are_found_in_one_join(imported, stored, monkeypatch):
+    """Stored and imported scores are read once for upserts and removed ones."""
+    found, write = {}, delta.materialise
+    monkeypatch.setattr(delta, "materialise", lambda df, label: found.setdefault(label, df) and write(df, label))
+    now = changed(imported["scores"])
+    upserts, removed = find_changes(stored["scores"], now)
+    plan = found["found-changes"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and plan.count("Join") == 1
+    for df in (upserts, removed):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    none = now.limit(3).withColumn("id", F.lit(None).cast("bigint"))
+    upserts, removed = find_changes(stored["scores"].unionByName(none, True), now.unionByName(none))
+    assert upserts.where("id is null").count() == removed.where("id is null").count() == 3
+
+
+def test_a_change_sorts_small_partitions(imported, stored, monkeypatch):
+    """However few partitions the session's shuffles have, and group sizes need no rows."""
+    asked, sized = [], delta.sized_shuffles
+    monkeypatch.setattr(
+        delta, "sized_shuffles", lambda spark, *sizes: asked.append(sizes) or sized(spark, *sizes)
+    )
+    seen, find = [], delta.find_hot_groups
+    monkeypatch.setattr(delta, "find_hot_groups", lambda df, *a: seen.append(df.columns) or find(df, *a))
+    rows = stored["scores"].count()
+    upserts, removed = find_changes(stored["scores"], changed(imported["scores"]))
+    number = upserts.count()
+    refresh_delta(stored, upserts, removed)
+    assert asked == [(rows, SORTED), (rows + number, SORTED)]
+    assert seen == [["leaderboard_id", "player_id"]] * 2

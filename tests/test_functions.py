@@ -246,3 +246,18 @@ def test_infinite_rating_gives_no_points(spark):
     huge = replace(DEFAULT_RATING, acc_scale=1e308)
     (found,) = score_points(spark, [(1.0, "", None)], huge)
     assert found[0] == 0.0 and not math.isnan(found[1])
+
+
+@pytest.mark.parametrize("decimals", [3, 4, 6, 8])
+def test_half_up_is_the_engines_rounding(spark, decimals):
+    odd = [None, NAN, INF, -INF, 0.0, -0.0, -1e-9, 5e-324, 1e300, 123456789012.34567, 4.35, 99999.99995]
+    ties = [sign * (k + 0.5) / 10**decimals for k in (0, 1, 2, 99, 12345, 10**9) for sign in (1, -1)]
+    near = [math.nextafter(x, way) for x in ties for way in (INF, -INF)]
+    some = [(k * 7919 % 10007) / 271.0 - 18 for k in range(2000)]
+    rows = [(x,) for x in odd + ties + near + some]
+    pairs = evaluate(
+        spark, rows, "x double", numbers.half_up(F.col("x"), decimals), F.round("x", decimals)
+    )
+    assert all(repr(a) == repr(b) or a == b for a, b in pairs)
+    plan = spark.range(1).select(numbers.half_up(F.col("id").cast("double"), 4))
+    assert "rint" in plan._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -36,6 +36,23 @@ def test_score_refresh_shuffles_once_per_key(stored):
     assert plan(df).count("Sort [") == 2
 
 
+def test_points_are_not_shuffled_to_the_boards(stored):
+    """They are computed where the scores of a board lie already."""
+    text = plan(refresh.refresh_scores(stored["scores"], stored["leaderboards"]))
+    moved = text[text.index("hashpartitioning(leaderboard_id") :]
+    moved = moved[: moved.index("BroadcastExchange")] if "BroadcastExchange" in moved else moved
+    assert text.index("BroadcastHashJoin") < text.index("hashpartitioning(leaderboard_id")
+    assert "acc_rating" not in moved and "rank#" not in moved
+
+
+def test_totals_share_the_window_of_the_places(stored):
+    text = plan(refresh.refresh_scores(stored["scores"], stored["leaderboards"]))
+    assert text.count("Window [") == 2
+    carried = stored["scores"].withColumns({"top_pp": F.col("pp"), "ranked_play_count": F.col("rank")})
+    held = boards.flag_top_players(carried, stored["players"])
+    assert plan(boards.board_statistics(held)).count("Window [") == 1
+
+
 def test_hot_groups_are_not_shuffled_again(stored):
     """After the range partitioning only one row per range moves."""
     policy = SkewPolicy(hot_rows=100, chunk_rows=5000)

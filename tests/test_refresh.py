@@ -244,3 +244,19 @@ def test_publishing_leaves_no_scratch_and_refuses_a_stale_base(spark, refreshed)
         snapshots.publish_snapshot(small, root, base=second)
     third = snapshots.publish_snapshot(small, root)
     assert snapshots.latest_version(spark, root) == third
+
+
+def test_an_import_is_stored_once_for_a_query(spark, tmp_path):
+    """Snapshots and trials of a folder start from the same stored scores."""
+    import __spark_entry__ as registry
+    from conftest import TESTDATA
+
+    folder = str(tmp_path)
+    for name in ("lineitem", "orders", "customer", "part"):
+        spark.read.parquet(str(TESTDATA / "sf0.001" / f"{name}.parquet")).limit(300).write.parquet(
+            f"{folder}/{name}.parquet"
+        )
+    first, again = (registry._imported_once(spark, folder)["scores"] for _ in range(2))
+    assert first is again
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
