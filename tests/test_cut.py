@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -140,3 +141,49 @@ def test_broken_documents_stop_the_read(spark, tmp_path, text):
 def test_empty_lists(spark, tmp_path):
     (tmp_path / "empty.json").write_text('{ "players": [], "scores" : [ ],\n"maps":[]}\n')
     assert rows(cut.read_dump_cut(spark, str(tmp_path))) == {f.name: [] for f in DUMP_DOCUMENT}
+
+
+def scanned_by_character(text, inside):
+    """(quotes, change of depth) of a piece, the } after it included."""
+    quotes, depth, escaped = 0, 0, False
+    for c in text:
+        if escaped:
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        elif c == '"':
+            quotes, inside = quotes + 1, not inside
+        elif not inside:
+            depth += (c in "{[") - (c == "]")
+    return quotes, depth - (not inside), inside
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet='a"\\{[],é\n', max_size=9), min_size=1, max_size=8), st.integers(0, 3), st.integers(0, 2))
+def test_a_scan_of_bytes_is_one_of_characters(texts, quotes, skipped):
+    """Also of a part of an array, where a backslash ends a piece and after empty pieces."""
+    array = pa.array(["\\"] * skipped + texts, pa.string()).slice(skipped)
+    states = [quotes % 2 == 1, quotes % 2 == 0]
+    expected = []
+    for text in texts:
+        found = [scanned_by_character(text, inside) for inside in states]
+        states = [inside for _, _, inside in found]
+        expected.append((found[0][0], found[0][1], found[1][1]))
+    assert list(zip(*(n.tolist() for n in cut._scan(array, quotes)))) == expected
+
+
+def test_the_text_is_not_taken_apart_by_patterns(spark, tmp_path):
+    """Nor do readers of one list read the elements of others."""
+    (tmp_path / "one.json").write_text(json.dumps(document(9)))
+    pieces = cut._pieces(spark, str(tmp_path))
+    assert "regexp" not in pieces._jdf.queryExecution().optimizedPlan().toString()
+    read = cut.read_dump_cut(spark, str(tmp_path))
+    plan = read["players"]._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(list,players)" in plan
+
+
+def test_long_texts_are_scanned_in_parts(spark, tmp_path, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"_file": ["f"] * 9, "_block": [0] * 5 + [1] * 4, "value": ["x" * 99] * 9})
+    monkeypatch.setattr(cut, "_SCANNED", batch.nbytes // 4)
+    parts = [(split, len(rows)) for split, rows in cut._stretches(batch)]
+    assert parts == [(("f", 0), 2), (("f", 0), 2), (("f", 0), 1), (("f", 1), 2), (("f", 1), 2)]
