@@ -6,6 +6,8 @@ for the statistics, however many configurations there are: what every configurat
 sort of partitions that are in place already. Ratings join after the shuffle by board, anew for
 each configuration, so that neither shuffles nor sorts carry them. The points of a configuration
 are computed between two windows, each in a generated method of its own (see ``with_points``).
+Configurations that differ only in the decay have the same points and ranks, which are
+computed, moved and stored once for them.
 
 Hot boards, players and countries are taken apart once and ranked by ranges. That takes a
 shuffle for each configuration, as each has an order of its own. A task sorts its rows once
@@ -50,6 +52,12 @@ def _fewer(policy: SkewPolicy, times: int) -> SkewPolicy:
     return replace(policy, hot_rows=max(1, policy.hot_rows // times))
 
 
+def alike(configs: Sequence[RatingConfig]) -> list[int]:
+    """For each configuration the first one with the same points and order of scores."""
+    settings = [replace(config, decay=0.0) for config in configs]
+    return [settings.index(setting) for setting in settings]
+
+
 def _apart(
     df: DataFrame, by: Sequence[str], hot: HotGroups, policy: SkewPolicy, place: Place
 ) -> DataFrame:
@@ -69,9 +77,11 @@ def sweep_scores(
 ) -> DataFrame:
     """Points, rank in the board, weight and the player's best points, per configuration.
 
-    (id, leaderboard_id, player_id, plays and per configuration k pp_k, rank_k, weight_k,
-    top_pp_k). ``rows`` as in ``refresh_scores``.
+    (id, leaderboard_id, player_id, plays and per configuration k weight_k, pp_k, rank_k and
+    top_pp_k; the last three only of the first of those that are ``alike``). ``rows`` as in
+    ``refresh_scores``.
     """
+    same = alike(configs)
     rows = scores.count() if rows is None else rows
     policy = _fewer(policy, len(configs))
     hot_boards = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
@@ -90,6 +100,8 @@ def sweep_scores(
             rated = rated.hint("shuffle_hash")
         unused = [c for c in POINT_COLUMNS if c != "pp"]
         for k, config in enumerate(configs):
+            if same[k] != k:
+                continue
             df = with_points(with_ratings(df, rated, few), config)
             df = df.drop(*RATING_COLUMNS, *unused).withColumnRenamed("pp", f"pp_{k}")
             df = with_position(
@@ -108,10 +120,10 @@ def sweep_scores(
             df = with_position(
                 df,
                 ["player_id"],
-                weight_order(config, f"pp_{k}"),
+                weight_order(config, f"pp_{same[k]}"),
                 "_place",
                 totals={} if k else {"plays": F.lit(True)},
-                highest={f"top_pp_{k}": f"pp_{k}"},
+                highest={f"top_pp_{k}": f"pp_{k}"} if same[k] == k else {},
                 hot=hot,
                 policy=policy,
                 all_hot=all_hot,
@@ -139,7 +151,10 @@ def sweep_players(
     ``swept`` are the scores of ``sweep_scores``, stored.
     """
     totals = swept.groupBy(F.col("player_id").alias("id")).agg(
-        *[F.sum(F.col(f"pp_{k}") * F.col(f"weight_{k}")).alias(f"pp_{k}") for k in range(len(configs))]
+        *[
+            F.sum(F.col(f"pp_{first}") * F.col(f"weight_{k}")).alias(f"pp_{k}")
+            for k, first in enumerate(alike(configs))
+        ]
     )
     known = players.count()
     policy = _fewer(policy, len(configs))
@@ -183,15 +198,19 @@ def sweep_boards(
     rows = swept.count() if rows is None else rows
     policy = _fewer(policy, len(configs))
     hot = find_hot_groups(swept, ["leaderboard_id"], policy, rows)
-    per_config = ("pp", "weight", "top_pp")
+    same = alike(configs)
     held = swept.select(
-        "id", "leaderboard_id", "plays", *[f"{c}_{k}" for k in range(len(configs)) for c in per_config]
+        "id",
+        "leaderboard_id",
+        "plays",
+        *[f"weight_{k}" for k in range(len(configs))],
+        *[f"{c}_{k}" for k in sorted(set(same)) for c in ("pp", "top_pp")],
     )
 
     def by_place(df: DataFrame) -> DataFrame:
         sums, means = [], []
         for k, config in enumerate(configs):
-            weight, eligible = F.col(f"weight_{k}"), F.col(f"top_pp_{k}") != 0
+            weight, eligible = F.col(f"weight_{k}"), F.col(f"top_pp_{same[k]}") != 0
             df = with_position(
                 df,
                 ["leaderboard_id"],
@@ -205,7 +224,7 @@ def sweep_boards(
             mean = F.when(
                 F.count_if(top) > config.min_top_rows, F.avg(F.when(top, weight))
             ).otherwise(F.lit(0.0))
-            sums.append(F.sum(F.col(f"pp_{k}") * weight).alias(f"total_pp_{k}"))
+            sums.append(F.sum(F.col(f"pp_{same[k]}") * weight).alias(f"total_pp_{k}"))
             means.append(mean.alias(f"percentile_{k}"))
         return df.groupBy("leaderboard_id").agg(*sums, *means)
 
@@ -219,7 +238,8 @@ def sweep_boards(
             "leaderboard_id",
             F.col("plays").alias("ranked_play_count"),
             F.lit(False).alias("top_player"),
-            *[F.col(f"{c}_{k}").alias(c) for c in per_config],
+            F.col(f"weight_{k}").alias("weight"),
+            *[F.col(f"{c}_{same[k]}").alias(c) for c in ("pp", "top_pp")],
         )
         stats = board_statistics(one, config, hot, policy).select(
             "leaderboard_id", *[F.col(c).alias(f"{c}_{k}") for c in COMPARED["leaderboards"]]
@@ -229,11 +249,17 @@ def sweep_boards(
 
 
 def _compare(
-    table: str, imported: DataFrame | None, current: DataFrame, found: DataFrame, trials: Sequence[str]
+    table: str,
+    imported: DataFrame | None,
+    current: DataFrame,
+    found: DataFrame,
+    trials: Sequence[str],
+    same: Sequence[int] | None = None,
 ) -> DataFrame:
     """A row per trial and id: old values, new values and differences.
 
-    Rows of ``imported`` that a trial did not reach keep the values they have there.
+    Rows of ``imported`` that a trial did not reach keep the values they have there. ``same``
+    is ``alike`` where ``found`` holds columns other than weights only for the first ones.
     """
     columns = COMPARED[table]
     joined = current.select("id", *[F.col(c).alias(f"old_{c}") for c in columns])
@@ -244,9 +270,10 @@ def _compare(
         joined = joined.join(found, "id")
     entries = []
     for k, trial in enumerate(trials):
+        names = {c: f"{c}_{k if same is None or c == 'weight' else same[k]}" for c in columns}
         new = {
-            c: F.col(f"{c}_{k}") if imported is None else F.coalesce(f"{c}_{k}", f"_kept_{c}")
-            for c in columns
+            c: F.col(name) if imported is None else F.coalesce(name, f"_kept_{c}")
+            for c, name in names.items()
         }
         entries.append(
             F.struct(
@@ -281,7 +308,9 @@ def what_if_sweep(
             sweep_scores(imported, boards, settings, policy, rows), "sweep-scores"
         )
         if "scores" in only:
-            found["scores"] = _compare("scores", None, current["scores"], swept, trials)
+            found["scores"] = _compare(
+                "scores", None, current["scores"], swept, trials, alike(settings)
+            )
         if "players" in only:
             players = sweep_players(swept, tables["players"], settings, policy)
             players = materialise(players, "sweep-player-ranks")

@@ -93,3 +93,21 @@ def test_many_boards_are_not_broadcast(refreshed):
     swept = sweep_scores(imported["scores"], imported["leaderboards"], configs, SkewPolicy(broadcast_rows=0))
     plan = swept._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
+def test_points_are_computed_once_for_trials_that_differ_in_the_decay(refreshed):
+    imported, once = refreshed
+    assert sweep.alike(list(SWEEP.values())) == [0, 1, 0, 3]
+    swept = sweep_scores(imported["scores"], imported["leaderboards"], list(SWEEP.values()))
+    assert {c for c in swept.columns if c.startswith(("pp_", "rank_", "top_pp_"))} == {
+        f"{c}_{k}" for c in ("pp", "rank", "top_pp") for k in (0, 1, 3)
+    }
+    assert {f"weight_{k}" for k in range(4)} < set(swept.columns)
+    two = {"decay": SWEEP["decay"], "last": TRIAL_RATING, "first": DEFAULT_RATING}
+    for policy in ({}, {"policy": SPLIT}):
+        found = what_if_sweep(imported, once, two, stored=True, **policy)
+        for name, config in two.items():
+            alone = what_if_rescore(imported, once, config, stored=True)
+            for table in COMPARED:
+                rows = found[table].where(F.col("trial") == name).select(alone[table].columns)
+                assert _rows(rows) == _rows(alone[table])
