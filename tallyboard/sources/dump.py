@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.schema import DUMP_DOCUMENT
+from tallyboard.session import passing_shuffles
 
 TABLES = ("players", "scores", "maps")
 
@@ -89,4 +90,6 @@ def write_dump(
     tables: Mapping[str, DataFrame], path: str, rows_per_document: int = 10_000
 ) -> None:
     """Write a dump as JSON lines that ``read_dump`` reads back, one folder per list."""
-    pack_dump(tables, rows_per_document).write.partitionBy("list").text(path)
+    documents = pack_dump(tables, rows_per_document)
+    with passing_shuffles(documents.sparkSession):
+        documents.write.partitionBy("list").text(path)

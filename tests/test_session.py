@@ -117,3 +117,31 @@ def test_stages_are_compressed(spark, tmp_path):
     for written in (stage, tmp_path / "table"):
         files = list(written.glob("*.parquet"))
         assert files and all(".zstd." in f.name for f in files)
+
+
+def test_shuffle_files_go_when_a_stage_is_written(spark, tmp_path):
+    """They do not wait for the driver's garbage collection."""
+    import time
+
+    from tallyboard.sources.snapshots import write_table
+
+    def shuffled():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = disk.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(name)
+    rows = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    kept = rows.collect()
+    assert shuffled() - before  # a collected result keeps its files
+    before |= shuffled()
+    stage = session.materialise(rows, "aggregated")
+    write_table(spark.range(1000), str(tmp_path / "table"), "leaderboards")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert stage.count() == len(kept) == 7 and rows.count() == 7
+    assert spark.conf.get(name) == setting
