@@ -1,5 +1,7 @@
 """Scratch folder and session advice."""
 
+from pathlib import Path
+
 import pytest
 
 from tallyboard import session
@@ -145,3 +147,19 @@ def test_shuffle_files_go_when_a_stage_is_written(spark, tmp_path):
     assert not shuffled() - before
     assert stage.count() == len(kept) == 7 and rows.count() == 7
     assert spark.conf.get(name) == setting
+
+
+def test_keys_and_points_are_written_without_dictionaries(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tallyboard.sources.snapshots import write_table
+
+    rows = spark.range(1000).selectExpr("id", "id * 0.37 AS pp", "id % 3 AS rank", "id * 0.1D AS acc_pp", "'x' AS pp_name")
+    write_table(rows.coalesce(1), str(tmp_path / "table"), "leaderboards")
+    session.materialise(rows.coalesce(1), "undictionaried")
+    stage = next((Path(session.scratch_folder(spark)) / "tallyboard").glob("undictionaried-*"))
+    for folder in (tmp_path / "table", stage):
+        group = pq.ParquetFile(next(folder.glob("*.parquet"))).metadata.row_group(0)
+        columns = [group.column(i) for i in range(group.num_columns)]
+        known = {c.path_in_schema: any("DICT" in e for e in c.encodings) for c in columns}
+        assert known == {"id": False, "pp": False, "acc_pp": False, "rank": True, "pp_name": True}
