@@ -52,10 +52,21 @@ def _fewer(policy: SkewPolicy, times: int) -> SkewPolicy:
     return replace(policy, hot_rows=max(1, policy.hot_rows // times))
 
 
-def alike(configs: Sequence[RatingConfig]) -> list[int]:
-    """For each configuration the first one with the same points and order of scores."""
+def alike(configs: Sequence[RatingConfig], columns: Sequence[str] = ()) -> list[int]:
+    """For each configuration the first one with the same points and order of scores; itself
+    where ``columns`` has points of its own."""
     settings = [replace(config, decay=0.0) for config in configs]
-    return [settings.index(setting) for setting in settings]
+    firsts = [settings.index(setting) for setting in settings]
+    return [k if f"pp_{k}" in columns else first for k, first in enumerate(firsts)]
+
+
+def _shared(configs: Sequence[RatingConfig], boards: DataFrame) -> list[int]:
+    """``alike``, unless boards of one id may rate a score otherwise for each configuration."""
+    same, own = alike(configs), list(range(len(configs)))
+    if same == own:
+        return own
+    repeated = boards.where("id is not null").groupBy("id").count().where("count > 1")
+    return same if repeated.isEmpty() else own
 
 
 def _apart(
@@ -78,10 +89,10 @@ def sweep_scores(
     """Points, rank in the board, weight and the player's best points, per configuration.
 
     (id, leaderboard_id, player_id, plays and per configuration k weight_k, pp_k, rank_k and
-    top_pp_k; the last three only of the first of those that are ``alike``). ``rows`` as in
-    ``refresh_scores``.
+    top_pp_k; the last three only of the first of those that are ``alike``, if no two boards
+    have one id). ``rows`` as in ``refresh_scores``.
     """
-    same = alike(configs)
+    same = _shared(configs, boards)
     rows = scores.count() if rows is None else rows
     policy = _fewer(policy, len(configs))
     hot_boards = find_hot_groups(scores, ["leaderboard_id"], policy, rows)
@@ -153,7 +164,7 @@ def sweep_players(
     totals = swept.groupBy(F.col("player_id").alias("id")).agg(
         *[
             F.sum(F.col(f"pp_{first}") * F.col(f"weight_{k}")).alias(f"pp_{k}")
-            for k, first in enumerate(alike(configs))
+            for k, first in enumerate(alike(configs, swept.columns))
         ]
     )
     known = players.count()
@@ -198,7 +209,7 @@ def sweep_boards(
     rows = swept.count() if rows is None else rows
     policy = _fewer(policy, len(configs))
     hot = find_hot_groups(swept, ["leaderboard_id"], policy, rows)
-    same = alike(configs)
+    same = alike(configs, swept.columns)
     held = swept.select(
         "id",
         "leaderboard_id",
@@ -309,7 +320,7 @@ def what_if_sweep(
         )
         if "scores" in only:
             found["scores"] = _compare(
-                "scores", None, current["scores"], swept, trials, alike(settings)
+                "scores", None, current["scores"], swept, trials, alike(settings, swept.columns)
             )
         if "players" in only:
             players = sweep_players(swept, tables["players"], settings, policy)

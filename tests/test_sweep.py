@@ -111,3 +111,21 @@ def test_points_are_computed_once_for_trials_that_differ_in_the_decay(refreshed)
             for table in COMPARED:
                 rows = found[table].where(F.col("trial") == name).select(alone[table].columns)
                 assert _rows(rows) == _rows(alone[table])
+
+
+def test_boards_of_one_id_rate_each_configuration(refreshed):
+    """Every configuration joins them, so none takes the points of another."""
+    imported, once = refreshed
+    boards = imported["leaderboards"]
+    twice = boards.unionByName(boards.where("id = '7'").withColumn("acc_rating", F.lit(1.5)))
+    scores = imported["scores"].where("leaderboard_id in ('7', '8')")
+    swept = sweep_scores(scores, twice, list(SWEEP.values()))
+    assert {f"pp_{k}" for k in range(4)} < set(swept.columns)
+    usual = scores.where("leaderboard_id = '8'").count()
+    assert swept.count() == usual + (scores.count() - usual) * 2 ** len(SWEEP)
+    assert swept.where("leaderboard_id = '7' and pp_0 <> pp_2").count() > 0
+    trials = what_if_sweep(imported | {"leaderboards": twice, "scores": scores}, once, SWEEP, stored=True)
+    assert trials["scores"].count() == len(SWEEP) * swept.count()
+    # boards without an id have no scores
+    none = boards.unionByName(boards.limit(2).withColumn("id", F.lit(None).cast("string")))
+    assert sweep.alike(list(SWEEP.values())) == sweep._shared(list(SWEEP.values()), none)
